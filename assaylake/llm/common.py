@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of UTF-8 text to word bytes: A-Z become a-z, and every ASCII character
@@ -140,3 +142,35 @@ class UnitCache:
 def env_threads_off() -> None:
     """One thread for each task; Spark runs the tasks side by side."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+#: Counters in one block of a table of counters.
+BLOCK = 1 << 14
+
+
+def table_blocks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(number, bytes) of a task's blocks of counters that are not all zero."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for at in range(0, len(table), BLOCK):
+        if table[at : at + BLOCK].any():
+            yield at // BLOCK, pack(table[at : at + BLOCK].astype("<u4").tobytes())
+
+
+def sum_tables(shares: DataFrame, size: int) -> np.ndarray:
+    """Sums shares(block, data) of all tasks, block by block and in streams, to one table of a fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                counts = np.frombuffer(unpack(data.as_py()), dtype="<u4").astype(np.uint64)
+                sums[block] = sums[block] + counts if block in sums else counts
+        for block, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["block", "data"])
+
+    table = np.zeros(size, dtype=np.uint32)
+    for row in shares.select("block", "data").repartition("block").mapInArrow(add, "block int, data binary").toLocalIterator():
+        part = np.frombuffer(row["data"], dtype="<u4")
+        table[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    return table

@@ -8,15 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, WordHashes, materialize, windows
+from .common import LOWER_BYTES, WordHashes, materialize, sum_tables, table_blocks, windows
 from .components import connected_components
 
-#: Counters of the frequency table (4 bytes each, so 16 MB, at every size of input) and of one of its blocks.
-SKETCH_BITS, BLOCK_BITS = 22, 14
+#: Counters of the frequency table: 4 bytes each, so 16 MB, at every size of input.
+SKETCH_BITS = 22
 #: Ranges of the hash space in a set's profile, for the suffix filter.
 PROFILE = 64
 
@@ -55,34 +54,12 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 node.append(node_of(s) if len(s) else None)
                 profile.append(profile_of(s))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * len(n), batch.column("doc_id").to_pylist(), n, node, profile], kinds, strict=True)], names)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for block, counts in enumerate(table.reshape(-1, 1 << BLOCK_BITS)):
-            if counts.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, pack(counts.astype("<u4").tobytes())], kinds, strict=True)], names)
+        for block, data in table_blocks(table):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, data], kinds, strict=True)], names)
 
     return docs.mapInArrow(run, "block int, doc_id bigint, n bigint, node bigint, data binary")
 
 
-def frequency_table(shares: DataFrame) -> np.ndarray:
-    """Sums the tasks' shares block by block, in streams, to a table whose size does not depend on the input."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                counts = np.frombuffer(unpack(data), dtype="<u4").astype(np.uint64)
-                sums[block] = sums[block] + counts if block in sums else counts
-        for block, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["block", "data"])
-
-    blocks = shares.select("block", "data").repartition("block").mapInArrow(add, "block int, data binary")
-    table = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), dtype=np.uint32)
-    for row in blocks.toLocalIterator():
-        table[row["block"]] = np.frombuffer(row["data"], dtype="<u4")
-    return table.reshape(-1)
-
-
 def _prefixes(docs: DataFrame, table, k: int, num: int, den: int, hot: int) -> DataFrame:
     """(key, salt, node, n, pos): a set's first n - ceil(n * num / den) + 1 hashes by frequency, then hash.
 
@@ -247,7 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialize(_scan(docs, k), "shingles")
     rows = scanned.filter("block is null").select("doc_id", "n", "node")
-    table = spark.sparkContext.broadcast(frequency_table(scanned.filter("block is not null")))
+    table = spark.sparkContext.broadcast(sum_tables(scanned.filter("block is not null"), 1 << SKETCH_BITS))
     docs = docs.filter("doc_id is not null")
 
     classes = materialize(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
