@@ -91,12 +91,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 #: A space at an end of the text or beside other white space.
-_UNEVEN = re.compile(r"\A | \Z|\s | \s")
+_UNEVEN = re.compile(r" (?:(?<!\S )|(?!\S))")
 
 
 def even(text: str) -> bool:
     """Whether every space stands alone between characters that are no white space."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1 or not _UNEVEN.search(text)
+    return not _UNEVEN.search(text)
 
 
 class Kept(dict):
