@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, WordHashes, materialize, sum_tables, table_blocks, windows
+from .common import LOWER_BYTES, WordHashes, materialize, mix, sum_tables, table_blocks, windows
 from .components import connected_components
 
 #: Counters of the frequency table: 4 bytes each, so 16 MB, at every size of input.
@@ -140,54 +140,67 @@ def _possible(num: int, den: int) -> Column:
     return (small * den >= large * num) & ((rest + before) * (den + num) >= (F.col("n") + F.col("n2")) * num)
 
 
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A table of fixed size that marks the given nodes (and, by chance, a few others)."""
+def _marks(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A table of fixed size that marks the given doc_ids (and, by chance, a few others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(1 << SKETCH_BITS, dtype=bool)
         for batch in batches:
-            marks[batch.column("node").to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)] = True
+            marks[_marks(batch.column("doc_id").to_numpy())] = True
         if marks.any():
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(marks).tobytes())], pa.binary())], ["data"])
 
     found = np.zeros(1 << SKETCH_BITS - 3, dtype=np.uint8)
-    for row in nodes.coalesce(64).mapInArrow(run, "data binary").toLocalIterator():
+    for row in ids.select("doc_id").coalesce(64).mapInArrow(run, "data binary").toLocalIterator():
         found |= np.frombuffer(zstandard.decompress(row["data"]), dtype=np.uint8)
     return np.unpackbits(found).view(bool)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs(a, b) of nodes -> those whose sets meet the threshold.  The suffix filter comes before any text moves."""
-    spark = pairs.sparkSession
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Most hashes that sets of these profiles can share (suffix filter)."""
+    return np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+
+
+def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, text) of the nodes in pairs(a, b): only texts whose doc_id a table of fixed size marks leave their task."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.join(classes, "node"), "wanted")
+    marks = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, PROFILE).astype(np.int64) for c in ("pa", "pb"))
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) * (den + num) >= (x.sum(axis=1) + y.sum(axis=1)) * num))
+            yield batch.filter(pa.array(marks.value[_marks(batch.column("doc_id").to_numpy())]))
+
+    def of_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:  # rows that repeat a doc_id may hold other texts
+            ok = [len(s := shingle_hashes(t.as_py(), k, hashes)) > 0 and node_of(s) == n for n, t in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    found = docs.select("doc_id", "text").mapInArrow(marked, "doc_id bigint, text string").join(wanted, "doc_id").select("node", "text").mapInArrow(of_node, "node bigint, text string")
+    return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
 
-    pairs = pairs.join(profiles.select(F.col("node").alias("a"), F.col("data").alias("pa")), "a").join(profiles.select(F.col("node").alias("b"), F.col("data").alias("pb")), "b")
-    pairs = materialize(pairs.select("a", "b", "pa", "pb").mapInArrow(near, "a bigint, b bigint"), "candidates")
-    wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-    marks = spark.sparkContext.broadcast(_bits(wanted))
+def _near(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs(a, b) that the suffix filter leaves."""
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found, done = WordHashes(), marks.value, set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keep = [], []
-            for text in batch.column("text"):
-                s = shingle_hashes(text.as_py(), k, hashes)
-                node = node_of(s) if len(s) else 0
-                ok = bool(len(s)) and node not in done and bool(found[(node % 2**64) >> (64 - SKETCH_BITS)])
-                if ok:
-                    done.add(node)
-                    if len(done) > 500_000:
-                        done.clear()
-                nodes.append(node)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], ["node", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = docs.select("text").mapInArrow(named, "node bigint, text string").join(wanted, "node", "left_semi")
-    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, PROFILE) for c in ("pa", "pb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_bound(x, y) * (den + num) >= (x.sum(axis=1) + y.sum(axis=1)) * num))
+
+    both = pairs.join(profiles.select(F.col("node").alias("a"), F.col("data").alias("pa")), "a").join(profiles.select(F.col("node").alias("b"), F.col("data").alias("pb")), "b")
+    return both.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """pairs(a, b) of nodes -> those whose sets meet the threshold."""
+    texts = _texts(pairs, docs, classes, k)
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -203,6 +216,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, k: int, nu
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(equal, "a bigint, b bigint"), "links")
 
 
+def _stray_pairs(members: DataFrame, parts: DataFrame, profiles: DataFrame, num: int, den: int, block: int = 1000) -> DataFrame:
+    """Pairs of members of a key in different components, of which one is outside the key's main component.
+
+    Length, positional and suffix filters are applied where the pairs are built, so few rows come out.
+    Keys of many members are dealt over blocks: strays by members.
+    """
+    named = members.select("key", "node", "n", "pos").join(parts, members["node"] == parts["id"], "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
+    named = materialize(named, "named")
+    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    named = materialize(named.join(mixed, "key", "left_semi").distinct(), "mixed")
+    sizes = named.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("total"))
+    blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    sizes = materialize(sizes.select("key", F.col("main.part").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.m")).alias("ns")), "sizes")
+    named = named.join(sizes, "key").join(profiles, "node").select("key", "node", "n", "pos", "part", "nb", "ns", (F.col("part") != F.col("main")).alias("stray"), "data")
+    place = F.xxhash64("node")
+    as_member = named.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), F.lit(False).alias("asks"), "node", "n", "pos", "part", "data")
+    as_stray = named.filter("stray").select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "n", "pos", "part", "data")
+    keys = ["key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = pa.Table.from_batches(parts).combine_chunks()
+            asks = g.column("asks").to_numpy()
+            node, n, pos, part = (g.column(c).to_numpy() for c in ("node", "n", "pos", "part"))
+            data = np.frombuffer(b"".join(g.column("data").to_pylist()), dtype="<i4").reshape(-1, PROFILE)
+            there = np.flatnonzero(~asks)
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            for x in np.flatnonzero(asks):
+                m, p = n[there], pos[there]
+                ok = (part[there] != part[x]) & (np.minimum(m, n[x]) * den >= np.maximum(m, n[x]) * num)
+                ok &= (np.minimum(m - p, n[x] - pos[x]) + np.minimum(p, pos[x])) * (den + num) >= (m + n[x]) * num
+                y = there[ok]
+                y = y[_bound(data[y], data[x]) * (den + num) >= (n[y] + n[x]) * num]
+                if len(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x]))], ["a", "b"])
+
+        held, last = [], None
+        for batch in batches:
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                if held and tuple(k[:, a]) != last:
+                    yield from group(held)
+                    held = []
+                held.append(batch.slice(a, z - a))
+                last = tuple(k[:, a])
+        if held:
+            yield from group(held)
+
+    return as_member.unionByName(as_stray).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = 1_000_000) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -238,20 +305,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     meet = members.select("node", "n", "pos", "node2", "n2", "pos2").unionByName(firsts.join(ends, "key").select("node", "n", "pos", "node2", "n2", "pos2"))
     ordered = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     pairs = materialize(meet.filter("node <> node2").filter(possible).select(*ordered).distinct(), "pairs")
-    links = _verified(pairs, docs, profiles, k, num, den)
+    links = _verified(materialize(_near(pairs, profiles, num, den), "candidates"), docs, classes, k, num, den)
     parts = materialize(connected_components(links), "parts")
-
-    # members outside their key's main component meet all the others there
-    named = members.select("key", "node", "n", "pos").join(parts, members["node"] == parts["id"], "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    named = materialize(named.join(mixed, "key", "left_semi").distinct(), "mixed")
-    main = named.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main")).select("key", F.col("main.part").alias("main"))
-    named = materialize(named.join(main, "key"), "strays")
-    other = named.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("part").alias("part2"))
-    more = named.filter("part <> main").join(other, "key").filter("part <> part2").filter(possible).select(*ordered).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    links = links.unionByName(_verified(more, docs, profiles, k, num, den)) if not more.isEmpty() else links
+    more = materialize(_stray_pairs(members, parts, profiles, num, den).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    if not more.isEmpty():
+        links = links.unionByName(_verified(more, docs, classes, k, num, den))
 
     parts = connected_components(links)
     nodes = classes.join(parts, classes["node"] == parts["id"], "left").select("node", "doc_id", F.coalesce("component", "node").alias("part"))

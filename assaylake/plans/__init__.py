@@ -1,0 +1,6 @@
+"""Queries over the driver tables."""
+
+from . import catalog, pairs, scoring, sequences, text
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "pairs", "scoring", "sequences", "text"]
