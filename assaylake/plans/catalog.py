@@ -24,13 +24,13 @@ def q_catalog_kpis(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS updates FROM events GROUP BY user_id)
-SELECT e.user_id AS job_id, e.event_type AS status, e.event_id, f.updates, CAST(epoch_ms(f.last_ts) - epoch_ms(f.first_ts) AS BIGINT) AS duration_ms FROM events e JOIN f ON e.user_id = f.user_id QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) = 1""")
+SELECT e.user_id AS job_id, e.event_type AS status, e.event_id, f.updates, CAST((epoch_us(f.last_ts) - epoch_us(f.first_ts)) // 1000 AS BIGINT) AS duration_ms FROM events e JOIN f ON e.user_id = f.user_id QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) = 1""")
 def q_job_latest(spark: SparkSession, d: str) -> DataFrame:
     """Each job's latest row and the time since its first: one grouping, nothing sorted."""
     e = table(spark, d, "events")
     last = F.max(F.struct("ts", "event_id", "event_type"))
     out = e.groupBy(F.col("user_id").alias("job_id")).agg(last.alias("m"), F.count("*").alias("updates"), F.min("ts").alias("t0"))
-    return out.select("job_id", F.col("m.event_type").alias("status"), F.col("m.event_id").alias("event_id"), "updates", (F.unix_millis(F.col("m.ts").cast("timestamp")) - F.unix_millis(F.col("t0").cast("timestamp"))).alias("duration_ms"))
+    return out.select("job_id", F.col("m.event_type").alias("status"), F.col("m.event_id").alias("event_id"), "updates", F.floor((F.unix_micros(F.col("m.ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1000).cast("bigint").alias("duration_ms"))
 
 
 SEVERITY = {"error": 0, "purchase": 1, "signup": 2}
