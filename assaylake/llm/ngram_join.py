@@ -16,8 +16,8 @@ from .components import connected_components
 
 #: Counters of the frequency table: 4 bytes each, so 16 MB, at every size of input.
 SKETCH_BITS = 22
-#: Ranges of the hash space in a set's profile, for the suffix filter.
-PROFILE = 64
+#: Bits of a set's parity signature, for the suffix filter.
+PARITY_BITS = 512
 
 
 def shingle_hashes(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -27,9 +27,9 @@ def shingle_hashes(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(windows(h, min(k, len(words)))) if words else h
 
 
-def profile_of(hashes: np.ndarray) -> bytes:
-    """How many hashes lie in each of PROFILE equal ranges, as little-endian 32-bit integers."""
-    return np.bincount((hashes >> np.uint64(64 - PROFILE.bit_length() + 1)).astype(np.int64), minlength=PROFILE).astype("<i4").tobytes()
+def parity_of(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of hashes falls on each of PARITY_BITS places: a hash that only one of two sets has flips one bit."""
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1 > 0).tobytes()
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -46,14 +46,14 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
         names = ["block", "doc_id", "n", "node", "data"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            n, node, profile = [], [], []
+            n, node, parity = [], [], []
             for text in batch.column("text"):
                 s = shingle_hashes(text.as_py(), k, hashes)
                 np.add.at(table, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                profile.append(profile_of(s))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * len(n), batch.column("doc_id").to_pylist(), n, node, profile], kinds, strict=True)], names)
+                parity.append(parity_of(s))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * len(n), batch.column("doc_id").to_pylist(), n, node, parity], kinds, strict=True)], names)
         for block, data in table_blocks(table):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, data], kinds, strict=True)], names)
 
@@ -161,9 +161,15 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(found).view(bool)
 
 
-def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Most hashes that sets of these profiles can share (suffix filter)."""
-    return np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, PARITY_BITS // 64)
+
+
+def _near_enough(x: np.ndarray, y: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Suffix filter: signatures that differ in d bits belong to sets that differ in d hashes or more; both: n + n2."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    # 2 * intersection = n + n2 - difference
+    return (both - apart) * (den + num) >= 2 * num * both
 
 
 def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -186,16 +192,17 @@ def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> Dat
     return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def _near(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs(a, b) that the suffix filter leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i4").reshape(-1, PROFILE) for c in ("pa", "pb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_bound(x, y) * (den + num) >= (x.sum(axis=1) + y.sum(axis=1)) * num))
+            ok = _near_enough(_signatures(batch.column("sa")), _signatures(batch.column("sb")), batch.column("both").to_numpy(), num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    both = pairs.join(profiles.select(F.col("node").alias("a"), F.col("data").alias("pa")), "a").join(profiles.select(F.col("node").alias("b"), F.col("data").alias("pb")), "b")
-    return both.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+    of = lambda node, n, data: signatures.select(F.col("node").alias(node), F.col("n").alias(n), F.col("data").alias(data))
+    both = pairs.join(of("a", "na", "sa"), "a").join(of("b", "nb", "sb"), "b")
+    return both.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("both")).mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -216,7 +223,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(equal, "a bigint, b bigint"), "links")
 
 
-def _stray_pairs(members: DataFrame, parts: DataFrame, profiles: DataFrame, num: int, den: int, block: int = 1000) -> DataFrame:
+def _stray_pairs(members: DataFrame, parts: DataFrame, signatures: DataFrame, num: int, den: int, block: int = 1000) -> DataFrame:
     """Pairs of members of a key in different components, of which one is outside the key's main component.
 
     Length, positional and suffix filters are applied where the pairs are built, so few rows come out.
@@ -229,7 +236,7 @@ def _stray_pairs(members: DataFrame, parts: DataFrame, profiles: DataFrame, num:
     sizes = named.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("total"))
     blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
     sizes = materialize(sizes.select("key", F.col("main.part").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.m")).alias("ns")), "sizes")
-    named = named.join(sizes, "key").join(profiles, "node").select("key", "node", "n", "pos", "part", "nb", "ns", (F.col("part") != F.col("main")).alias("stray"), "data")
+    named = named.join(sizes, "key").join(signatures.select("node", "data"), "node").select("key", "node", "n", "pos", "part", "nb", "ns", (F.col("part") != F.col("main")).alias("stray"), "data")
     place = F.xxhash64("node")
     as_member = named.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), F.lit(False).alias("asks"), "node", "n", "pos", "part", "data")
     as_stray = named.filter("stray").select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "n", "pos", "part", "data")
@@ -240,7 +247,7 @@ def _stray_pairs(members: DataFrame, parts: DataFrame, profiles: DataFrame, num:
             g = pa.Table.from_batches(parts).combine_chunks()
             asks = g.column("asks").to_numpy()
             node, n, pos, part = (g.column(c).to_numpy() for c in ("node", "n", "pos", "part"))
-            data = np.frombuffer(b"".join(g.column("data").to_pylist()), dtype="<i4").reshape(-1, PROFILE)
+            data = _signatures(g.column("data"))
             there = np.flatnonzero(~asks)
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             for x in np.flatnonzero(asks):
@@ -248,7 +255,7 @@ def _stray_pairs(members: DataFrame, parts: DataFrame, profiles: DataFrame, num:
                 ok = (part[there] != part[x]) & (np.minimum(m, n[x]) * den >= np.maximum(m, n[x]) * num)
                 ok &= (np.minimum(m - p, n[x] - pos[x]) + np.minimum(p, pos[x])) * (den + num) >= (m + n[x]) * num
                 y = there[ok]
-                y = y[_bound(data[y], data[x]) * (den + num) >= (n[y] + n[x]) * num]
+                y = y[_near_enough(data[y], data[x], n[y] + n[x], num, den)]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x]))], ["a", "b"])
 
@@ -295,8 +302,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     docs = docs.filter("doc_id is not null")
 
     classes = materialize(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    profiles = scanned.filter("node is not null").select("doc_id", "node", "data").join(classes, ["node", "doc_id"], "left_semi").select("node", "data")
-    profiles = materialize(profiles.dropDuplicates(["node"]), "profiles")
+    signatures = scanned.filter("node is not null").select("doc_id", "node", "n", "data").join(classes, ["node", "doc_id"], "left_semi").select("node", "n", "data")
+    signatures = materialize(signatures.dropDuplicates(["node"]), "signatures")
 
     possible = _possible(num, den)
     members = materialize(_with_first(_prefixes(docs, table, k, num, den, hot)), "members")
@@ -305,9 +312,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     meet = members.select("node", "n", "pos", "node2", "n2", "pos2").unionByName(firsts.join(ends, "key").select("node", "n", "pos", "node2", "n2", "pos2"))
     ordered = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     pairs = materialize(meet.filter("node <> node2").filter(possible).select(*ordered).distinct(), "pairs")
-    links = _verified(materialize(_near(pairs, profiles, num, den), "candidates"), docs, classes, k, num, den)
+    links = _verified(materialize(_near(pairs, signatures, num, den), "candidates"), docs, classes, k, num, den)
     parts = materialize(connected_components(links), "parts")
-    more = materialize(_stray_pairs(members, parts, profiles, num, den).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = materialize(_stray_pairs(members, parts, signatures, num, den).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, docs, classes, k, num, den))
 
