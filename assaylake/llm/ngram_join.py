@@ -173,23 +173,24 @@ def _near_enough(x: np.ndarray, y: np.ndarray, both: np.ndarray, num: int, den:
 
 
 def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the nodes in pairs(a, b): only texts whose doc_id a table of fixed size marks leave their task."""
+    """(node, text) of the nodes in pairs(a, b), compressed: only texts whose doc_id a table of fixed size marks leave their task."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(classes, "node"), "wanted")
     marks = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield batch.filter(pa.array(marks.value[_marks(batch.column("doc_id").to_numpy())]))
+            batch = batch.filter(pa.array(marks.value[_marks(batch.column("doc_id").to_numpy())]))
+            rows = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if len(s := shingle_hashes(text.as_py(), k, hashes)):  # rows that repeat a doc_id may be other nodes
+                    rows.append((node_of(s), doc, pack(text.as_py().encode())))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "doc_id", "text"])
 
-    def of_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:  # rows that repeat a doc_id may hold other texts
-            ok = [len(s := shingle_hashes(t.as_py(), k, hashes)) > 0 and node_of(s) == n for n, t in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-
-    found = docs.select("doc_id", "text").mapInArrow(marked, "doc_id bigint, text string").join(wanted, "doc_id").select("node", "text").mapInArrow(of_node, "node bigint, text string")
-    return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    found = docs.select("doc_id", "text").mapInArrow(marked, "node bigint, doc_id bigint, text binary").join(wanted, ["node", "doc_id"], "left_semi")
+    return materialize(found.dropDuplicates(["node", "doc_id"]).select("node", "text"), "texts")
 
 
 def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,11 +211,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     texts = _texts(pairs, docs, classes, k)
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ok = []
             for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = (shingle_hashes(t.as_py(), k, hashes) for t in (a, b))
+                x, y = (shingle_hashes(unpack(t.as_py()).decode(), k, hashes) for t in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both * den >= (len(x) + len(y) - both) * num)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
