@@ -1,8 +1,10 @@
 import math
 
+import duckdb
 import pytest
 
 from assaylake.llm import license_scan as li
+from assaylake.llm.queries import ORACLE_SQL, op3_license_scan
 
 from .helpers import documents, simple_words
 
@@ -69,3 +71,13 @@ def test_whole_table(spark, tiny):
 def test_native(spark, tiny, word):
     plan = li.scan_licenses(spark.read.parquet(f"{tiny}/documents.parquet"))._jdf.queryExecution().toString()
     assert word not in plan
+
+
+def test_sql(spark, small):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    df = op3_license_scan(spark, small)
+    found = con.execute(ORACLE_SQL["op3_license_scan"])
+    assert [c[0] for c in found.description] == df.columns
+    want = found.fetchall()
+    assert rows(df) == sorted(((*r[:7], round(r[7], 9)) for r in want), key=repr)
