@@ -81,11 +81,18 @@ def most_signs(threshold: float) -> int:
     return math.ceil(64 * p + 4.2 * math.sqrt(64 * p * (1 - p)))
 
 
-def forest(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) of a smallest spanning forest over rows of which at most `most` signs differ (Boruvka's rounds)."""
+def signs_apart(bits: np.ndarray, most: int) -> np.ndarray:
+    """How many signs each two rows differ in; 255 for more than `most` and for a row with itself."""
     apart = np.bitwise_count(bits[:, None] ^ bits[None, :])
     apart[apart > most] = 255
-    rows, root = np.arange(len(bits)), np.arange(len(bits))
+    np.fill_diagonal(apart, 255)
+    return apart
+
+
+def forest(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a smallest spanning forest by distances of which 255 is no edge (Boruvka's rounds)."""
+    apart = apart.copy()
+    rows, root = np.arange(len(apart)), np.arange(len(apart))
     left, right = [], []
     while True:
         apart[root[:, None] == root[None, :]] = 255
@@ -153,10 +160,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, tables: int = 12
     Equal vectors are one node that carries their number.  Buckets hold (node, 64 signs) only, not vectors;
     each gives a spanning forest of its nodes over pairs whose signs are near enough for the threshold,
     nearest first, so its edges are fewer than its rows.  Edges are verified once each by cosine in double
-    precision and joined to components, and within a component all vectors are compared, so a link is lost
-    only if no chain of found links joins its ends.  Twelve tables of three probes bring over 99 % of pairs
-    at cosine 0.9 in 64 dimensions together, and more above.  A bucket or component of more than `block`
-    nodes is dealt over pairs of blocks, so no task holds more than two blocks; pairs are never written out.
+    precision and joined to components.  Near enough pairs of a bucket that are no edges of its forest and
+    whose ends are still in different components are verified, too: only there the vectors are brought to
+    the bucket, and links that join its parts come out.  Within a component all vectors are compared, so a
+    link is lost only if no chain of links between vectors that share a bucket joins its ends.  Twelve
+    tables of three probes bring over 99 % of pairs at cosine 0.9 in 64 dimensions together, and more above.
+    A bucket or component of more than `block` nodes is dealt over pairs of blocks, so no task holds more
+    than two blocks; of pairs only a forest for each group is written out.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths with each other or rows with a null vec_id (component_id null, kept).
@@ -196,21 +206,37 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, tables: int = 12
                     w = tables * probes
                     yield pa.RecordBatch.from_arrays([pa.array(c.reshape(-1)), pa.array(np.repeat(n, w)), pa.array(np.repeat(signs(u).view(np.int64), w))], ["bucket", "node", "bits"])
 
-    most = most_signs(threshold)
+    most, keys = most_signs(threshold), ["bucket", "i", "j"]
+
+    def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def place(g: pa.Table) -> list[int]:
+        return [g.column(c)[0].as_py() for c in keys]
+
+    def found(a: np.ndarray, b: np.ndarray | None, at: list[int] | None = None, bits: np.ndarray | None = None) -> pa.RecordBatch:
+        cols = [a, b, *([x] * len(a) for x in at or [None] * 3), bits]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), t) if c is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", *keys, "bits"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["bucket", "i", "j"]):
+        for g in groups(batches, keys):
             if g.num_rows < 2:
                 continue
             node, at = np.unique(g.column("node").to_numpy(), return_index=True)
-            left, right = forest(g.column("bits").to_numpy()[at].view(np.uint64), most)
+            bits = g.column("bits").to_numpy()[at]
+            apart = signs_apart(bits.view(np.uint64), most)
+            left, right = forest(apart)
             if len(left):
-                a, b = node[left], node[right]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield found(*ordered(node[left], node[right]))
+            apart[left, right] = apart[right, left] = 255
+            if (more := (apart < 255).any(axis=1)).any():  # pairs that closed a cycle of edges not verified yet
+                yield found(node[more], None, place(g), bits[more])
 
     probed = nodes.select("node", "dim", "vec").mapInArrow(probe, "bucket bigint, node bigint, bits bigint")
     dealt = deal(probed, ["bucket"], block, "large-buckets", False).select("bucket", "i", "j", "node", "bits")
-    edges = materialize(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(tie, "a bigint, b bigint").distinct(), "vector-edges")
+    tried = materialize(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tie, "a bigint, b bigint, bucket bigint, i int, j int, bits bigint"), "bucket-edges")
+    edges = materialize(tried.filter("b is not null").select("a", "b").distinct(), "vector-edges")
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     tied = materialize(nodes.join(ends, "node", "left_semi"), "tied-vectors")
 
@@ -225,7 +251,37 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, tables: int = 12
     ends_a = tied.select(F.col("node").alias("a"), "dim", F.col("vec").alias("x"))
     ends_b = tied.select(F.col("node").alias("b"), F.col("dim").alias("dim_b"), F.col("vec").alias("y"))
     pairs = edges.join(ends_a, "a").join(ends_b, "b").filter("dim = dim_b").select("a", "b", "dim", "x", "y")
-    parts = materialize(connected_components(pairs.mapInArrow(verify, "a bigint, b bigint")), "vector-parts")
+    links = materialize(pairs.mapInArrow(verify, "a bigint, b bigint"), "vector-links")
+    parts = materialize(connected_components(links), "vector-parts")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes of a bucket that are near enough to one of another part."""
+        for g in groups(batches, keys):
+            part = g.column("part").to_numpy()
+            if (part == part[0]).all():
+                continue
+            apart = signs_apart(g.column("bits").to_numpy().view(np.uint64), most)
+            yield from g.filter(pa.array(((apart < 255) & (part[:, None] != part[None, :])).any(axis=1))).select([*keys, "node", "part"]).to_batches()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A forest of the links between a bucket's parts."""
+        for whole in groups(batches, keys):
+            dims = whole.column("dim").to_numpy()
+            for d in np.unique(dims):
+                g = whole.filter(pa.array(dims == d))
+                u, node, part = vectors(g.column("vec"), d, kind), g.column("node").to_numpy(), g.column("part").to_numpy()
+                near = (u @ u.T >= threshold) & (part[:, None] != part[None, :])
+                left, right = forest(np.where(near, 0, 255).astype(np.uint8))
+                if len(left):
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, ordered(node[left], node[right]))), ["a", "b"])
+
+    part_of = parts.select(F.col("id").alias("node"), "component")
+    left_over = tried.filter("b is null").select(*keys, F.col("a").alias("node"), "bits").join(part_of, "node", "left").select(*keys, "node", "bits", F.coalesce("component", "node").alias("part"))
+    left_over = materialize(left_over.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(split, "bucket bigint, i int, j int, node bigint, part bigint"), "left-over")
+    if not left_over.isEmpty():
+        carried = left_over.join(tied.select("node", "dim", "vec"), "node").select(*keys, "node", "part", "dim", "vec")
+        more = carried.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a bigint, b bigint").distinct()
+        parts = materialize(connected_components(links.unionByName(more)), "all-vector-parts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["part", "i", "j"]):

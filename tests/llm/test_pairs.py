@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from assaylake.llm.components import connected_components
-from assaylake.llm.embedding_dedup import near_vectors
+from assaylake.llm.embedding_dedup import codes, most_signs, near_vectors, signs
 from assaylake.llm.ngram_join import keep_one, near_duplicates
 
 from .helpers import Groups, blank_words, documents
@@ -113,3 +113,29 @@ def test_vector_recall(spark, small):
     got = {tuple(x) for x in near_vectors(table).collect()}
     want = set(plain_vectors([tuple(x) for x in table.select("vec_id", "embedding").collect()]))
     assert len(got & want) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_vector_links_of_dense_group(spark, block):
+    """Cosines around 0.85, so the neighbour of most equal signs often fails: every link that a bucket holds counts."""
+    r = np.random.default_rng(11)
+    centre = r.normal(size=64)
+    centre *= 8 / np.linalg.norm(centre)
+    x = np.float32(centre + 0.42 * r.normal(size=(400, 64)))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    cosines, (a, b) = unit @ unit.T, np.triu_indices(400, 1)
+    assert 0.83 < cosines[a, b].mean() < 0.87
+    buckets = [set(c.ravel().tolist()) for c in codes(unit, 12, 3)]
+    bits, linked = signs(unit), cosines >= 0.9
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most_signs(0.9)
+    g = Groups(range(400))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        if linked[i, j] and near[i, j] and buckets[i] & buckets[j]:
+            g.tie(i, j)
+    part = [g.find(i) for i in range(400)]
+    want = [(i, sum(linked[i, j] and i != j and part[i] == part[j] for j in range(400)), part[i], part[i] == i) for i in range(400)]
+    df = spark.createDataFrame([(i, list(map(float, e))) for i, e in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(tuple(x) for x in near_vectors(df, block=block).collect())
+    found, there = sum(n for _, n, *_ in got), int(linked[a, b].sum()) * 2
+    print(f"links found {found // 2} of {there // 2}")
+    assert got == want and found >= 0.99 * there
