@@ -127,10 +127,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_
 
 
 def _shuffled(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same report for any size of benchmark: a row per document window meets the benchmark's windows by words."""
+    """The same report for any size of benchmark."""
+    base, hits = _met(docs.withColumn("row", F.monotonically_increasing_id()), benchmark, n)
+    w = base.join(hits.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("hits"), F.collect_set("item_id").alias("items")), "row", "left")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [summary(r["n_words"], [(x["start"], x["size"]) for x in r["hits"] or []], r["items"] or []) for r in batch.select(["n_words", "hits", "items"]).to_pylist()]
+            yield _report_batch(batch.column("doc_id"), rows)
+
+    return w.select("doc_id", "n_words", "hits", "items").mapInArrow(close, REPORT)
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """docs(row, doc_id, text) -> (row, doc_id, n_words) and distinct (row, start, size, item_id).
+
+    A row per document window meets the benchmark's windows by words.
+    """
     known = benchmark_windows(benchmark, n).withColumn("key", F.xxhash64("window", "size"))
     sizes = [r[0] for r in known.select("size").distinct().collect()]  # at most n values
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    row_type = docs.schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,19 +158,12 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
                         last = min(n_rows, first + 5000)
                         m = last - first
                         cols = [[row] * m, [doc] * m, list(range(first, last)), [size] * m, [b" ".join(w[i : i + size]) for i in range(first, last)], [len(w)] * m]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], strict=True)], ["row", "doc_id", "start", "size", "window", "n_words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.field("row").type, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], strict=True)], ["row", "doc_id", "start", "size", "window", "n_words"])
 
-    rows = docs.mapInArrow(cut, "row long, doc_id long, start long, size int, window binary, n_words long")
+    rows = docs.mapInArrow(cut, f"row {row_type}, doc_id long, start long, size int, window binary, n_words long")
     base = rows.filter("size = 0").select("row", "doc_id", "n_words")
     hits = rows.filter("size > 0").withColumn("key", F.xxhash64("window", "size")).join(known, ["key", "size", "window"]).select("row", "start", F.col("size").cast("long").alias("size"), "item_id").distinct()
-    w = base.join(hits.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("hits"), F.collect_set("item_id").alias("items")), "row", "left")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [summary(r["n_words"], [(x["start"], x["size"]) for x in r["hits"] or []], r["items"] or []) for r in batch.select(["n_words", "hits", "items"]).to_pylist()]
-            yield _report_batch(batch.column("doc_id"), rows)
-
-    return w.select("doc_id", "n_words", "hits", "items").mapInArrow(close, REPORT)
+    return base, hits
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -173,16 +182,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     """docs, all columns as they are, without hit documents (mode "document") or without the hit spans (mode "span").
 
     With mode "span", n_chars is set to the new text's length where the column exists.  Rows with null text stay.
+    Each row is judged by its own text, whatever its doc_id and the size of the benchmark.
     """
     if mode not in ("document", "span"):
         raise ValueError(mode)
     shared = broadcast_hits(docs, benchmark, n, most_broadcast)
     if shared is None:
-        report = find_contamination(docs, benchmark, n, most_broadcast).filter("contaminated").select(F.col("doc_id").alias("__hit"), F.col("hit_spans").alias("__spans"))
+        digest = F.unhex(F.sha2(docs["text"], 256))  # null for null text, which has no hits
+        _, hits = _met(docs.select(digest.alias("row"), F.lit(None).cast("long").alias("doc_id"), "text"), benchmark, n)
+        hits = hits.withColumnRenamed("row", "__hit")
         if mode == "document":
-            return docs.join(report, docs["doc_id"] == report["__hit"], "left_anti")
-        cut = F.udf(lambda t, s: t if not s else remove_spans(t, [(x["start"], x["end"]) for x in s]), "string")
-        out = docs.join(report, docs["doc_id"] == report["__hit"], "left").withColumn("text", cut("text", "__spans")).drop("__hit", "__spans")
+            return docs.join(hits.select("__hit").distinct(), digest == F.col("__hit"), "left_anti")
+        hits = hits.groupBy("__hit").agg(F.collect_set(F.struct("start", "size")).alias("__hits"))
+        spans = lambda h: [(x["start"], x["end"]) for x in summary(0, [(x["start"], x["size"]) for x in h], ())[-1]]
+        cut = F.udf(lambda t, h: remove_spans(t, spans(h)) if h else t, "string")
+        out = docs.join(hits, digest == F.col("__hit"), "left").withColumn("text", cut("text", "__hits")).drop("__hit", "__hits")
         return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

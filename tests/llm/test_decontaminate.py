@@ -71,3 +71,18 @@ def test_empty(spark):
     docs, items = documents(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert d.find_contamination(docs, items).count() == 0
     assert d.find_contamination(documents(spark, [(1, "a")]), items).collect()[0].contaminated is False
+
+
+@pytest.mark.parametrize("most", [d.MOST_BROADCAST_WINDOWS, 3])
+def test_removal_by_row(spark, most):
+    """A null or repeated doc_id changes nothing: each row goes by its own text."""
+    long, more = " ".join(f"w{i}" for i in range(14)), " ".join(f"v{i}" for i in range(40))
+    items = spark.createDataFrame([(1, long), (2, more)], "item_id long, text string")
+    given = [(None, f"null id {long}"), (None, "null id, clean"), (1, f"hit {long} end"), (1, "clean one"), (1, "clean one"), (2, f"a {long} b"), (2, f"a {long} b"), (2, f"x {more} y"), (2, None), (3, "short")]
+    docs = documents(spark, given)
+    clean = [(i, t) for i, t in given if not t or "w0" not in t and "v0" not in t]
+    kept = [(r.doc_id, r.text) for r in d.decontaminate(docs, items, most_broadcast=most).collect()]
+    assert sorted(kept, key=repr) == sorted(clean, key=repr)
+    cut = [(r.doc_id, r.text) for r in d.decontaminate(docs, items, mode="span", most_broadcast=most).collect()]
+    want = [(i, t and t.replace(long, "").replace(more, "")) for i, t in given]
+    assert sorted(cut, key=repr) == sorted(want, key=repr)
