@@ -38,13 +38,17 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """One reading of the texts: a row per document (block null), and each task's shares of the frequency table."""
+    """One reading of the texts: a row per document (block null), and each task's shares of the frequency table.
+
+    A column digest is passed on where docs has one.
+    """
+    told = "digest" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         table = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["block", "doc_id", "n", "node", "data"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["block", "doc_id", "n", "node", "data", "digest"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             n, node, parity = [], [], []
             for text in batch.column("text"):
@@ -53,11 +57,11 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 parity.append(parity_of(s))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * len(n), batch.column("doc_id").to_pylist(), n, node, parity], kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * len(n), batch.column("doc_id").to_pylist(), n, node, parity, batch.column("digest").to_pylist() if told else [None] * len(n)], kinds, strict=True)], names)
         for block, data in table_blocks(table):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, data], kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, data, None], kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "block int, doc_id bigint, n bigint, node bigint, data binary")
+    return docs.mapInArrow(run, "block int, doc_id bigint, n bigint, node bigint, data binary, digest binary")
 
 
 def _prefixes(docs: DataFrame, table, k: int, num: int, den: int, hot: int) -> DataFrame:
@@ -295,10 +299,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     null and link with nothing.  Rows that repeat a doc_id each stand for their own text.  An empty table
     gives no rows.  Extra columns are ignored.
     """
+    rows, nodes = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, num, den, hot)
+    out = rows.join(nodes.select("node", "component_id"), "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text, perhaps digest) -> rows (doc_id, n, node, digest), and nodes (node, part, component_id)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialize(_scan(docs, k), "shingles")
-    rows = scanned.filter("block is null").select("doc_id", "n", "node")
+    rows = scanned.filter("block is null").select("doc_id", "n", "node", "digest")
     table = spark.sparkContext.broadcast(sum_tables(scanned.filter("block is not null"), 1 << SKETCH_BITS))
     docs = docs.filter("doc_id is not null")
 
@@ -322,16 +332,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     parts = connected_components(links)
     nodes = classes.join(parts, classes["node"] == parts["id"], "left").select("node", "doc_id", F.coalesce("component", "node").alias("part"))
     ends = nodes.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    nodes = materialize(nodes.select("node", "part").join(ends, "part").select("node", "component_id"), "nodes")
-    out = rows.join(nodes, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return rows, materialize(nodes.select("node", "part").join(ends, "part").select("node", "part", "component_id"), "nodes")
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all columns as they are, without the documents that link to one of smaller doc_id (over any number of links).
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = 1_000_000) -> DataFrame:
+    """docs, all columns as they are, with one row of each group of documents that link (over any number of links).
 
-    Rows with a null doc_id, null or wordless texts stay.  Of equal rows one stays.
+    The one of smallest doc_id stays; of several with that doc_id, the one whose text has the smallest SHA-256, and
+    of equal ones any.  A doc_id may have several texts: each is judged by itself.  Rows with a null doc_id, null
+    or wordless texts stay.
     """
-    found = near_duplicates(docs, k, num, den)
-    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy"))
-    return docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
+    doc_id, digest = docs["doc_id"].cast("long"), F.unhex(F.sha2(docs["text"], 256))
+    rows, nodes = _grouped(docs.select(doc_id.alias("doc_id"), "text", digest.alias("digest")), k, num, den, hot)
+    named = rows.filter("doc_id is not null and node is not null").join(nodes, "node")
+    told = materialize(named.groupBy("part", "doc_id", "digest").agg(F.count("*").alias("m")), "group-rows")
+    best = told.groupBy("part").agg(F.min(F.struct("doc_id", "digest")).alias("best"), F.sum("m").alias("total")).filter("total > 1")
+    told = told.join(best, "part").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "m", (F.struct("doc_id", "digest") == F.col("best")).alias("first"))
+    told = materialize(told.filter("not first or m > 1"), "group-copies")
+    same = (doc_id == F.col("__id")) & (digest == F.col("__digest"))
+    # what is no copy, and one each of rows that only equal ones stand beside
+    out = docs.join(told.select("__id", "__digest"), same, "left_anti")
+    again = told.filter("first").select("__id", "__digest")
+    if again.isEmpty():
+        return out
+    return out.unionByName(docs.join(again, same).dropDuplicates(["__id", "__digest"]).drop("__id", "__digest"))

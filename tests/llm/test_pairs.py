@@ -76,6 +76,17 @@ def test_keep_one(spark):
     assert keep_one(documents(spark, [])).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Repeated rows leave one; a doc_id's other text, which is no copy, stays."""
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o"
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, b), (3, c), (4, a), (5, "x y z"), (5, "X  y z"), (6, None), (6, None), (7, " "), (7, " ")]
+    docs = documents(spark, rows).repartition(3)
+    out = keep_one(docs)
+    assert out.schema == docs.schema
+    got = sorted((r.doc_id, (r.text or "").lower().split()) for r in out.collect())
+    assert got == [(1, a.split()), (2, b.split()), (3, c.split()), (5, ["x", "y", "z"]), (6, []), (6, []), (7, []), (7, [])]
+
+
 def plain_vectors(rows):
     ok = [i for i, (v, e) in enumerate(rows) if v is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
     g, n = Groups(range(len(rows))), [0] * len(rows)
