@@ -20,9 +20,14 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; its own only where none is set (tests)."""
+    """The folder that driver and executors share.
+
+    Where none is set, a session on one machine (tests) gets its own; on a cluster that raises RuntimeError.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,7 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these, once everything made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def simple_words(data: bytes) -> list[bytes]:

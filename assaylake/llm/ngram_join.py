@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, WordHashes, materialize, mix, sum_tables, table_blocks, windows
+from .common import LOWER_BYTES, WordHashes, discard, materialize, mix, sum_tables, table_blocks, windows
 from .components import connected_components
 
 #: Counters of the frequency table: 4 bytes each, so 16 MB, at every size of input.
@@ -132,7 +132,46 @@ def _with_first(rows: DataFrame) -> DataFrame:
             else:
                 given = given or mixed[0]
 
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(run, MEMBERS)
+    return rows.sortWithinPartitions("key", "salt", "node").mapInArrow(run, MEMBERS)
+
+
+def _of_like_size(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows with a neighbour of their key whose size the length filter allows, in a stream over rows sorted by size.
+
+    A key's rows fall into runs of sizes, each allowed beside the one before it; no pair across runs can link.
+    Unsalted keys are told apart by run.  Rows of one key and salt stay in one task.
+    """
+    names, kinds = ["key", "salt", "node", "n", "pos"], (np.int64, np.int32, np.int64, np.int32, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # the last row, whose next neighbour is not known yet; whether it has one before it; its run's first size
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [c.to_numpy() for c in batch.columns]
+            if held:
+                x = [np.concatenate([[v], c]).astype(t) for v, c, t in zip(held[0], x, kinds, strict=True)]
+            key, salt, _, n, _ = x
+            m = len(key)
+            near = np.zeros(m + 1, dtype=bool)  # near[i]: row i may stand beside row i - 1
+            near[0] = bool(held) and held[1]
+            near[1:m] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (n[:-1].astype(np.int64) * den >= n[1:].astype(np.int64) * num)
+            starts = np.flatnonzero(~near[:m])
+            first = np.concatenate([[held[2] if held else n[0]], n[starts]])[np.cumsum(~near[:m])]
+            keep = near[:-1] | near[1:]
+            keep[-1] = False  # told by the next batch
+            with np.errstate(over="ignore"):
+                own = np.where(salt > 0, key, (key.view(np.uint64) ^ mix(first.astype(np.uint64))).view(np.int64))
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (own, *x[1:])], names)
+            held = [tuple(c[-1] for c in x), bool(near[m - 1]), int(first[-1])]
+        if held and held[1]:
+            row, at = held[0], np.array([held[0][0]], dtype=np.int64)
+            if row[1] == 0:
+                at = (at.view(np.uint64) ^ mix(np.array([held[2]], dtype=np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.array([v], dtype=t)) for v, t in zip(row[1:], kinds[1:], strict=True))], names)
+
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(run, "key bigint, salt int, node bigint, n int, pos int")
 
 
 def _possible(num: int, den: int) -> Column:
@@ -176,10 +215,9 @@ def _near_enough(x: np.ndarray, y: np.ndarray, both: np.ndarray, num: int, den:
     return (both - apart) * (den + num) >= 2 * num * both
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the nodes in pairs(a, b), compressed: only texts whose doc_id a table of fixed size marks leave their task."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(classes, "node"), "wanted")
+def _texts(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, text) of the given nodes, compressed: only texts whose doc_id a table of fixed size marks leave their task."""
+    wanted = materialize(nodes.select("node").distinct().join(classes, "node"), "wanted")
     marks = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +232,9 @@ def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "doc_id", "text"])
 
     found = docs.select("doc_id", "text").mapInArrow(marked, "node bigint, doc_id bigint, text binary").join(wanted, ["node", "doc_id"], "left_semi")
-    return materialize(found.dropDuplicates(["node", "doc_id"]).select("node", "text"), "texts")
+    out = materialize(found.dropDuplicates(["node", "doc_id"]).select("node", "text"), "texts")
+    discard(wanted)
+    return out
 
 
 def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,9 +250,8 @@ def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFr
     return both.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("both")).mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """pairs(a, b) of nodes -> those whose sets meet the threshold."""
-    texts = _texts(pairs, docs, classes, k)
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
@@ -228,41 +267,71 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(equal, "a bigint, b bigint"), "links")
 
 
-def _stray_pairs(members: DataFrame, parts: DataFrame, signatures: DataFrame, num: int, den: int, block: int = 1000) -> DataFrame:
-    """Pairs of members of a key in different components, of which one is outside the key's main component.
+#: Places of a key's strays or members in one block.
+BLOCK_ROWS = 1000
+#: By rank of nearness, which candidates of a stray each round tries; a block has no more members than the last covers.
+RANKS = [0, 1, 4, 16, 64, 256, 1 << 40]
 
-    Length, positional and suffix filters are applied where the pairs are built, so few rows come out.
-    Keys of many members are dealt over blocks: strays by members.
-    """
+
+def _mixed(members: DataFrame, parts: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The members of keys that hold several components, each with its part, its signature, the key's main part and its numbers of blocks."""
     named = members.select("key", "node", "n", "pos").join(parts, members["node"] == parts["id"], "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
-    named = materialize(named, "named")
+    named = materialize(named.distinct(), "named")
+    discard(members)
     mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    named = materialize(named.join(mixed, "key", "left_semi").distinct(), "mixed")
-    sizes = named.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("total"))
-    blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    sizes = named.join(mixed, "key", "left_semi").groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("total"))
+    blocks = lambda c: F.greatest(F.ceil(c / BLOCK_ROWS), F.lit(1)).cast("int")
     sizes = materialize(sizes.select("key", F.col("main.part").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.m")).alias("ns")), "sizes")
-    named = named.join(sizes, "key").join(signatures.select("node", "data"), "node").select("key", "node", "n", "pos", "part", "nb", "ns", (F.col("part") != F.col("main")).alias("stray"), "data")
-    place = F.xxhash64("node")
-    as_member = named.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), F.lit(False).alias("asks"), "node", "n", "pos", "part", "data")
-    as_stray = named.filter("stray").select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "n", "pos", "part", "data")
-    keys = ["key", "i", "j"]
+    out = materialize(named.join(sizes, "key").join(signatures.select("node", "data"), "node").select("key", "node", "n", "pos", "part", "main", "nb", "ns", "data"), "mixed")
+    discard(named, sizes)
+    return out
+
+
+def _candidates(rows: DataFrame, ranks: tuple[int, int], num: int, den: int) -> DataFrame:
+    """Of each row outside its key's main part, the candidates of these ranks that are in another component now.
+
+    rows: as _mixed gives them, and `now`, a row's present component.  A row's candidates in a block are members of
+    other parts that length, positional and suffix filters leave; the fewer bits differ, the lower their rank.
+    Gives (key, x, y, more): pairs, with more true if the row has candidates of later ranks.  With ranks from
+    0 on also, with y null, each row that is in any pair.  So no more rows come out than go in, times the ranks.
+    Keys of many members are dealt over blocks: strays by members.
+    """
+    place, own = F.xxhash64("node"), ["node", "n", "pos", "part", "now", "data"]
+    as_member = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), F.lit(False).alias("asks"), *own)
+    as_stray = rows.filter("part <> main").select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), *own)
+    keys, kinds = ["key", "i", "j"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = pa.Table.from_batches(parts).combine_chunks()
+        def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = pa.Table.from_batches(held).combine_chunks()
             asks = g.column("asks").to_numpy()
-            node, n, pos, part = (g.column(c).to_numpy() for c in ("node", "n", "pos", "part"))
+            node, n, pos, part, now = (g.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "pos", "part", "now"))
             data = _signatures(g.column("data"))
             there = np.flatnonzero(~asks)
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            m, p, pairs, seen = n[there], pos[there], [], np.zeros(len(node), dtype=bool)
             for x in np.flatnonzero(asks):
-                m, p = n[there], pos[there]
                 ok = (part[there] != part[x]) & (np.minimum(m, n[x]) * den >= np.maximum(m, n[x]) * num)
                 ok &= (np.minimum(m - p, n[x] - pos[x]) + np.minimum(p, pos[x])) * (den + num) >= (m + n[x]) * num
                 y = there[ok]
-                y = y[_near_enough(data[y], data[x], n[y] + n[x], num, den)]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x]))], ["a", "b"])
+                apart = np.bitwise_count(data[y] ^ data[x]).sum(axis=-1, dtype=np.int64)
+                near = (n[y] + n[x] - apart) * (den + num) >= 2 * num * (n[y] + n[x])
+                y, apart = y[near], apart[near]
+                if not len(y):
+                    continue
+                seen[x] = seen[y] = True
+                y = y[np.lexsort((node[y], apart))]
+                open_ = now[y] != now[x]
+                more = bool(open_[ranks[1] :].any())
+                y = y[ranks[0] : ranks[1]][open_[ranks[0] : ranks[1]]]
+                pairs += [(node[x], z, more) for z in node[y].tolist()]
+                if more and not len(y):
+                    pairs.append((node[x], node[x], True))
+            key = g.column("key")[0].as_py()
+            if ranks[0] == 0:
+                pairs += [(x, None, False) for x in np.unique(node[seen]).tolist()]
+            for at in range(0, len(pairs), 100_000):
+                cols = list(zip(*pairs[at : at + 100_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[key] * len(cols[0]), *cols], kinds, strict=True)], ["key", "x", "y", "more"])
 
         held, last = [], None
         for batch in batches:
@@ -279,7 +348,37 @@ def _stray_pairs(members: DataFrame, parts: DataFrame, signatures: DataFrame, nu
         if held:
             yield from group(held)
 
-    return as_member.unionByName(as_stray).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+    found = as_member.unionByName(as_stray).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "key bigint, x bigint, y bigint, more boolean")
+    return materialize(found, "candidates")
+
+
+def _more_links(mixed: DataFrame, tried: DataFrame, links: DataFrame, parts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """parts after all candidates of mixed are either in one component or refuted.
+
+    Every round tries each stray's next nearest candidates, so most of what links does so in the first, and what is
+    then in one component is not tried any more.  The text of a node is fetched once.
+    """
+    texts, rows = None, mixed.withColumn("now", F.col("part"))
+    for ranks in zip(RANKS, RANKS[1:], strict=False):
+        found = _candidates(rows, ranks, num, den)
+        if texts is None:
+            known = found.filter("y is null").select("key", F.col("x").alias("node")).distinct()
+            texts = _texts(known.select("node"), docs, classes, k)
+            rows = materialize(rows.join(known, ["key", "node"], "left_semi"), "open")
+            discard(mixed)
+        pairs = found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = _verified(pairs, texts, k, num, den)
+        tried = tried.unionByName(pairs)
+        if not new.isEmpty():
+            parts = materialize(connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "parts")
+        open_keys = found.filter("more").select("key").distinct()
+        if open_keys.isEmpty():
+            break
+        named = parts.select(F.col("id").alias("node"), "component")
+        rows = rows.join(open_keys, "key", "left_semi").join(named, "node", "left").withColumn("now", F.coalesce("component", "node")).drop("component")
+        rows = materialize(rows, "open")
+    return parts
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = 1_000_000) -> DataFrame:
@@ -291,9 +390,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Equal sets are one node.  Sets are ordered by a frequency table of all documents (of fixed size; any
     order gives the same links, a better one fewer candidates).  Nodes that share a prefix shingle are
-    candidates.  First each member of a shingle's group meets the group's first, and what links is united;
-    then only members outside the group's main component still meet the others, so a group of near copies
-    never yields all its pairs.  Shingles that may stand in more than `hot` sets are salted.
+    candidates if their sizes allow a link.  First each member of a shingle's group meets the group's first, and
+    what links is united; then members outside the group's main component meet the others, nearest first and in
+    rounds, and only those that no earlier round has united, so a group of near copies never yields all its pairs.  Shingles that may stand in more than `hot` sets are salted.
 
     Null or wordless text: an empty set, linked with nothing.  Rows with a null doc_id get component_id
     null and link with nothing.  Rows that repeat a doc_id each stand for their own text.  An empty table
@@ -316,20 +415,21 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, hot: int) -> tuple[Dat
     signatures = scanned.filter("node is not null").select("doc_id", "node", "n", "data").join(classes, ["node", "doc_id"], "left_semi").select("node", "n", "data")
     signatures = materialize(signatures.dropDuplicates(["node"]), "signatures")
 
-    possible = _possible(num, den)
-    members = materialize(_with_first(_prefixes(docs, table, k, num, den, hot)), "members")
+    members = materialize(_with_first(_of_like_size(_prefixes(docs, table, k, num, den, hot), num, den)), "members")
     firsts = members.filter("salt > 0 and node = node2").select("key", "node", "n", "pos").distinct()
     ends = firsts.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"))
     meet = members.select("node", "n", "pos", "node2", "n2", "pos2").unionByName(firsts.join(ends, "key").select("node", "n", "pos", "node2", "n2", "pos2"))
     ordered = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    pairs = materialize(meet.filter("node <> node2").filter(possible).select(*ordered).distinct(), "pairs")
-    links = _verified(materialize(_near(pairs, signatures, num, den), "candidates"), docs, classes, k, num, den)
+    pairs = materialize(meet.filter("node <> node2").filter(_possible(num, den)).select(*ordered).distinct(), "pairs")
+    near = materialize(_near(pairs, signatures, num, den), "near")
+    texts = _texts(near.select(F.explode(F.array("a", "b")).alias("node")), docs, classes, k)
+    links = _verified(near, texts, k, num, den)
+    discard(texts, pairs)
     parts = materialize(connected_components(links), "parts")
-    more = materialize(_stray_pairs(members, parts, signatures, num, den).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, classes, k, num, den))
+    mixed = _mixed(members, parts, signatures)
+    discard(signatures)
+    parts = _more_links(mixed, near, links, parts, docs, classes, k, num, den)
 
-    parts = connected_components(links)
     nodes = classes.join(parts, classes["node"] == parts["id"], "left").select("node", "doc_id", F.coalesce("component", "node").alias("part"))
     ends = nodes.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return rows, materialize(nodes.select("node", "part").join(ends, "part").select("node", "part", "component_id"), "nodes")
