@@ -114,6 +114,7 @@ def normalise_url(url: Column) -> Column:
     return F.concat(F.lit("https://"), host, F.regexp_extract(u, r"^https?://[^/]+(/.*)?$", 1))
 
 
-def points_of(value: Column) -> Column:
-    """Integer points from text such as "7.9" (7); null if it is no number."""
-    return value.try_cast("double").cast("bigint")
+def sort_key(number: Column) -> Column:
+    """Parts of a number between dots and dashes, as numbers to sort by; one zero if a part is none."""
+    parts = F.transform(F.filter(F.split(number, r"[.\-]"), lambda p: p != ""), lambda p: p.try_cast("double"))
+    return F.when(F.exists(parts, lambda p: p.isNull()), F.array(F.lit(0.0))).otherwise(parts)

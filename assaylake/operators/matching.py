@@ -2,69 +2,60 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MATCHES = "exam_id long, group_id string, item_no string, question_no string, match string, needs_review boolean"
+from ..functions.text import sort_key
 
 
-def natural(number: str) -> tuple:
-    return tuple(int(p) if p.isdigit() else 999 for p in str(number).replace("-", ".").split("."))
+def tidy(number: Column) -> Column:
+    """A number without blanks around it and dots after it."""
+    return F.rtrim(F.trim(F.coalesce(number, F.lit(""))), F.lit("."))
 
 
-def match_group(items: list[tuple[str, int | None]], questions: list[tuple[str, int | None]]) -> dict[int, tuple[int, str, bool]]:
-    """Item place -> (question place, kind, needs review) within one group.
+def match_criteria(items: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items(root, ord, group_id, number, points), questions(root, ord, question_id, group_id, number, points).
 
-    Equal numbers first.  Then each item in turn takes the only free question of its points.  If as many
-    items as questions are left, they pair up in natural order.  A question is taken once.
-    """
-    found: dict[int, tuple[int, str, bool]] = {}
-    by_number = {n: q for q, (n, _) in enumerate(questions)}
-    for i, (n, _) in enumerate(items):
-        if n in by_number and by_number[n] not in {q for q, *_ in found.values()}:
-            found[i] = (by_number[n], "exact", False)
-    left = lambda: [q for q in range(len(questions)) if q not in {x for x, *_ in found.values()}]
-    free = [i for i in range(len(items)) if i not in found]
-    for i in free:
-        same = [q for q in left() if items[i][1] is not None and questions[q][1] == items[i][1]]
-        if len(same) == 1 and len([j for j in free if j not in found and items[j][1] == items[i][1]]) >= 1:
-            found[i] = (same[0], "points", True)
-    free = sorted((i for i in range(len(items)) if i not in found), key=lambda i: natural(items[i][0]))
-    rest = sorted(left(), key=lambda q: natural(questions[q][0]))
-    if len(free) == len(rest):
-        found |= {i: (q, "positional", True) for i, q in zip(free, rest, strict=True)}
-    return found
-
-
-def match_criteria(items: DataFrame, questions: DataFrame) -> DataFrame:
-    """items, questions: (exam_id, group_id, number, points, ord) -> one row per item with its question.
-
-    Taking questions in turn depends on order, so each exam's group is one small group of its own; exact
-    matches need no more than an equality, and the rest of a group is a handful of rows.
-    """
-    both = items.select("exam_id", "group_id", "number", "points", "ord", F.lit(0).alias("side")).unionByName(questions.select("exam_id", "group_id", "number", "points", "ord", F.lit(1).alias("side")))
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["side", "ord"], kind="stable")
-        rows = [(str(n), None if pd.isna(p) else int(p), s) for n, p, s in zip(batch["number"], batch["points"], batch["side"], strict=True)]
-        own, qs = [r[:2] for r in rows if r[2] == 0], [r[:2] for r in rows if r[2] == 1]
-        found = match_group(own, qs)
-        exam, group = batch["exam_id"].iloc[0], batch["group_id"].iloc[0]
-        out = [(exam, group, n, qs[found[i][0]][0] if i in found else None, found[i][1] if i in found else "unmatched", found[i][2] if i in found else True) for i, (n, _) in enumerate(own)]
-        return pd.DataFrame(out, columns=["exam_id", "group_id", "item_no", "question_no", "match", "needs_review"])
-
-    return both.groupBy("exam_id", "group_id").applyInPandas(run, MATCHES)
+    Question ids are unique within an exam.  Three passes, each a join or a window:
 
+    exact: an item takes the last question of its group and number; several items may share one.
+    points: of a group's items of some points (null is a value here) the first takes the group's only free question
+    of these points, if there is exactly one.  Whoever comes later finds it taken.
+    positional: if a group's free items and questions are equally many, the items' numbers all flat and the questions'
+    all decimal or all flat, they pair up in natural order.
 
-def exact_matches(items: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
-    """Items and questions of equal key, as a plain join."""
-    return items.join(questions, keys)
+    Gives the items with question_id, match (null if there is none) and needs_review, and the questions that none took.
+    """
+    items = items.select("root", "ord", "group_id", "number", "points", F.col("group_id").alias("gid"), tidy(F.col("number")).alias("no"))
+    q = questions.select("root", F.col("ord").alias("q_ord"), "question_id", F.lower(F.trim(F.coalesce("group_id", F.lit("")))).alias("gid"), tidy(F.col("number")).alias("no"), "points")
+
+    index = q.filter("no <> ''").groupBy("root", "gid", "no").agg(F.max_by("question_id", "q_ord").alias("exact"))
+    items = items.join(index, ["root", "gid", "no"], "left")
+    taken = items.filter("exact IS NOT NULL").select("root", F.col("exact").alias("question_id")).distinct()
+    free_q = q.join(taken, ["root", "question_id"], "left_anti")
+
+    single = free_q.groupBy("root", "gid", F.col("points").alias("q_points")).agg(F.count("*").alias("n"), F.min("question_id").alias("by_points")).filter("n = 1").drop("n")
+    first = F.row_number().over(Window.partitionBy("root", "gid", "points").orderBy("ord")) == 1
+    free = items.filter("exact IS NULL").withColumn("first", first)
+    on = (free["root"] == single["root"]) & (free["gid"] == single["gid"]) & F.col("first") & free["points"].eqNullSafe(single["q_points"])
+    free = free.join(single, on, "left").select(*(free[c] for c in ("root", "ord", "gid", "no")), "by_points")
+
+    rest_q = free_q.join(free.filter("by_points IS NOT NULL").select("root", F.col("by_points").alias("question_id")), ["root", "question_id"], "left_anti")
+    in_group = Window.partitionBy("root", "gid")
+    flat, decimal = F.col("no").rlike(r"^\d+$"), F.col("no").rlike(r"^\d+\.\d+")
+    place = lambda o: F.row_number().over(in_group.orderBy(sort_key(F.col("no")), o)).alias("place")
+    a = free.filter("by_points IS NULL").select("root", "ord", "gid", place("ord"), F.count("*").over(in_group).alias("n"), F.min(flat).over(in_group).alias("fit")).filter("fit")
+    b = rest_q.select("root", "question_id", "gid", place("q_ord"), F.count("*").over(in_group).alias("n"), (F.min(flat).over(in_group) | F.min(decimal).over(in_group)).alias("fit")).filter("fit")
+    by_place = a.join(b, ["root", "gid", "place", "n"]).select("root", "ord", F.col("question_id").alias("by_place"))
+
+    out = items.join(free.select("root", "ord", "by_points"), ["root", "ord"], "left").join(by_place, ["root", "ord"], "left")
+    match = F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_points").isNotNull(), "points").when(F.col("by_place").isNotNull(), "positional")
+    out = out.select("root", "ord", "group_id", "number", F.coalesce("exact", "by_points", "by_place").alias("question_id"), match.alias("match"), (F.coalesce("exact", "by_points").isNull()).alias("needs_review"))
+    left = rest_q.join(by_place.select("root", F.col("by_place").alias("question_id")), ["root", "question_id"], "left_anti")
+    return out, left.select("root", "question_id")
 
 
 def unique_by_points(items: DataFrame, questions: DataFrame, keys: list[str], points: str) -> DataFrame:
     """Pairs of an item and a question that each are the only ones of their points in the key: the order-free part."""
     one = lambda df, name: df.groupBy(*keys, points).agg(F.count("*").alias("__n"), F.min(name).alias(name)).filter("__n = 1").drop("__n")
     return one(items, "item_id").join(one(questions, "question_id"), [*keys, points])
-
-

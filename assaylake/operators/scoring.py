@@ -11,18 +11,30 @@ def totals(df: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.coalesce(points, F.lit(0))).cast("bigint").alias("total"), F.count("*").alias("n"), F.count_if(F.coalesce(points, F.lit(0)) == 0).alias("missing"))
 
 
-def largest_remainder(df: DataFrame, keys: list[str], weight: str, total: int, order: list[str], name: str = "share", least: int = 1) -> DataFrame:
-    """Whole shares of `total` in proportion to the weights.
+def largest_remainder(df: DataFrame, keys: list[str], weight: str, total: Column, order: list[str], name: str = "share") -> DataFrame:
+    """Points of each key rescaled to its total, in proportion, so that they add up to it.
 
-    Each row first gets `least` or its rounded-down share; what is left goes by largest remainder, then
-    order.  Integer arithmetic only.  With `least` the shares of a key may sum to more than the total.
+    Each row is given one point; the rest of the total is shared out by weight, rounded down, and what is then left
+    goes by largest fraction, then order.  A key keeps its weights (null as 0) where there is no total, where they
+    add up to it or to nothing, or to less than two fifths or more than five times of it, or where it has fewer points than rows.
     """
     whole = Window.partitionBy(*keys)
-    df = df.withColumn("__sum", F.sum(weight).over(whole)).withColumn("__low", F.expr(f"({total} * {weight}) div __sum")).withColumn("__rest", F.expr(f"({total} * {weight}) % __sum"))
-    ranked = Window.partitionBy(*keys).orderBy(F.col("__rest").desc(), *order)
-    df = df.withColumn("__left", F.lit(total) - F.sum("__low").over(whole)).withColumn("__rank", F.row_number().over(ranked))
-    share = F.greatest(F.col("__low") + (F.col("__rank") <= F.col("__left")).cast("bigint"), F.lit(least))
-    return df.withColumn(name, share.cast("bigint")).drop("__sum", "__low", "__rest", "__left", "__rank")
+    own = F.greatest(F.coalesce(weight, F.lit(0)), F.lit(0))
+    df = df.withColumn("__w", own.cast("bigint")).withColumn("__sum", F.sum("__w").over(whole)).withColumn("__n", F.count("*").over(whole)).withColumn("__total", total)
+    raw = (F.col("__total") - F.col("__n")) * F.col("__w") / F.col("__sum")
+    df = df.withColumn("__raw", F.when(F.col("__sum") > 0, raw)).withColumn("__low", F.floor("__raw"))
+    ranked = whole.orderBy((F.col("__raw") - F.col("__low")).desc(), *order)
+    df = df.withColumn("__left", F.col("__total") - F.col("__n") - F.sum("__low").over(whole)).withColumn("__rank", F.row_number().over(ranked))
+    fits = (F.col("__sum") != F.col("__total")) & (F.col("__sum") > 0) & (F.col("__sum") >= F.col("__total") * 0.4) & (F.col("__sum") <= F.col("__total") * 5) & (F.col("__total") >= F.col("__n"))
+    share = F.when(fits, 1 + F.col("__low") + (F.col("__rank") <= F.col("__left")).cast("bigint")).otherwise(F.col("__w"))
+    return df.withColumn(name, share.cast("bigint")).drop("__w", "__sum", "__n", "__total", "__raw", "__low", "__left", "__rank")
+
+
+def era_total(year: Column, group: Column) -> Column:
+    """Official points of a group of the Portuguese exam; null where its year has no fixed split."""
+    # Points of the groups by years.
+    eras = [((2008, 2017), {"grupo_i": 100, "grupo_ii": 50, "grupo_iii": 50}), ((2018, 2019), {"grupo_i": 104, "grupo_ii": 56, "grupo_iii": 40})]
+    return F.coalesce(*(F.when(year.between(*years) & (group == name), F.lit(points)) for years, groups in eras for name, points in groups.items()))
 
 
 def optional_pool(df: DataFrame, keys: list[str], optional: Column, target: int, points: str = "points") -> DataFrame:

@@ -32,16 +32,28 @@ def page_groups(pages: DataFrame) -> DataFrame:
     return out.filter("group_id IS NOT NULL").select("exam_id", "page", "group_id")
 
 
+#: How a text names documents: from one to another, several, one, or all of them.
+DOC_RANGE = r"\b(?:documentos?|docs?\.?)\s+(?:de\s+)?(\d+)\s*(?:a|ao|-|–|—)\s*(\d+)\b"
+DOC_LIST = r"\b(?:documentos?|docs?\.?)\s+((?:\d+\s*(?:,|;|e)\s*)+\d+)\b"
+DOC_ONE = r"\b(?:documento|doc\.?)\s+(\d+)\b"
+DOC_ALL = [
+    "cada um dos documentos", "dos documentos apresentados", "dos dois documentos", "dos tres documentos", "dos três documentos",
+    "dados disponiveis nos documentos", "dados disponíveis nos documentos", r"a partir dos documentos(?!\s+de\s+\d)",
+]
+
+
 def document_references(text: Column, allowed: Column) -> Column:
-    """Sorted numbers of the allowed documents that a text names: one, a list, a range, or all of them."""
-    low = F.lower(text)
-    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
-    span = F.regexp_extract(low, r"documentos?\s+(\d+)\s+a\s+(\d+)", 0)
-    ends = numbers(span)
-    listed = numbers(F.regexp_extract(low, r"documentos?\s+((?:\d+(?:\s*,\s*|\s+e\s+)?)+)", 1))
-    every = low.rlike(r"(?:cada um|todos|ambos)\s+(?:dos|os)\s+documentos")
-    named = F.when(span != "", F.sequence(F.try_element_at(ends, F.lit(1)), F.greatest(F.try_element_at(ends, F.lit(2)), F.try_element_at(ends, F.lit(1))))).when(every, allowed).otherwise(listed)
-    return F.array_sort(F.array_intersect(allowed, named))
+    """Sorted numbers of the documents that a text names, by ranges, lists and single mentions together.
+
+    If it names none but speaks of all, all allowed ones.  An empty list allows any number.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = lambda t, pattern, group: F.transform(F.regexp_extract_all(t, F.lit("(?iu)" + pattern), F.lit(group)), lambda x: x.try_cast("int"))
+    spans = F.flatten(F.zip_with(found(text, DOC_RANGE, 1), found(text, DOC_RANGE, 2), lambda a, b: F.sequence(F.least(a, b), F.greatest(a, b))))
+    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("(?iu)" + DOC_LIST), F.lit(1)), lambda t: found(t, r"(\d+)", 1)))
+    named = F.array_distinct(F.concat(spans, listed, found(text, DOC_ONE, 1)))
+    named = F.when((F.size(named) == 0) & text.rlike("(?iu)" + "|".join(DOC_ALL)), allowed).otherwise(named)
+    return F.array_sort(F.when(F.size(allowed) > 0, F.array_intersect(named, allowed)).otherwise(named))
 
 
 def scoring_columns(lines: DataFrame) -> DataFrame:
@@ -57,19 +69,3 @@ def scoring_columns(lines: DataFrame) -> DataFrame:
     items = df.filter("item IS NOT NULL").select("exam_id", "group_id", "item", place("pos"))
     points = df.filter("item IS NULL AND points IS NOT NULL").select("exam_id", "group_id", "points", place("pos"))
     return items.join(points, ["exam_id", "group_id", "pos"]).select("exam_id", "group_id", "item", "points")
-
-
-def criteria_items(lines: DataFrame, ahead: int = 5) -> DataFrame:
-    """(exam_id, group_id, item, points, v1, v2) from lines of a criteria text.
-
-    An item's points stand on its line or within the next lines before another item; answers of both
-    versions stand on its line.
-    """
-    line = F.col("line")
-    points = F.nullif(F.regexp_extract(line, r"(\d{1,3})\s+pontos", 1), F.lit("")).cast("bigint")
-    item = F.nullif(F.regexp_extract(line, r"^\s*(\d{1,2})\.(?:\s|$)", 1), F.lit("")).cast("bigint")
-    df = lines.withColumn("own", points).withColumn("item", item)
-    df = seq.carry_forward(df, ["exam_id"], ["line_no"], group_of_line(line), "group_id")
-    df = seq.look_ahead(df, ["exam_id"], ["line_no"], F.col("own"), F.col("item").isNotNull(), ahead, "later")
-    version = lambda n: F.nullif(F.regexp_extract(line, rf"(?iu)Vers[ãa]o {n}:\s*\(?([A-E])\)?", 1), F.lit(""))
-    return df.filter("item IS NOT NULL AND group_id IS NOT NULL").select("exam_id", "group_id", "item", F.coalesce("own", "later").alias("points"), version(1).alias("v1"), version(2).alias("v2")).filter("points IS NOT NULL")

@@ -145,15 +145,6 @@ def q_unique_points_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.unique_by_points(items, questions, ["exam_id"], "points").select("exam_id", "points", "item_id", "question_id")
 
 
-@query()
-def q_criteria_match(spark: SparkSession, d: str) -> DataFrame:
-    """Three passes in turn; taking questions in turn is no SQL, so tests compare with hand-traced cases."""
-    q = leaf(spark, d).withColumn("group_id", F.col("status"))
-    columns = ["exam_id", "group_id", F.concat("number", F.lit("."), "supp_id").alias("number"), "points", "ord"]
-    items = q.filter("flag = 'A'").select(*columns)
-    return matching.match_criteria(items, q.filter("flag = 'N'").select("exam_id", "group_id", F.col("number").cast("string").alias("number"), "points", "ord"))
-
-
 @query(f"""WITH {LEAF_SQL}, q AS (SELECT exam_id, ord, number, supp_id FROM leaf WHERE flag = 'N'), s AS (SELECT exam_id, number AS s_number, supp_id AS s_supp, ord AS s_ord, points AS s_points FROM leaf WHERE flag = 'A'),
 r AS (SELECT q.exam_id, ord, 1 AS strategy, s_ord, s_points FROM q JOIN s ON q.exam_id = s.exam_id AND number = s_number AND supp_id = s_supp UNION ALL SELECT q.exam_id, ord, 2, s_ord, s_points FROM q JOIN s ON q.exam_id = s.exam_id AND number = s_number UNION ALL SELECT q.exam_id, ord, 3, s_ord, s_points FROM q JOIN s ON q.exam_id = s.exam_id AND number = s_number + 1)
 SELECT exam_id, ord, CAST(strategy AS BIGINT) AS strategy, s_points FROM r QUALIFY row_number() OVER (PARTITION BY exam_id, ord ORDER BY strategy, s_ord) = 1""")

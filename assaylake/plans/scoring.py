@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, dedupe, scoring, sequences
+from ..sources.exams import MODEL_SQL, model
 from ..sources.tables import LEAF_SQL, leaf, plain_leaf, table
 from .registry import query
 
@@ -58,12 +59,17 @@ def q_duplicate_content(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.repeated_content(table(spark, d, "documents"), ["source"], "text", "doc_id")
 
 
-@query(f"""WITH {LEAF_SQL}, w AS (SELECT exam_id, ord, points, CAST(sum(points) OVER e AS BIGINT) AS total FROM leaf WINDOW e AS (PARTITION BY exam_id)),
-low AS (SELECT *, (200 * points) // total AS low, (200 * points) % total AS rest FROM w),
-r AS (SELECT *, 200 - CAST(sum(low) OVER (PARTITION BY exam_id) AS BIGINT) AS left_over, row_number() OVER (PARTITION BY exam_id ORDER BY rest DESC, ord) AS place FROM low)
-SELECT exam_id, ord, points, CAST(greatest(low + CASE WHEN place <= left_over THEN 1 ELSE 0 END, 1) AS BIGINT) AS share FROM r""")
+@query(f"""WITH {MODEL_SQL}, w AS (SELECT q.root, ord, greatest(coalesce(points, 0), 0) AS w, CASE WHEN year BETWEEN 2008 AND 2017 THEN 50 WHEN year BETWEEN 2018 AND 2019 THEN 56 END AS official FROM questions q JOIN exams e ON e.root = q.root),
+s AS (SELECT *, CAST(sum(w) OVER g AS BIGINT) AS total, count(*) OVER g AS n FROM w WINDOW g AS (PARTITION BY root)),
+r AS (SELECT *, CAST((official - n) * w AS DOUBLE) / nullif(total, 0) AS raw FROM s), f AS (SELECT *, CAST(floor(raw) AS BIGINT) AS low FROM r),
+p AS (SELECT *, official - n - CAST(sum(low) OVER (PARTITION BY root) AS BIGINT) AS rest, row_number() OVER (PARTITION BY root ORDER BY raw - low DESC NULLS LAST, ord) AS place FROM f)
+SELECT root, ord, w AS points, CASE WHEN total <> official AND total > 0 AND total BETWEEN official * 0.4 AND official * 5 AND official >= n THEN 1 + low + CASE WHEN place <= rest THEN 1 ELSE 0 END ELSE w END AS share FROM p""")
 def q_largest_remainder(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.largest_remainder(leaf(spark, d), ["exam_id"], "points", 200, ["ord"]).select("exam_id", "ord", "points", "share")
+    """Points of the second group, here all of an exam's, rescaled to the official total of the exam's year."""
+    ex = model(spark, d)
+    q = ex.questions.join(ex.exams.select("root", "year"), "root")
+    out = scoring.largest_remainder(q, ["root"], "points", scoring.era_total(F.col("year"), F.lit("grupo_ii")), ["ord"])
+    return out.select("root", "ord", F.greatest(F.coalesce("points", F.lit(0)), F.lit(0)).cast("bigint").alias("points"), "share")
 
 
 @query(f"""WITH {LEAF_SQL}, c AS (SELECT exam_id, CAST(sum(points) AS BIGINT) AS child_points, count(*) AS children, bool_or(flag = 'R') AS any_flagged, bool_and(flag = 'R') AS all_flagged FROM leaf GROUP BY exam_id)

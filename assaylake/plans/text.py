@@ -97,16 +97,6 @@ def q_option_extract(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", F.inline(found))
 
 
-REFERENCES = ["documentos 1 a 3", "documentos 1, 2 e 3", "cada um dos documentos", "documento 4", "Documentos 2 e 1", "sem mais"]
-
-
-@query("""SELECT CAST(id AS BIGINT) AS id, CAST(doc AS BIGINT) AS doc FROM (VALUES (0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2), (4, 1), (4, 2)) v(id, doc)""")
-def q_document_references(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that a text refers to, of the allowed 1 and 2; the SQL holds hand-traced values."""
-    df = spark.createDataFrame(list(enumerate(REFERENCES)), "id bigint, s string")
-    return df.select("id", F.explode(scoring_text.document_references(F.col("s"), F.array(F.lit(1), F.lit(2)))).alias("doc")).select("id", F.col("doc").cast("bigint").alias("doc"))
-
-
 NUMBERS = ["10", "2", "1.10", "1.2", "B", "1-3"]
 
 
@@ -139,24 +129,3 @@ def q_page_groups(spark: SparkSession, d: str) -> DataFrame:
     texts = ["Prova 623", "GRUPO I\nDocumento 1", "1. Refira o autor", "GRUPO II", "COTAÇÕES GRUPO I"]
     df = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(texts)], "exam_id bigint, page bigint, text string")
     return scoring_text.page_groups(df)
-
-
-CRITERIA = """CRITÉRIOS ESPECÍFICOS DE CLASSIFICAÇÃO
-GRUPO I
-1. ........ 20 pontos
-Devem ser abordados os tópicos seguintes:
-− refere a ironia;
-Aspetos de conteúdo
-2. Versão 1: (D); Versão 2: (B) ........ 13 pontos
-GRUPO II
-1. ........ 13 pontos
-2.
-texto
-13 pontos"""
-
-
-@query("""SELECT group_id, CAST(item AS BIGINT) AS item, CAST(points AS BIGINT) AS points, v1, v2 FROM (VALUES ('grupo_i', 1, 20, NULL, NULL), ('grupo_i', 2, 13, 'D', 'B'), ('grupo_ii', 1, 13, NULL, NULL), ('grupo_ii', 2, 13, NULL, NULL)) v(group_id, item, points, v1, v2)""")
-def q_criteria_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Items of a criteria text; the SQL holds hand-traced values."""
-    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(CRITERIA.split("\n"))], "exam_id bigint, line_no bigint, line string")
-    return scoring_text.criteria_items(df).select("group_id", "item", "points", "v1", "v2")
