@@ -270,7 +270,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 #: Places of a key's strays or members in one block.
 BLOCK_ROWS = 1000
 #: By rank of nearness, which candidates of a stray each round tries; a block has no more members than the last covers.
-RANKS = [0, 1, 4, 16, 64, 256, 1 << 40]
+RANKS = [0, 2, 16, 1 << 40]
 
 
 def _mixed(members: DataFrame, parts: DataFrame, signatures: DataFrame) -> DataFrame:
