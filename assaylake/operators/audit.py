@@ -1,28 +1,14 @@
-"""Rules that yield issues, and what follows from issues.
-
-Every rule is a DataFrame of leaf questions -> issues(exam_id, severity, code, number, expected, actual).
-"""
+"""Rules of any exam that yield issues(exam_id, severity, code, number, expected, actual), and what follows from issues."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scoring import totals
-from .sequences import gaps
-
 SEVERITIES = ["BLOCKER", "HIGH", "MEDIUM", "LOW", "INFO"]
 ISSUE = ["exam_id", "severity", "code", "number", "expected", "actual"]
 
 
-def issue(df: DataFrame, severity: str | Column, code: str, number: Column | None = None, expected: Column | None = None, actual: Column | None = None) -> DataFrame:
-    text = lambda c: (F.lit(None) if c is None else c).cast("string")
-    return df.select("exam_id", (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit(code).alias("code"), text(number).alias("number"), text(expected).alias("expected"), text(actual).alias("actual"))
-
-
 def rank(severity: Column) -> Column:
     """0 for the gravest; unknown severities come last."""
     cases = F.lit(len(SEVERITIES))
@@ -31,35 +17,31 @@ def rank(severity: Column) -> Column:
     return cases.cast("bigint")
 
 
-def missing_points(leaf: DataFrame) -> DataFrame:
-    return issue(leaf.filter("coalesce(points, 0) = 0"), "HIGH", "MISSING_POINTS", F.col("number"), F.lit("> 0"), F.col("points"))
-
-
-def total_points(leaf: DataFrame, total: int = 200, slack: int = 10) -> DataFrame:
-    """Totals that differ, of exams whose points are all there."""
-    t = totals(leaf, ["exam_id"]).filter((F.col("missing") == 0) & (F.col("total") != total))
-    return issue(t, F.when(F.abs(F.col("total") - total) > slack, "HIGH").otherwise("MEDIUM"), "TOTAL_POINTS", None, F.lit(total), F.col("total"))
-
-
-def duplicate_numbers(leaf: DataFrame, order: list[str]) -> DataFrame:
-    w = Window.partitionBy("exam_id", "number").orderBy(*order)
-    return issue(leaf.withColumn("nth", F.row_number().over(w)).filter("nth > 1"), "MEDIUM", "DUPLICATE_NUMBER", F.col("number"), F.lit(1), F.col("nth"))
-
-
-def number_gaps(leaf: DataFrame) -> DataFrame:
-    return issue(gaps(leaf, ["exam_id"], "number"), "BLOCKER", "NUMBER_GAP", F.col("missing"), F.col("missing"))
-
-
-def suspicious_points(leaf: DataFrame, below: int = 3) -> DataFrame:
-    return issue(leaf.filter((F.col("points") > 0) & (F.col("points") < below)), "LOW", "SUSPICIOUS_POINTS", F.col("number"), F.lit(f">= {below}"), F.col("points"))
-
-
-def no_questions(exams: DataFrame, leaf: DataFrame) -> DataFrame:
-    return issue(exams.join(leaf.select("exam_id").distinct(), "exam_id", "left_anti"), "BLOCKER", "NO_QUESTIONS", None, F.lit("> 0"), F.lit(0))
-
-
-def union_of(rules: list[Callable[[DataFrame], DataFrame]], leaf: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, (rule(leaf) for rule in rules))
+def exam_rules(leaf: DataFrame, exams: DataFrame, total: int = 200, slack: int = 10, low: int = 3) -> DataFrame:
+    """Issues of exams from leaf(exam_id, number, points) and exams(exam_id).
+
+    Rows are counted once by number and once by exam; what the rules of an exam need is one row of few numbers, so
+    all rules are one pass over these rows.  Rules on single questions are one pass over the leaves.
+    """
+    points = F.coalesce("points", F.lit(0))
+    by_number = leaf.groupBy("exam_id", "number").agg(F.count("*").alias("n"), F.sum(points).alias("points"), F.count_if(points == 0).alias("missing"))
+    by_exam = by_number.groupBy("exam_id").agg(F.sum("points").alias("total"), F.sum("missing").alias("missing"), F.array_sort(F.collect_list(F.struct("number", "n"))).alias("found"))
+    df = exams.join(by_exam, "exam_id", "left")
+    row = lambda severity, code, number=None, expected=None, actual=None: F.struct(*(F.lit(c).cast("string").alias(n) if not isinstance(c, Column) else c.cast("string").alias(n) for n, c in zip(ISSUE[1:], (severity, code, number, expected, actual), strict=True)))
+    one = lambda when, issue: F.when(when, F.array(issue)).otherwise(F.array().cast("array<struct<severity:string,code:string,number:string,expected:string,actual:string>>"))
+    off, numbers = F.abs(F.col("total") - total), F.transform("found", lambda x: x["number"])
+    gaps = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.array_max(numbers)), numbers)
+    lists = [
+        one(F.col("total").isNull(), row("BLOCKER", "NO_QUESTIONS", None, "> 0", "0")),
+        one((F.col("missing") == 0) & (off > 0), row(F.when(off > slack, "HIGH").otherwise("MEDIUM"), "TOTAL_POINTS", None, str(total), F.col("total"))),
+        F.transform(F.coalesce(F.when(F.array_max(numbers) >= 1, gaps), F.array().cast("array<bigint>")), lambda n: row("BLOCKER", "NUMBER_GAP", n, n)),
+        F.coalesce(F.flatten(F.transform(F.filter("found", lambda x: x["n"] > 1), lambda x: F.transform(F.sequence(F.lit(2).cast("bigint"), x["n"]), lambda nth: row("MEDIUM", "DUPLICATE_NUMBER", x["number"], "1", nth)))), F.array().cast("array<struct<severity:string,code:string,number:string,expected:string,actual:string>>")),
+    ]
+    rows = F.array_compact(F.array(
+        F.when(points == 0, row("HIGH", "MISSING_POINTS", F.col("number"), "> 0", F.col("points"))),
+        F.when((points > 0) & (points < low), row("LOW", "SUSPICIOUS_POINTS", F.col("number"), f">= {low}", F.col("points"))),
+    ))
+    return df.select("exam_id", F.inline(F.concat(*lists))).unionByName(leaf.select("exam_id", F.inline(rows)))
 
 
 def verdicts(issues: DataFrame) -> DataFrame:

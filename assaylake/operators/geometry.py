@@ -16,13 +16,6 @@ def area() -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.lit(0)) * F.greatest(F.col("y1") - F.col("y0"), F.lit(0))
 
 
-def overlap(a: str, b: str) -> Column:
-    """Area that the struct columns a and b share."""
-    width = F.least(f"{a}.x1", f"{b}.x1") - F.greatest(f"{a}.x0", f"{b}.x0")
-    height = F.least(f"{a}.y1", f"{b}.y1") - F.greatest(f"{a}.y0", f"{b}.y0")
-    return F.greatest(width, F.lit(0)) * F.greatest(height, F.lit(0))
-
-
 def from_percent(df: DataFrame, width: int, height: int) -> DataFrame:
     """Boxes in percent of the page (x_pct, y_pct, w_pct, h_pct) as points."""
     return df.withColumns({"x0": F.col("x_pct") * width / 100, "y0": F.col("y_pct") * height / 100, "x1": (F.col("x_pct") + F.col("w_pct")) * width / 100, "y1": (F.col("y_pct") + F.col("h_pct")) * height / 100})

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, take: list[str]) -> DataFrame:
     """Each left row with the latest right row of its key at or before it (nulls if there is none).
@@ -35,9 +37,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, ri
     firsts = right.groupBy(*keys, F.col(right_at).alias("__at")).agg(F.min(right_id).alias("__id"))
     b = firsts.select(*keys, *no_left, "__at", F.lit(0).alias("__side"), "__id").select(*a.columns)
     here = F.when(F.col("__side") == 0, F.struct("__at", "__id"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__side")
-    out = a.unionByName(b).withColumn("__lo", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__hi", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    out = out.filter("__side = 1")
+    # both frames grow by one row at a time; a frame that shrinks would be gone through anew for each row
+    seen = lambda at: F.last(here, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0))
+    out = a.unionByName(b).withColumn("__lo", seen(F.col("__at"))).withColumn("__hi", seen(F.col("__at").desc())).filter("__side = 1")
     lo = F.when(F.col("__lo").isNotNull(), F.struct((F.col("__at") - F.col("__lo.__at")).alias("d"), F.col("__lo.__id").alias("i")))
     hi = F.when(F.col("__hi").isNotNull(), F.struct((F.col("__hi.__at") - F.col("__at")).alias("d"), F.col("__hi.__id").alias("i")))
     best = F.when(hi.isNull() | (lo <= hi), lo).otherwise(hi)
@@ -95,13 +97,20 @@ def zip_if_equal(left: DataFrame, right: DataFrame, keys: list[str], left_order:
     return a.join(b, [*keys, "__pos", "__n"]).drop("__pos", "__n")
 
 
-def ancestors(spark, edges_view: str, most: int = 64) -> DataFrame:
-    """(id, ancestor, depth) over a view of (id, parent); cycles end after `most` steps."""
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, depth) AS (
-            SELECT id, parent, 1 FROM {edges_view} WHERE parent IS NOT NULL
-            UNION ALL
-            SELECT up.id, e.parent, up.depth + 1 FROM up JOIN {edges_view} e ON up.ancestor = e.id
-            WHERE e.parent IS NOT NULL AND up.depth < {most}
-        ) SELECT id, ancestor, CAST(depth AS BIGINT) AS depth FROM up
-    """)
+def ancestors(edges: DataFrame) -> DataFrame:
+    """edges(id, parent), one parent an id -> (id, ancestor, depth).
+
+    Each round joins the furthest ancestors known with their own, so paths double and a depth of n takes log2(n)
+    rounds.  Parents that go round in a circle raise RuntimeError.
+    """
+    known = saved(edges.filter("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")), "ancestors")
+    for reach in (1 << k for k in range(40)):
+        far = known.filter(F.col("depth") == reach)
+        step = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        new = saved(far.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")), "ancestors")
+        if new.isEmpty():
+            return known
+        if not new.filter("id = ancestor").isEmpty():
+            raise RuntimeError("parents go round in a circle")
+        known = known.unionByName(new)
+    raise RuntimeError("paths are too long")

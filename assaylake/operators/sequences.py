@@ -50,8 +50,9 @@ def gaps(df: DataFrame, keys: list[str], number: str, low: int | None = 1) -> Da
 
 def known_around(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """prev_known and next_known: the nearest non-null values before and after each row."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("prev_known", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next_known", F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # both frames grow by one row at a time; a frame that shrinks would be gone through anew for each row
+    before = lambda *by: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("prev_known", before(*order)).withColumn("next_known", before(*(F.col(c).desc() for c in order)))
 
 
 def look_ahead(df: DataFrame, keys: list[str], order: list[str], value: Column, stop: Column, rows: int, name: str) -> DataFrame:

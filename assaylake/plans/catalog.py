@@ -63,10 +63,10 @@ def q_jobs_with_criteria(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status")).join(sums, "job_id", "left").fillna(0, ["items", "high"])
 
 
-@query("""SELECT o_orderkey AS job_id, CAST(epoch_ms(o_orderdate) AS BIGINT) AS created_ms FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""")
+@query("""SELECT o_orderkey AS job_id, CAST(epoch_ms(o_orderdate) AS BIGINT) AS created_ms FROM orders""")
 def q_newest_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """The job list's first page: the newest hundred."""
-    return table(spark, d, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(100).select(F.col("o_orderkey").alias("job_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_ms"))
+    """All jobs, newest first."""
+    return table(spark, d, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").select(F.col("o_orderkey").alias("job_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_ms"))
 
 
 @query(f"""WITH {LEAF_SQL}, m AS (SELECT DISTINCT exam_id, 'assets/' || CAST(part_id AS VARCHAR) || '.png' AS path FROM leaf WHERE flag <> 'R') SELECT exam_id, 'exam_' || CAST(exam_id AS VARCHAR) || '/' || path AS target FROM m
@@ -130,3 +130,24 @@ def q_delete_targets(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "customer").filter(F.col("c_name").rlike("^Customer#[0-9]*7$"))
     names = F.explode(F.array(*map(F.lit, ["result.json", "assets", "debug", "state.json"])))
     return ids.select("c_custkey", names.alias("t")).select("c_custkey", F.concat(F.lit("exam_"), F.col("c_custkey").cast("string"), F.lit("/"), "t").alias("target"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, CAST(p_size * 7 AS BIGINT) AS x0, CAST(p_partkey % 200 AS BIGINT) AS y0, p_brand AS page FROM part) SELECT id, page, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS reading_order FROM b""")
+def q_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a page from top to bottom, then from left to right."""
+    b = boxes(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("page")), "id")
+    return geometry.reading_order(b, ["page"], ["id"]).select("id", "page", "reading_order")
+
+
+@query("""SELECT p_partkey AS id, (p_size * 300.0 / 100)::DOUBLE AS x0, (p_partkey % 90 * 200.0 / 100)::DOUBLE AS y0, ((p_size + 10) * 300.0 / 100)::DOUBLE AS x1, ((p_partkey % 90 + 5) * 200.0 / 100)::DOUBLE AS y1 FROM part""")
+def q_estimated_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes estimated in percent of a page of 300 by 200, in its points."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x_pct"), (F.col("p_partkey") % 90).cast("double").alias("y_pct"), F.lit(10.0).alias("w_pct"), F.lit(5.0).alias("h_pct"))
+    return geometry.from_percent(p, 300, 200).select("id", "x0", "y0", "x1", "y1")
+
+
+@query("""SELECT epoch_ms(date_trunc('day', ts)) AS day_ms, event_type AS stage, count(*) AS n FROM events GROUP BY ALL""")
+def q_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each stage by day; the same plan runs on a stream, where the watermark ends its state."""
+    events = table(spark, d, "events").select("ts", F.col("event_type").alias("stage"))
+    return progress.windowed_counts(events).select(F.unix_millis(F.col("window.start").cast("timestamp")).alias("day_ms"), "stage", F.col("count").alias("n"))

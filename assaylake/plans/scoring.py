@@ -127,11 +127,7 @@ issues AS (
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
-    questions = leaf(spark, d)
-    exams = table(spark, d, "orders").select(F.col("o_orderkey").alias("exam_id"))
-    gaps = sequences.gaps(questions, ["exam_id"], "number")
-    own = audit.union_of([audit.missing_points, audit.total_points, lambda q: audit.duplicate_numbers(q, ["ord"]), audit.suspicious_points, lambda q: audit.no_questions(exams, q)], questions)
-    return own.unionByName(audit.issue(gaps, "BLOCKER", "NUMBER_GAP", F.col("missing"), F.col("missing")))
+    return audit.exam_rules(plain_leaf(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("exam_id")))
 
 
 @query(f"WITH {RULES_SQL} SELECT * FROM issues")

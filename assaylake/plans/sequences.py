@@ -35,12 +35,12 @@ def q_item_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PAGES_SQL}, h AS (SELECT *, role = 'system' OR length(text) < 40 AS skip FROM pages_of)
-SELECT exam_id, page, CASE WHEN NOT skip THEN last_value(CASE WHEN NOT skip AND role = 'user' THEN substr(text, 1, 12) END IGNORE NULLS) OVER (PARTITION BY exam_id ORDER BY page ROWS UNBOUNDED PRECEDING) END AS group_header FROM h""")
+SELECT exam_id, page, CASE WHEN NOT skip THEN last_value(CASE WHEN NOT skip AND role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY exam_id ORDER BY page ROWS UNBOUNDED PRECEDING) END AS group_header FROM h""")
 def q_group_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """The group header that holds for each page; cover and scoring pages (here: short ones) neither have nor give one."""
     p = pages(spark, d)
     skip = (F.col("role") == "system") | (F.length("text") < 40)
-    header = F.when(F.col("role") == "user", F.substring("text", 1, 12))
+    header = F.when(F.col("role") == "user", F.col("text"))
     return seq.carry_forward(p, ["exam_id"], ["page"], header, "group_header", skip).select("exam_id", "page", "group_header")
 
 
@@ -127,5 +127,4 @@ def q_last_pages(spark: SparkSession, d: str) -> DataFrame:
 up AS (SELECT id, parent AS ancestor, 1 AS depth FROM e WHERE parent IS NOT NULL UNION ALL SELECT up.id, e.parent, up.depth + 1 FROM up JOIN e ON up.ancestor = e.id WHERE e.parent IS NOT NULL)
 SELECT id, ancestor, CAST(depth AS BIGINT) AS depth FROM up""")
 def q_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 0 THEN p_partkey div 2 END AS parent").createOrReplaceTempView("question_edges")
-    return joins.ancestors(spark, "question_edges")
+    return joins.ancestors(table(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 0 THEN p_partkey div 2 END AS parent"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import scoring_text
+from ..sources.exams import MODEL_SQL, model
 from ..sources.tables import table
 from .registry import query
 
@@ -42,10 +43,10 @@ def q_text_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tokens.alias("tokens"), T.one_char_ratio(F.col("text")).alias("one_char_per_mille"))
 
 
-@query("""SELECT doc_id, translate(lang || ' ' || substr(text, 1, 60), 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN') AS title FROM documents""")
+@query("""SELECT doc_id, translate(lang || ' ' || text, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN') AS folded FROM documents""")
 def q_accent_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Folded titles; a title is a text's first 60 characters."""
-    return table(spark, d, "documents").select("doc_id", T.fold_accents(F.concat("lang", F.lit(" "), F.substring("text", 1, 60))).alias("title"))
+    """Texts without accents."""
+    return table(spark, d, "documents").select("doc_id", T.fold_accents(F.concat("lang", F.lit(" "), "text")).alias("folded"))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '') AS u FROM pages),
@@ -97,15 +98,12 @@ def q_option_extract(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", F.inline(found))
 
 
-NUMBERS = ["10", "2", "1.10", "1.2", "B", "1-3"]
-
-
-@query("""SELECT number, CAST(pos AS BIGINT) AS pos FROM (VALUES ('1.2', 1), ('1-3', 2), ('1.10', 3), ('2', 4), ('10', 5), ('B', 6)) v(number, pos)""")
+@query(f"""WITH {MODEL_SQL} SELECT root, ord, number, row_number() OVER (PARTITION BY root ORDER BY CAST(split_part(number, '.', 1) AS INT), CASE WHEN contains(number, '.') THEN 1 ELSE 0 END, ord) AS pos FROM questions""")
 def q_natural_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    df = spark.createDataFrame([(n,) for n in NUMBERS], "number string")
-    return df.select("number", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(T.natural_key(F.col("number")), "number")).cast("bigint").alias("pos"))
+    """Places of an exam's questions in the natural order of their numbers: 1.2 before 1.10 before 2."""
+    q = model(spark, d).questions
+    pos = F.row_number().over(Window.partitionBy("root").orderBy(T.sort_key(F.col("number")), "ord"))
+    return q.select("root", "ord", "number", pos.cast("bigint").alias("pos"))
 
 
 @query("""SELECT p_partkey AS part_id, CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 12 AS VARCHAR) AS number FROM part ORDER BY p_size, p_partkey % 12, p_partkey LIMIT 50""")
