@@ -15,21 +15,35 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-#: Notices as license texts recommend them; several may bear a label.
+#: Notices and sentences of the licenses' own texts; several may bear a label.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("mit", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     ("apache-2", "Licensed under the Apache License, Version 2.0."),
     ("apache-2", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+#: A template of n distinct words may be wrapped over 1 + n / WRAP lines.
+WRAP = 6
+LINES = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
+
 #: What separates words once only A-Z, a-z, 0-9 and non-ASCII characters make them.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,64 +63,78 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def lines_of(words: list[str]) -> int:
+    """The most lines over which a template of these words may be wrapped."""
+    return 1 + ceil(len(words) / WRAP)
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places where a phrase's words stand consecutively.  Labels also hold the label of each template
-    of whose distinct words at least `threshold` stand in one block (line) of the text; score is the
-    largest such share, 1 where a phrase stands, 0 without labels.
-
-    The join: words that templates hold are ordered by their number in all texts, rarest first.  A block
-    meets a template if it holds a word of the template's prefix, has words enough (length filter), and
-    enough template words from that one on (positional filter); each pair that is left is verified.
-    The templates are constants, so their words and prefixes are bounded and broadcast.
-
-    Null text is empty: no words, no labels.  Rows that repeat a doc_id share the templates found in any of
-    them; rows with a null doc_id have base labels only.  An empty table gives no rows.  Extra columns are
-    ignored.
+    of whose distinct words at least `threshold` stand in one block of the text: a line and those after it, up
+    to a line without words, as many as the template may be wrapped over (lines_of).  score is the largest such
+    share, 1 where a phrase stands, 0 without labels.
+
+    The join: words that templates hold are ordered by the number of texts that hold them, rarest first.  Only
+    texts with a word of some template's prefix are cut into blocks.  A block meets a template if it holds a
+    word of the template's prefix, has words enough (length filter), and enough template words from that one
+    on (positional filter); each pair that is left is verified.  The templates are constants, so their words
+    and prefixes are bounded and broadcast.
+
+    Null text is empty: no words, no labels.  Each row is judged by its own text, whatever its doc_id, which may
+    be null or repeated.  An empty table gives no rows.  Extra columns are ignored.
     """
-    sets = [(label, words, ceil(threshold * len(words) - 1e-9)) for label, words in template_sets(templates) if words]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]")).alias("block_no", "block"))
-    blocks = blocks.select("doc_id", "block_no", F.array_distinct(F.split(F.translate(spaced(F.col("block")), UPPER, LOWER), " ")).alias("words"))
-
-    vocabulary = sorted({w for _, words, _ in sets for w in words})
-    held = blocks.select(F.explode(F.array_intersect(F.col("words"), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    sets = [(label, words, ceil(threshold * len(words) - 1e-9), lines_of(words)) for label, words in template_sets(templates) if words]
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    lower = F.translate("text", UPPER, LOWER)
+    words = F.split(spaced(lower), " ")
+    listed = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+
+    vocabulary = sorted({w for _, words, *_ in sets for w in words})
+    held = docs.select(F.explode(F.array_intersect(listed(vocabulary), words)).alias("word"))
     counts = dict(map(tuple, held.groupBy("word").count().collect()))  # no more rows than the templates have words
     ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ranked)}
 
-    prefixes = F.array(*(F.struct(F.lit(word).alias("word"), F.lit(t).alias("t"), F.lit(need).alias("need")) for t, (_, words, need) in enumerate(sets) for word in sorted(words, key=rank.get)[: len(words) - need + 1]))
-    prefix = docs.sparkSession.range(1).select(F.inline(prefixes))
-    rare = blocks.select("doc_id", "block_no", F.size("words").alias("n"), F.array_intersect(F.array(*map(F.lit, ranked)), F.col("words")).alias("held"))
-    rare = rare.filter(F.size("held") >= min((need for *_, need in sets), default=0))
-    probes = rare.select("doc_id", "block_no", "n", "held", F.posexplode("held").alias("pos", "word"))
+    starts = [(word, t, need) for t, (_, of, need, _) in enumerate(sets) for word in sorted(of, key=rank.get)[: len(of) - need + 1]]
+    prefix = docs.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(word).alias("word"), F.lit(t).alias("t"), F.lit(need).alias("need")) for word, t, need in starts)))) if starts else docs.sparkSession.createDataFrame([], "word string, t int, need int")
+    likely = docs.filter(F.arrays_overlap(words, listed(sorted({word for word, *_ in starts}))))
+    paragraphs = likely.select("doc_id", digest, F.explode(F.split(F.array_join(F.transform(F.split(lower, LINES), spaced), "\n"), "\n\n+")).alias("block")).filter("block <> ''")
+    lines = F.transform(F.split("block", "\n"), lambda line: F.struct((spaces(line) + 1).alias("n"), F.array_intersect(listed(ranked), F.split(line, " ")).alias("held")))
+    most = max((n for *_, n in sets), default=1)
+    blocks = paragraphs.select("doc_id", "digest", lines.alias("lines")).select("doc_id", "digest", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, F.lit(most)))).alias("lines"))
+    blocks = blocks.select("doc_id", "digest", F.col("lines.held").alias("lines"), F.aggregate("lines.n", F.lit(0), lambda s, n: s + n).alias("n"), F.array_intersect(listed(ranked), F.flatten("lines.held")).alias("held"))
+    blocks = blocks.filter(F.size("held") >= min((need for _, _, need, _ in sets), default=0))
+    probes = blocks.select("doc_id", "digest", "n", "held", "lines", F.posexplode("held").alias("pos", "word"))
     pairs = probes.join(F.broadcast(prefix), "word").filter((F.col("n") >= F.col("need")) & (F.size("held") - F.col("pos") >= F.col("need")))
-    words_of = F.array(*(F.array(*map(F.lit, words)) for _, words, _ in sets))
-    label_of = F.array(*(F.lit(label) for label, *_ in sets))
-    share = F.size(F.array_intersect("held", words_of[F.col("t")]))
-    met = pairs.select("doc_id", "block_no", "t", "need", share.alias("both")).filter("both >= need").distinct()
-    size_of = F.array(*(F.lit(len(words)) for _, words, _ in sets))
-    met = met.groupBy("doc_id").agg(F.collect_set(label_of[F.col("t")]).alias("more"), F.max(F.col("both") / size_of[F.col("t")]).alias("share"))
+    at = lambda values: F.array(*values)[F.col("t")]
+    inside = F.array_distinct(F.flatten(F.slice("lines", F.lit(1), at([F.lit(n) for *_, n in sets]))))
+    both = F.size(F.array_intersect(inside, at([listed(of) for _, of, *_ in sets])))
+    met = pairs.select("doc_id", "digest", "t", "need", both.alias("both")).filter("both >= need")
+    met = met.groupBy("doc_id", "digest").agg(F.collect_set(at([F.lit(label) for label, *_ in sets])).alias("more"), F.max(F.col("both") / at([F.lit(len(of)) for _, of, *_ in sets])).alias("share"))
 
     any_phrase = "(?:" + "|".join(phrases.values()) + ")"
     places = rf"(?i) {any_phrase}(?= )"  # without (?u), case is ASCII's
-    base = docs.select("doc_id", F.concat(F.lit(" "), spaced(F.col("text")), F.lit(" ")).alias("s"))
+    base = docs.select("doc_id", digest, F.concat(F.lit(" "), spaced(F.col("text")), F.lit(" ")).alias("s"))
     base = base.withColumn("n_words", F.when(F.col("s") == "  ", 0).otherwise(spaces(F.col("s")) - 1)).withColumn("n_base", F.regexp_count("s", F.lit(places)))
     found = F.col("n_base") > 0
     last = F.element_at(F.regexp_extract_all("s", F.lit(rf"(?i) ({any_phrase})(?= )"), F.lit(1)), -1)
     labels = F.array_compact(F.array(*(F.when(F.col("s").rlike(rf"(?i) {phrase}(?= )"), F.lit(label)) for label, phrase in phrases.items())))
     base = base.select(
         "doc_id",
+        "digest",
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_base").cast("long").alias("n_base"),
         F.when(found, spaces(F.element_at(F.split("s", places), 1))).cast("long").alias("first_word"),
         F.when(found, F.col("n_words") - (spaces(F.element_at(F.split("s", places), -1)) - 1) - (spaces(last) + 1)).cast("long").alias("last_word"),
         F.when(found, labels).otherwise(F.array().cast("array<string>")).alias("base"),
     )
-    out = base.join(met, "doc_id", "left")
+    out = base.join(met, base["doc_id"].eqNullSafe(met["doc_id"]) & (base["digest"] == met["digest"]), "left")
     return out.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        base["doc_id"], "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).cast("double").alias("score"),

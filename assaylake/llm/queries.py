@@ -68,20 +68,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def license_sql() -> str:
     """op3 as SQL: every phrase tried at every word, every block compared with every template."""
-    word, ends = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
+    word, ends = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", license_scan.LINES
     lower = f"translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}')"
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
     at = {label: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for label, phrase in license_scan.PHRASES.items()}
     places = ", ".join(f"[i - 1 FOR i IN range(1, len(w) + 1) IF {test}] AS p{k}" for k, test in enumerate(at.values()))
     lists = [f"p{k}" for k in range(len(at))]
     named = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(at))
-    sets = ", ".join(f"('{label}', [{quoted(words)}], {ceil(0.9 * len(words) - 1e-9)})" for label, words in license_scan.template_sets(license_scan.TEMPLATES))
+    sets = ", ".join(f"('{label}', [{quoted(words)}], {ceil(0.9 * len(words) - 1e-9)}, {license_scan.lines_of(words)})" for label, words in license_scan.template_sets(license_scan.TEMPLATES))
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w, {lower} AS low FROM documents),
 p AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {places} FROM d),
 b AS (SELECT doc_id, n_words, list_concat({", ".join(lists)}) AS spots, list_filter([{named}], lambda x: x IS NOT NULL) AS base FROM p),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '{word}')) AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(low, '{ends}')) AS block FROM d)),
-t(label, words, need) AS (VALUES {sets}),
-m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS share FROM blocks JOIN t ON len(w) >= need AND len(list_intersect(w, words)) >= need),
+lines AS (SELECT doc_id, unnest(list_transform(range(1, len(l) + 1), lambda i: list_transform(list_slice(l, i, i + 19), lambda x: regexp_extract_all(x, '{word}')))) AS after FROM (SELECT doc_id, regexp_split_to_array(low, '{ends}') AS l FROM d)),
+t(label, words, need, most) AS (VALUES {sets}),
+blocks AS (SELECT doc_id, label, words, need, flatten(list_slice(after, 1, least(most, coalesce(nullif(list_position(list_transform(after, lambda x: len(x) = 0), true), 0) - 1, most)))) AS w FROM lines, t WHERE len(list_intersect(flatten(after), words)) >= need),
+m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS share FROM blocks WHERE len(list_intersect(w, words)) >= need),
 g AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY doc_id)
 SELECT b.doc_id, n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word, CAST(list_max(spots) AS BIGINT) AS last_word,
 coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ','), '') AS labels,

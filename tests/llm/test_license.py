@@ -13,22 +13,22 @@ BREAKS = str.maketrans(dict.fromkeys("\n\r\x0b\x0c\x85\u2028\u2029", "\n"))
 
 def plain(rows):
     sets = li.template_sets(li.TEMPLATES)
-    out, found = [], {}
-    for doc, text in rows:
-        if doc is not None:
-            for line in (text or "").translate(BREAKS).split("\n"):
-                w = set(simple_words(line))
-                for label, t in sets:
-                    both = len(w & set(t))
-                    if both >= math.ceil(0.9 * len(t) - 1e-9):
-                        found.setdefault(doc, []).append((label, both / len(t)))
+    out = []
     for doc, text in rows:
+        lines, more = [set(simple_words(x)) for x in (text or "").replace("\r\n", "\n").translate(BREAKS).split("\n")], []
+        for at in range(len(lines)):
+            for label, t in sets:
+                near = lines[at : at + li.lines_of(t)]
+                w = set().union(*near[: near.index(set()) if set() in near else len(near)])
+                both = len(w & set(t))
+                if both >= math.ceil(0.9 * len(t) - 1e-9):
+                    more.append((label, both / len(t)))
         w = simple_words(text)
         base = []
         for label, phrase in li.PHRASES.items():
             p = phrase.split()
             base += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
-        places, more = [i for i, _ in base], found.get(doc, [])
+        places = [i for i, _ in base]
         labels = {x for _, x in base}
         score = 1.0 if base else max((s for _, s in more), default=0.0)
         out.append((doc, len(w), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x for x, _ in more})), round(score, 9)))
@@ -49,6 +49,11 @@ def test_cases(spark):
         (6, "!!! ..."),
         (7, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions"),
         (8, "Redistribution and use in source\nand binary forms, with or without modification, are permitted"),
+        (7, "nothing of the kind"),
+        (20, "Permission is hereby granted, free of charge, to any person\r\nobtaining a copy of this software and associated documentation\nfiles (the Software), to deal in the Software without restriction"),
+        (21, "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software and associated documentation\nfiles (the Software), to deal in the Software without restriction"),
+        (22, "x\n# Redistribution and use in source and binary forms,\n# with or without modification, are permitted provided\n# that the following conditions are met:\n\ny"),
+        (23, "Released\nunder\nthe\nMIT\nnotes License"),
         (9, "word " * 20_000 + "cc by nc " + "word " * 5),
         (10, "cc by nc cc by nc"),
         (10, "under the mit license"),
