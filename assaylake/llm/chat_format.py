@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,41 +34,65 @@ def unescape(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def bytes_by_four(text: str) -> int:
+    """A token for each four bytes or part of them."""
+    return ceil(len(text.encode()) / 4)
+
+
+def library_counter(path: str):
+    """Tokens of a text by the tokenizer file at the path, without added special tokens."""
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(path)
+    known.no_truncation()
+    known.no_padding()
+    return lambda text: len(known.encode(text, add_special_tokens=False).ids)
+
+
 class Flattener:
     """Visits the parts of one message in order and records what stands for them."""
 
-    def __init__(self) -> None:
+    def __init__(self, count) -> None:
         self.content: list[str] = []
         self.attachments: list[dict] = []
-        self.tokens = 0
+        self.tokens, self.count = 0, count
 
     def visit(self, part: dict | None) -> None:
-        kind = (part or {}).get("type") or "text"
-        getattr(self, f"visit_{kind}", self.visit_other)(part or {}, kind)
-
-    def visit_text(self, part: dict, kind: str) -> None:
+        part = part or {}
+        kind = part.get("type") or "text"
+        if kind == "text":
+            self.visit_text(part)
+        elif kind in TOKENS_PER_UNIT:
+            self.visit_attachment(part, kind)
+        else:
+            self.visit_other(part, kind)
+
+    def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
         self.content.append(escape(text))
-        self.tokens += ceil(len(text.encode()) / 4)
+        self.tokens += self.count(text)
 
     def visit_attachment(self, part: dict, kind: str) -> None:
-        cost = ceil((part.get("units") or 1) * TOKENS_PER_UNIT[kind])
-        self.content.append(f"<|{kind}:{len(self.attachments)}|>")
-        self.attachments.append({"position": len(self.attachments), "type": kind, "ref": part.get("ref"), "tokens": cost})
-        self.tokens += cost
-
-    visit_image = visit_audio = visit_document = visit_attachment
+        units = part.get("units")
+        units = units if units is not None and isfinite(units) and units > 0 else 1
+        self._place(part, kind, kind, ceil(units * TOKENS_PER_UNIT[kind]))
 
     def visit_other(self, part: dict, kind: str) -> None:
-        raise ValueError(f"unknown content part: {kind}")
+        self._place(part, kind, "other", 0)
+
+    def _place(self, part: dict, kind: str, mark: str, cost: int) -> None:
+        self.content.append(f"<|{mark}:{len(self.attachments)}|>")
+        self.attachments.append({"position": len(self.attachments), "type": kind, "ref": part.get("ref"), "tokens": cost})
+        self.tokens += cost
 
 
-def flatten(parts: list[dict | None] | None) -> tuple[str, list[dict], int]:
+def flatten(parts: list[dict | None] | None, count=bytes_by_four) -> tuple[str, list[dict], int]:
     """(escaped content with placeholders in order, attachments, expanded tokens) of a message's parts.
 
-    Text counts a token for each four bytes or part of them; an attachment its units' tokens.
+    Texts cost what `count` says; an attachment the tokens of its units (one unit if there is no positive, finite number).
+    A part of any other type is kept as an attachment of that type, stands as `<|other:n|>` and costs nothing.
     """
-    f = Flattener()
+    f = Flattener(count)
     for part in parts or []:
         f.visit(part)
     return "".join(f.content), f.attachments, f.tokens
@@ -77,23 +101,25 @@ def flatten(parts: list[dict | None] | None) -> tuple[str, list[dict], int]:
 TURNS = "conv_id bigint, turn bigint, segment string, loss_start bigint, loss_end bigint, expanded_tokens bigint, attachments array<struct<position:int,type:string,ref:string,tokens:bigint>>"
 
 
-def format_turns(messages: DataFrame) -> DataFrame:
+def format_turns(messages: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row per message: conv_id, turn, segment, loss_start, loss_end, expanded_tokens, attachments.
 
     messages: conv_id, turn, role and either text or parts (array of struct type, text, ref, units; types
     text, image, audio, document).  A conversation's output is its segments in order of turn, then role,
     then text.  [loss_start, loss_end) are code points of the segment under the loss mask: an assistant's
-    content, nothing (0, 0) for others.  Null roles and texts are empty; an unknown part type fails.
+    content, nothing (0, 0) for others.  Null roles and texts are empty; see flatten for unknown types and units.
+    Texts' tokens are counted with the tokenizer file at the given path, or taken as a quarter of their bytes.
     """
     parts = "parts" in messages.columns
     body = F.col("parts") if parts else F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))]
+        count = library_counter(tokenizer) if tokenizer else bytes_by_four
         for batch in batches:
             rows = []
             for role, body in zip(batch.column("role").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                content, attachments, tokens = flatten(body)
+                content, attachments, tokens = flatten(body, count)
                 head = TURN + escape(role or "").replace("\n", "\\\n") + MIDDLE
                 loss = (len(head), len(head) + len(content)) if role == "assistant" else (0, 0)
                 rows.append((head + content + END, *loss, tokens, attachments))
@@ -158,6 +184,6 @@ def _read_batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def format_conversations(messages: DataFrame) -> DataFrame:
+def format_conversations(messages: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """format_turns and read_back: one row per conversation (a null conv_id is one, too).  No rows give no rows; extra columns are ignored."""
-    return read_back(format_turns(messages))
+    return read_back(format_turns(messages, tokenizer))

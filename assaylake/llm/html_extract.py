@@ -120,7 +120,11 @@ class Page:
         return len(self.tag) - 1
 
     def best(self) -> tuple[str, float] | None:
-        """(path, score) of the container of most text: text outside links counts for the nearest container, half for the next."""
+        """(path, score) of the container of most text: text outside links counts for the nearest container, half for the next.
+
+        If that lies inside an article, the outermost one is it; else the same with main.  So a headline or lead beside
+        the body's own container, or the other sections of an article, are not left out.
+        """
         scores: dict[int, float] = {}
         for node, words, link in self.pieces:
             if words and self.good[node] and not link and not words.isspace():
@@ -133,8 +137,14 @@ class Page:
                     node = self.parent[node]
         if not scores:
             return None
-        node = max(scores, key=lambda x: (scores[x], -x))
-        return self.key[node], scores[node]
+        node = best = max(scores, key=lambda x: (scores[x], -x))
+        around = []
+        while node > 0:
+            around.append(node)
+            node = self.parent[node]
+        for tag in ("main", "article"):
+            best = next((x for x in reversed(around) if self.tag[x] == tag), best)
+        return self.key[best], scores[best]
 
     def text(self, path: str | None) -> str:
         """Text of the elements at the path; of the page's best container where there is none; else of all that is no boilerplate."""

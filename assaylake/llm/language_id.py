@@ -185,8 +185,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs, all columns as they are, without rows whose language is `und` or less likely than `least`."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """docs, all columns as they are, without rows whose language is `und` (null text or no letter) or less likely than `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, ngram_join, packing, secret_scan, token_counts
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, ngram_join, oracles, packing, secret_scan, token_counts
 from .common import shared_dir
 
 
@@ -90,5 +90,8 @@ CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS
 FROM b LEFT JOIN g ON b.doc_id = g.doc_id"""
 
 
-#: SQL where it can express a query; the others need tokenizers, hashing or iteration.
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql()}
+#: SQL where it can express a query; the others need tokenizers or trained models.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION, "op3_license_scan": license_sql(), "op4_embedding_dedup": oracles.EMBEDDINGS,
+    "op7_chat_format": oracles.CONVERSATIONS, "op10_ngram_jaccard": oracles.JACCARD,
+}

@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
 from .decontaminate import with_text
 
 #: The base patterns.
@@ -57,8 +57,7 @@ def _alphabet(value: str) -> float:
     return log10(max(kinds, 2))
 
 
-@lru_cache(maxsize=50_000)
-def guess_cost(value: str) -> float:
+def cost_of(value: str) -> float:
     """log10 of the guesses for the cheapest way to cut the value into words, dates, repeats, walks and brute-force spans.
 
     Time is linear in the length: words, walks and dates have bounded lengths or are found once.
@@ -95,6 +94,14 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+#: cost_of, kept for values seen lately (long ones are not kept).
+_COSTS = Kept(cost_of, 50_000)
+
+
+def guess_cost(value: str) -> float:
+    return _COSTS[value]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret itself) of the base patterns' matches that pass."""
     out = []

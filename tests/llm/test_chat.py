@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,8 +56,25 @@ def test_parts():
     assert content == "see <\\|image:9|> <|image:0|><|audio:1|><|document:2|>end"
     assert [(a["position"], a["type"], a["ref"], a["tokens"]) for a in attachments] == [(0, "image", "s3://a", 1152), (1, "audio", "b", 38), (2, "document", "c", 700)]
     assert tokens == 4 + 1152 + 38 + 700 + 1 and c.flatten(None) == ("", [], 0)
-    with pytest.raises(ValueError):
-        c.flatten([{"type": "video"}])
+
+
+def test_odd_parts():
+    """Types that are none, and units that are no number, have a defined result."""
+    parts = [{"type": "video", "ref": "v"}, {"type": "attachment"}, {"type": "__class__"}, {"type": "image", "units": float("nan")}, {"type": "audio", "units": -3.0}, {"type": "text", "text": None}, {"type": "other", "units": float("inf")}]
+    content, attachments, tokens = c.flatten(parts)
+    assert content == "<|other:0|><|other:1|><|other:2|><|image:3|><|audio:4|><|other:5|>"
+    assert [(a["type"], a["tokens"]) for a in attachments] == [("video", 0), ("attachment", 0), ("__class__", 0), ("image", 576), ("audio", 25), ("other", 0)] and tokens == 601
+
+
+def test_counted_tokens(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, 0, "user", "how many tokens are these? é"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    from tokenizers import Tokenizer
+
+    want = len(Tokenizer.from_file(path).encode("how many tokens are these? é", add_special_tokens=False).ids)
+    assert c.format_conversations(df, path).collect()[0].expanded_tokens == want
 
 
 def test_parts_in_spark(spark):

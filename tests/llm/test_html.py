@@ -11,6 +11,9 @@ CASES = [
     (page("<article><h1>A &amp; B</h1><p>one\n  two&nbsp;three<br>four<p>five <b>s</b>ix</article>"), "A & B one two three four five six"),
     (page("<div class=story12><p>x &lt;y&gt; z<p>q</div>"), "x <y> z q"),
     (page("<main><header><h1>Title</h1></header><form><input><p>no</p></form><p>Body<!-- no --> text</p></main>", "<div role=alert>Note</div>"), "Title Body text"),
+    (page("<article><h1>Head</h1><p>lead</p><div class=body><p>" + "long body " * 40 + "</p></div></article>"), "Head lead " + ("long body " * 40).strip()),
+    (page("<main><section><p>" + "one " * 90 + "</p></section><section><p>two</p></section><div class=related><p>teaser</p></div></main>"), "one " * 90 + "two"),
+    (page("<main><p>intro of the site</p><article><div><p>" + "text " * 30 + "</p></div><div><p>end</p></div></article></main>"), "text " * 30 + "end"),
     ("", ""),
     (None, ""),
     ("just text & more &#233;", "just text & more é"),

@@ -106,3 +106,24 @@ def test_balance():
     assert sorted(full, reverse=True) == packing.sequence_lengths(sum(lengths), 2048)
     even = packing.balance([512] * 4000, 2048, 1.0, 1 / 2048)  # equal documents: equal costs
     assert {sum(1 for p in even if p[3] == s) for s in {p[3] for p in even}} == {4}
+
+
+def plain_balance(lengths, size, linear, quadratic):
+    """Every document looks through all sequences for the cheapest with room."""
+    room = packing.sequence_lengths(sum(lengths), size)
+    cost, filled, out = [0.0] * len(room), [0] * len(room), []
+    for doc in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        start = 0
+        while start < lengths[doc]:
+            seq = min((i for i in range(len(room)) if filled[i] < room[i]), key=lambda i: (cost[i], i))
+            take = min(lengths[doc] - start, room[seq] - filled[seq])
+            out.append((doc, start, take, seq, filled[seq]))
+            filled[seq], start, cost[seq] = filled[seq] + take, start + take, cost[seq] + linear * take + quadratic * take * take
+    return out
+
+
+def test_balance_beside_plain():
+    r = np.random.default_rng(4)
+    for n in (1, 7, 60, 300):
+        lengths = [int(x) for x in r.integers(1, 400, n)] + [3000] * (n // 50)
+        assert packing.balance(lengths, 256, 1.0, 1 / 256) == plain_balance(lengths, 256, 1.0, 1 / 256)
