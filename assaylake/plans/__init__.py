@@ -1,6 +1,6 @@
 """Queries over the driver tables."""
 
-from . import catalog, criteria, pairs, rules, scoring, sequences, text
+from . import catalog, cleanup, criteria, pairs, rules, scoring, sequences, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "criteria", "pairs", "rules", "scoring", "sequences", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "cleanup", "criteria", "pairs", "rules", "scoring", "sequences", "text"]
