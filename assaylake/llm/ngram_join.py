@@ -269,6 +269,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 #: Places of a key's strays or members in one block.
 BLOCK_ROWS = 1000
+#: Pairs that are looked at together in memory (about 200 bytes each).
+PAIRS = 250_000
 #: By rank of nearness, which candidates of a stray each round tries; a block has no more members than the last covers.
 RANKS = [0, 2, 16, 1 << 40]
 
@@ -299,54 +301,68 @@ def _candidates(rows: DataFrame, ranks: tuple[int, int], num: int, den: int) ->
     place, own = F.xxhash64("node"), ["node", "n", "pos", "part", "now", "data"]
     as_member = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), F.lit(False).alias("asks"), *own)
     as_stray = rows.filter("part <> main").select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), *own)
-    keys, kinds = ["key", "i", "j"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    keys = ["key", "i", "j"]
+
+    def out(*columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["key", "x", "y", "more"])
+
+    def groups(g: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole groups, all at once: each stray beside each member of its group, so many strays at a time as make PAIRS pairs."""
+        key, i, j, node, n, pos, part, now = (g.column(c).to_numpy().astype(np.int64) for c in (*keys, "node", "n", "pos", "part", "now"))
+        asks, data = g.column("asks").to_numpy(), _signatures(g.column("data"))
+        group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) - 1
+        strays, there, seen = np.flatnonzero(asks), np.flatnonzero(~asks), np.zeros(len(key), dtype=bool)
+        many = np.bincount(group[there], minlength=group[-1] + 1)
+        begin, reps = (np.cumsum(many) - many)[group[strays]], many[group[strays]]
+        chunk = np.cumsum(reps) // PAIRS
+        for at, end in zip(*(np.searchsorted(chunk, np.unique(chunk), side) for side in ("left", "right")), strict=True):
+            r = reps[at:end]
+            x = np.repeat(strays[at:end], r)
+            y = there[np.repeat(begin[at:end], r) + np.arange(len(x)) - np.repeat(np.cumsum(r) - r, r)]
+            ok = (part[x] != part[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+            x, y = x[ok], y[ok]
+            ok = (np.minimum(n[y] - pos[y], n[x] - pos[x]) + np.minimum(pos[x], pos[y])) * (den + num) >= (n[x] + n[y]) * num
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(data[x] ^ data[y]).sum(axis=-1, dtype=np.int64)
+            ok = (n[x] + n[y] - apart) * (den + num) >= 2 * num * (n[x] + n[y])
+            x, y, apart = x[ok], y[ok], apart[ok]
+            if not len(x):
+                continue
+            seen[x] = seen[y] = True
+            order = np.lexsort((node[y], apart, x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]])
+            rank = np.arange(len(x)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            apart_now = now[x] != now[y]
+            more = np.zeros(len(key), dtype=bool)
+            more[x[apart_now & (rank >= ranks[1])]] = True
+            ok = apart_now & (rank >= ranks[0]) & (rank < ranks[1])
+            yield out(key[x[ok]], node[x[ok]], node[y[ok]], more[x[ok]])
+            more[x[ok]] = False
+            alone = np.flatnonzero(more)  # all of their candidates come later
+            yield out(key[alone], node[alone], node[alone], np.ones(len(alone), dtype=bool))
+        if ranks[0] == 0 and seen.any():
+            x = np.flatnonzero(seen)
+            x = x[np.lexsort((node[x], group[x]))]
+            x = x[np.concatenate([[True], (node[x][1:] != node[x][:-1]) | (group[x][1:] != group[x][:-1])])]
+            yield out(key[x], node[x], pa.nulls(len(x), pa.int64()), np.zeros(len(x), dtype=bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = pa.Table.from_batches(held).combine_chunks()
-            asks = g.column("asks").to_numpy()
-            node, n, pos, part, now = (g.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "pos", "part", "now"))
-            data = _signatures(g.column("data"))
-            there = np.flatnonzero(~asks)
-            m, p, pairs, seen = n[there], pos[there], [], np.zeros(len(node), dtype=bool)
-            for x in np.flatnonzero(asks):
-                ok = (part[there] != part[x]) & (np.minimum(m, n[x]) * den >= np.maximum(m, n[x]) * num)
-                ok &= (np.minimum(m - p, n[x] - pos[x]) + np.minimum(p, pos[x])) * (den + num) >= (m + n[x]) * num
-                y = there[ok]
-                apart = np.bitwise_count(data[y] ^ data[x]).sum(axis=-1, dtype=np.int64)
-                near = (n[y] + n[x] - apart) * (den + num) >= 2 * num * (n[y] + n[x])
-                y, apart = y[near], apart[near]
-                if not len(y):
-                    continue
-                seen[x] = seen[y] = True
-                y = y[np.lexsort((node[y], apart))]
-                open_ = now[y] != now[x]
-                more = bool(open_[ranks[1] :].any())
-                y = y[ranks[0] : ranks[1]][open_[ranks[0] : ranks[1]]]
-                pairs += [(node[x], z, more) for z in node[y].tolist()]
-                if more and not len(y):
-                    pairs.append((node[x], node[x], True))
-            key = g.column("key")[0].as_py()
-            if ranks[0] == 0:
-                pairs += [(x, None, False) for x in np.unique(node[seen]).tolist()]
-            for at in range(0, len(pairs), 100_000):
-                cols = list(zip(*pairs[at : at + 100_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[key] * len(cols[0]), *cols], kinds, strict=True)], ["key", "x", "y", "more"])
-
-        held, last = [], None
+        held: list[pa.RecordBatch] = []  # the last group so far
         for batch in batches:
+            if not batch.num_rows:
+                continue
             k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if a == z:
-                    continue
-                if held and tuple(k[:, a]) != last:
-                    yield from group(held)
-                    held = []
-                held.append(batch.slice(a, z - a))
-                last = tuple(k[:, a])
+            cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            if held and tuple(held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in keys) != tuple(k[:, 0]):
+                yield from groups(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if len(cuts):
+                yield from groups(pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]).combine_chunks())
+                held = []
+            held.append(batch.slice(cuts[-1] if len(cuts) else 0))
         if held:
-            yield from group(held)
+            yield from groups(pa.Table.from_batches(held).combine_chunks())
 
     found = as_member.unionByName(as_stray).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "key bigint, x bigint, y bigint, more boolean")
     return materialize(found, "candidates")
