@@ -38,7 +38,7 @@ def traced(name: str, what: str, cases: list[tuple], found: Callable[..., Column
 
 
 def _shown(items: Column) -> Column:
-    return F.array_join(F.transform(items, lambda x: F.concat_ws("=", x[0], x[1])), "|")
+    return F.array_join(F.transform(items, lambda x: F.concat_ws("=", x["letter"], x["text"])), "|")
 
 
 traced("q_choice_options", "Options (A) to (D) of a text.", [
