@@ -54,7 +54,7 @@ traced("q_matching_columns", "Both columns of a matching question.", [
     ("COLUNA I (a) rei (b) papa COLUNA II (1) Roma (2) Lisboa", "a=rei|b=papa COLUNA II/1=Roma|2=Lisboa"), ("coluna I\n(a) um\ncoluna II\n(1) x\n(2) y", "a=um/1=x|2=y"), ("COLUNA I (a) um", None), ("COLUNA I e COLUNA II", None),
 ], lambda t: F.when(T.matching_columns(t).isNotNull(), F.concat(_shown(T.matching_columns(t)["left"]), F.lit("/"), _shown(T.matching_columns(t)["right"]))))
 traced("q_ordering_items", "What a text asks to put in order.", [
-    ("Ordene as imagens A, B, C e D.", "A=Imagem A|B=Imagem B|C=Imagem C|D=Imagem D"), ("a imagem C e a imagem A", "A=Imagem A|C=Imagem C"), ("Ordene:\na) um\nb) dois\nc) três\nd) quatro", "A=um.|B=dois.|C=três.|D=quatro."), ("imagem A", ""),
+    ("Ordene as imagens A, B, C e D.", "A=Imagem A|B=Imagem B|C=Imagem C|D=Imagem D"), ("as imagens C e as imagens A", "A=Imagem A|C=Imagem C"), ("a imagem C e a imagem A", ""), ("Ordene:\na) um\nb) dois\nc) três\nd) quatro", "A=um.|B=dois.|C=três.|D=quatro."), ("imagem A", ""),
 ], lambda t: _shown(T.ordering_items(t)))
 traced("q_blank_markers", "Markers of blanks, and whether a text is of that type.", [
     ("Complete o texto seguinte com a opção adequada para cada espaço: a) ___ b) ___", "a),b):true"), ("A) um e c) dois", "a),c):false"), ("Complete o texto seguinte", ":false"), ("xa) b)", "b):false"),
@@ -73,7 +73,7 @@ traced("q_without_scoring", "A text without its scoring tail.", [
 ], T.without_scoring)
 traced("q_drop_reasons", "Why a row is no question.", [
     ("IV", "grupo_i", None, "Texto normal", "roman"), ("IV", "grupo_i", "q1", "Texto normal", ""), ("2", "", None, "Cotação e subtotal", "scoring"), ("95", "grupo_ii", None, "linha", "line_number"), ("95", None, None, "linha", ""), ("1", "grupo_i", None, "Leia, atentamente, o texto a seguir.", "instruction"),
-    ("1", "grupo_i", None, "Leia o", ""), ("3", "grupo_i", None, "1. ........ 10 pontos 2. ....... 5 pontos", "scoring_lines"), ("x", None, None, None, ""), ("1", "g", None, "Observações:", "instruction"),
+    ("1", "grupo_i", None, "Leia o", ""), ("3", "grupo_i", None, "1. ........ 10 pontos 2. ....... 5 pontos", "scoring_lines"), ("x", None, None, None, "roman"), ("1", "g", None, "Observações:", "instruction"),
 ], lambda n, g, p, t: F.array_join(T.drop_reasons(n, g, p, t), ","))
 traced("q_minimum_words", "The least number of words that a text asks for.", [
     ("um mínimo de 180 palavras", "180"), ("um mínimo de duzentas palavras", "200"), ("um Mínimo de cento e oitenta", "100"), ("mínimo de muitas", None), ("sem limite", None),
