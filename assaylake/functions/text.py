@@ -22,11 +22,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def squeeze(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
 def count_of(text: Column, part: str) -> Column:
     """Number of non-overlapping places of a string."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("bigint")
@@ -48,50 +43,66 @@ def natural_key(number: Column) -> Column:
     return F.transform(F.split(number, r"[.\-]"), lambda p: F.coalesce(F.try_to_number(p, F.lit("9999999999")).cast("bigint"), F.lit(999)))
 
 
-def any_word(text: Column, words: list[str]) -> Column:
-    """Whether any of the strings stands in the lower-cased text."""
-    return reduce(lambda a, b: a | b, (F.lower(text).contains(w) for w in words))
-
-
 def replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
     """The steps' replacements, one after the other."""
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 
 
-#: Structural line breaks of a statement, in order: line ends, list marks, options, blank runs.
+#: What stands on a line of its own in a statement, in order.
 STATEMENT_STEPS = [
-    (r"\r\n?", "\n"),
     (r"[ \t]+", " "),
-    (r" ?\n ?", "\n"),
-    (r" ?[•●▪] ?", "\n• "),
-    (r" \(([A-E])\) ", "\n($1) "),
-    (r"\n{2,}", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"\s+(Sabe-se que:)\s*", "\n$1\n"),
+    (r"\s+(Considere que:|Admita que:)\s*", "\n$1\n"),
+    (r"\s*•\s*", "\n• "),
+    (r";\s*\n•", ";\n•"),
+    (r"\s+(Apresente (?:o resultado|a sua resposta)[^.]*\.)", "\n$1"),
+    (r"\s+(Na sua resposta,[^.]*\.)", "\n$1"),
+    (r"\s+\(([A-D])\)\s*", "\n($1) "),
 ]
 
-#: LaTeX to plain text, in order.
+#: LaTeX to plain text, in order.
 LATEX_STEPS = [
-    (r"\\d?frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)"),
-    (r"\\sqrt\{([^{}]*)\}", "√($1)"),
-    (r"\\(?:text|mathrm|mathbf)\{([^{}]*)\}", "$1"),
-    (r"\\times", "×"),
-    (r"\\cdot", "·"),
-    (r"\\(?:left|right)", ""),
-    (r"\\leq?", "≤"),
-    (r"\\geq?", "≥"),
-    (r"\\neq?", "≠"),
-    (r"\\pi", "π"),
-    (r"\\[()\[\]]", ""),
-    (r"\$", ""),
-    (r"[ \t]+", " "),
-]
+    (r"\\frac\{([^}]*)\}\{([^}]*)\}", "$1/$2"), (r"\\sqrt\{([^}]*)\}", "√($1)"), (r"\\overrightarrow\{([^}]*)\}", "$1"), (r"\\left([(\[|])", "$1"), (r"\\right([)\]|])", "$1"),
+    (r"\\cdot", "·"), (r"\\times", "×"), (r"\\leq", "≤"), (r"\\geq", "≥"), (r"\\pi", "π"), (r"\\in", "∈"), (r"\\infty", "∞"), (r"\\alpha", "α"), (r"\\beta", "β"), (r"\\theta", "θ"),
+    (r"\\mathbb\{([^}]*)\}", "$1"), (r"\^\{([^}]*)\}", "^$1"), (r"_\{([^}]*)\}", "_$1"),
+]
 
 
 def format_statement(text: Column) -> Column:
-    return strip(replaced(text, STATEMENT_STEPS))
+    """A statement with introductions, list marks, options and final instructions on lines of their own; null is empty.
+
+    A line end after a LaTeX row break stays where it is.
+    """
+    kept = F.lit("\\\\ __NL__ ")
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    s = replaced(F.replace(s, F.lit("\\\\\n"), kept), STATEMENT_STEPS)
+    s = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^(\d+(?:\.\d+)?)\.\s+", "$1. ")
+    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.replace(F.array_join(lines, "\n"), kept, F.lit("\\\\\n"))
 
 
 def latex_to_plain(text: Column) -> Column:
-    return strip(replaced(text, LATEX_STEPS))
+    """Readable text of LaTeX: known commands as characters, other commands, braces and delimiters gone."""
+    bare = F.regexp_replace(text, r"\\[()]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(replaced(bare, LATEX_STEPS), r"\\[a-zA-Z]+", ""), r"[{}]", ""), r"^\s+|\s+$", "")
+
+
+def fractions_to_latex(text: Column) -> Column:
+    """Whole numbers with a slash between as LaTeX fractions, unless the text has fractions already."""
+    made = F.regexp_replace(text, r"(?U)(?<![\w.])([0-9]{1,4})\s*/\s*([0-9]{1,4})(?![\w.])", r"\\(\\frac{$1}{$2}\\)")
+    return F.when(text.contains("\\frac"), text).otherwise(made)
+
+
+def math_spans(text: Column) -> Column:
+    """(plain, latex) of each inline formula."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\\\((.+?)\\\)"), F.lit(1)), lambda x: F.struct(latex_to_plain(x).alias("plain"), F.concat(F.lit("\\("), x, F.lit("\\)")).alias("latex")))
+
+
+def latex_checks(text: Column) -> Column:
+    """(delimiters, parentheses, braces, likely): whether each is balanced, and whether the text is LaTeX at all."""
+    same = lambda a, b: count_of(text, a) == count_of(text, b)
+    return F.struct(same("\\(", "\\)").alias("delimiters"), same("(", ")").alias("parentheses"), (brace_balance(text) == 0).alias("braces"), text.rlike(r"\\frac|\\sqrt|\\pi|\\in|\\mathbb|\\left|\\right|\^\{").alias("likely"))
 
 
 def brace_balance(text: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import scoring_text
 from ..sources.exams import MODEL_SQL, model
 from ..sources.tables import table
+from .cleanup import traced
 from .registry import query
 
 SYMBOLS = "*#$%&!"
@@ -64,27 +65,21 @@ def q_json_tolerant(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("json IS NOT NULL").select("event_id", F.get_json_object("json", "$.k").cast("bigint").alias("k"))
 
 
-STATEMENTS = ["Read  the text.\r\n• one • two\n\n\nThen answer.", "Choose (A) first (B) second (C) third ", "plain", "  \t ", "a\n \n b"]
-
-
-@query("""WITH v(id, s) AS (VALUES (0, 'Read  the text.' || chr(13) || chr(10) || '• one • two' || chr(10) || chr(10) || chr(10) || 'Then answer.'), (1, 'Choose (A) first (B) second (C) third '), (2, 'plain'), (3, '  ' || chr(9) || ' '), (4, 'a' || chr(10) || ' ' || chr(10) || ' b')),
-a AS (SELECT id, regexp_replace(s, '\\r\\n?', chr(10), 'g') AS s FROM v), b AS (SELECT id, regexp_replace(s, '[ \\t]+', ' ', 'g') AS s FROM a), c AS (SELECT id, regexp_replace(s, ' ?\\n ?', chr(10), 'g') AS s FROM b),
-e AS (SELECT id, regexp_replace(s, ' ?[•●▪] ?', chr(10) || '• ', 'g') AS s FROM c), f AS (SELECT id, regexp_replace(s, ' \\(([A-E])\\) ', chr(10) || '(\\1) ', 'g') AS s FROM e), g AS (SELECT id, regexp_replace(s, '\\n{2,}', chr(10), 'g') AS s FROM f)
-SELECT CAST(id AS BIGINT) AS id, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS statement FROM g""")
-def q_statement_format(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(STATEMENTS)), "id bigint, s string")
-    return df.select("id", T.format_statement(F.col("s")).alias("statement"))
-
-
-FORMULAS = [r"$\frac{1}{2} \times \sqrt{x}$", r"\( a \leq b \cdot \pi \)", r"\text{area} = \left( 3 \right)", "no latex", "{a{b}", "}{"]
-
-
-@query("""WITH v(id, plain, balance, dollars) AS (VALUES (0, '(1)/(2) × √(x)', 0, 2), (1, 'a ≤ b · π', 0, 0), (2, 'area = ( 3 )', 0, 0), (3, 'no latex', 0, 0), (4, '{a{b}', 1, 0), (5, '}{', -1, 0))
-SELECT CAST(id AS BIGINT) AS id, plain, CAST(balance AS BIGINT) AS balance, CAST(dollars AS BIGINT) AS dollars FROM v""")
-def q_latex_plain(spark: SparkSession, d: str) -> DataFrame:
-    """Plain text, brace balance and dollar signs of formulas; the SQL holds hand-traced values."""
-    df = spark.createDataFrame(list(enumerate(FORMULAS)), "id bigint, s string")
-    return df.select("id", T.latex_to_plain(F.col("s")).alias("plain"), T.brace_balance(F.col("s")).alias("balance"), T.count_of(F.col("s"), "$").alias("dollars"))
+_shown = lambda items: F.array_join(F.transform(items, lambda x: F.concat_ws("=", x["plain"], x["latex"])), "|")
+traced("q_statement_format", "Statements with their parts on lines of their own.", [
+    ("Texto. Sabe-se que: • a; • b", "Texto.\nSabe-se que:\n• a;\n• b"), ("Qual? (A) um (B)  dois", "Qual?\n(A) um\n(B) dois"), ("2.  Calcule x. Apresente o resultado em metros.", "2. Calcule x.\nApresente o resultado em metros."),
+    ("a\r\n\r\n\r\n b ", "a\nb"), (None, ""), ("Pense. Na sua resposta, diga porquê. Fim", "Pense.\nNa sua resposta, diga porquê. Fim"), ("x \\\\\ny", "x \\\\\ny"),
+], T.format_statement)
+traced("q_latex_plain", "Plain text of LaTeX.", [
+    ("\\(\\frac{1}{2} \\times \\sqrt{x}\\)", "1/2 × √(x)"), ("x^{2} \\in \\mathbb{R}", "x^2 ∈ R"), ("\\left( a \\leq b \\right)", "( a ≤ b )"), ("\\alpha + \\unknown{y}", "α + y"), ("\\infty", "∈fty"), ("", ""), (None, None),
+], T.latex_to_plain)
+traced("q_latex_fractions", "Numbers with a slash as fractions.", [
+    ("3/5 e 3 / 10", "\\(\\frac{3}{5}\\) e \\(\\frac{3}{10}\\)"), ("1.5/2", "1.5/2"), ("\\frac 1/2", "\\frac 1/2"), ("a1/2", "a1/2"), ("é 7/12345", "é 7/12345"), (None, None),
+], T.fractions_to_latex)
+traced("q_math_spans", "Inline formulas of a text.", [("Se \\(x^{2}\\) e \\(y\\)", "x^2=\\(x^{2}\\)|y=\\(y\\)"), ("sem", ""), ("\\(aberto", "")], lambda t: _shown(T.math_spans(t)))
+traced("q_latex_checks", "Balance of delimiters, parentheses and braces, and whether a text is LaTeX.", [
+    ("\\(a\\)", "true,true,true,false"), ("\\(\\frac{1}{2}", "false,false,true,true"), ("}{", "true,true,false,false"), ("x^{2}", "true,true,true,true"),
+], lambda t: F.array_join(F.array(*(T.latex_checks(t)[c].cast("string") for c in ("delimiters", "parentheses", "braces", "likely"))), ","))
 
 
 OPTIONS = ["Which?\n(A) one\n(B) two words\n(C) three", "No options here", "(A) alone", "x (B) not at a line's start\n(C) yes"]
