@@ -184,3 +184,17 @@ def cover_data(pages: DataFrame) -> DataFrame:
     first = lambda name: F.min_by(F.col(f"c.{name}"), F.when(F.col(f"c.{name}").isNotNull(), F.col("place"))).alias(name)
     out = told.groupBy("root").agg(*map(first, ("year", "subject", "phase")))
     return out.withColumn("title", F.when(F.col("subject").isNotNull() & F.col("year").isNotNull(), F.concat(F.lit("Exame Nacional de "), "subject", F.lit(" - "), "year")))
+
+
+def preflight(pages: DataFrame) -> DataFrame:
+    """(root, type, abort, noisy): what a file is by the phrases of its first three pages, and its pages with watermarks.
+
+    Two phrases make it a criteria document (which ends the run) if they are more than the exam's, else an exam.
+    """
+    place = F.row_number().over(Window.partitionBy("root").orderBy("page"))
+    df = pages.withColumn("place", place).withColumn("low", F.lower("text"))
+    count = lambda words: sum(F.max((F.col("place") <= 3) & F.col("low").contains(w)).cast("int") for w in words)
+    noisy = F.array_sort(F.collect_set(F.when(F.col("text").rlike(T.WATERMARKS), F.col("page"))))
+    df = df.groupBy("root").agg(count(T.CRITERIA_MARKERS).alias("criteria"), count(T.EXAM_MARKERS).alias("exam"), noisy.alias("noisy"))
+    kind = F.when((F.col("criteria") >= 2) & (F.col("criteria") > F.col("exam")), "criteria").when(F.col("exam") >= 2, "exam").otherwise("unknown")
+    return df.select("root", kind.alias("type"), (kind == "criteria").alias("abort"), "noisy")

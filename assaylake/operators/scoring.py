@@ -72,3 +72,32 @@ def confidence(penalties: list[tuple[Column, int]], start: int = 92) -> Column:
     for when, cost in penalties:
         value = value - F.when(when, F.lit(cost)).otherwise(0)
     return F.least(F.greatest(value, F.lit(10)), F.lit(100)).cast("bigint")
+
+
+def assign_scores(questions: DataFrame, entries: DataFrame) -> DataFrame:
+    """questions(root, ord, number, group_id, points), entries(root, ord, number, points, group) -> (root, ord, points).
+
+    Entries come in turn.  One with a group goes to the first question of its number whose group holds that name, points
+    or not.  Else it goes to the first question without points of its number, of it without leading zeros, or of it
+    with dots for underscores.  Who takes what depends on turns, so an exam's few questions are one list and its entries a fold over it.
+    Entries without a number or positive points are passed over.
+    """
+    number, points = F.rtrim(F.trim(F.coalesce("number", F.lit(""))), F.lit(".")), F.col("points").try_cast("double").try_cast("int")
+    e = entries.select("root", "ord", number.alias("number"), points.alias("points"), F.coalesce("group", F.lit("")).alias("group")).filter("number <> '' AND points > 0")
+    e = e.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("ord", "number", "points", "group"))).alias("e"))
+    q = questions.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("ord", "number", F.coalesce("group_id", F.lit("")).alias("group"), F.col("points").cast("int").alias("points")))).alias("q"))
+
+    def take(state: Column, x: Column) -> Column:
+        first = lambda test: F.nullif(F.array_position(F.transform(state, lambda y: F.coalesce(test(y), F.lit(False))), True), F.lit(0).cast("bigint"))
+        free = lambda no: first(lambda y: (y["number"] == no) & y["points"].isNull())
+        bare = F.regexp_replace(x["number"], "^0+", "")
+        ways = [
+            F.when(x["group"] != "", first(lambda y: (y["number"] == x["number"]) & F.lower(y["group"]).contains(F.lower(x["group"])))),
+            free(x["number"]), free(F.when(bare == "", "0").otherwise(bare)), free(F.translate(x["number"], "_", ".")),
+        ]
+        at = F.coalesce(*ways)
+        return F.transform(state, lambda y, i: F.struct(y["ord"].alias("ord"), y["number"].alias("number"), y["group"].alias("group"), F.when(at == i + 1, x["points"]).otherwise(y["points"]).alias("points")))
+
+    df = q.join(e, "root", "left")
+    out = F.when(F.col("e").isNull(), F.col("q")).otherwise(F.aggregate("e", F.col("q"), take))
+    return df.select("root", F.inline(out)).select("root", "ord", "points")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exam_text import is_scoring_summary
 from . import sequences as seq
 
 #: Roman numerals of groups.
@@ -16,19 +17,10 @@ def group_id(roman: Column) -> Column:
     return F.when(F.upper(roman).isin(ROMANS), F.concat(F.lit("grupo_"), F.lower(roman)))
 
 
-def group_of_line(line: Column) -> Column:
-    """The group that a heading line names."""
-    return group_id(F.nullif(F.regexp_extract(line, r"(?iu)^\s*GRUPO\s+([IV]+)\b", 1), F.lit("")))
-
-
-def is_scoring_page(text: Column) -> Column:
-    return text.rlike(r"(?iu)\bcota[çc][õo]es\b|\bcota[çc][ãa]o\b")
-
-
 def page_groups(pages: DataFrame) -> DataFrame:
     """(exam_id, page, group_id): the group heading that holds for a page; pages before any, and scoring pages, have none."""
-    found = group_id(F.nullif(F.regexp_extract("text", r"(?iu)\bGRUPO\s+([IV]+)\b", 1), F.lit("")))
-    out = seq.carry_forward(pages, ["exam_id"], ["page"], found, "group_id", is_scoring_page(F.col("text")))
+    roman = F.nullif(F.regexp_extract("text", r"(?i)grupo\s+(I{1,3}V?|IV)\b", 1), F.lit(""))
+    out = seq.carry_forward(pages, ["exam_id"], ["page"], F.concat(F.lit("grupo_"), F.lower(roman)), "group_id", is_scoring_summary(F.col("text")))
     return out.filter("group_id IS NOT NULL").select("exam_id", "page", "group_id")
 
 

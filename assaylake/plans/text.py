@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import exam_text as E
 from ..functions import text as T
-from ..operators import scoring_text
+from ..operators import cleanup, scoring_text
 from ..sources.exams import MODEL_SQL, model
 from ..sources.tables import table
 from .cleanup import traced
@@ -116,9 +117,44 @@ def q_scoring_columns(spark: SparkSession, d: str) -> DataFrame:
     return scoring_text.scoring_columns(df).select("group_id", "item", "points")
 
 
-@query("""SELECT CAST(exam_id AS BIGINT) AS exam_id, CAST(page AS BIGINT) AS page, group_id FROM (VALUES (1, 2, 'grupo_i'), (1, 3, 'grupo_i'), (1, 4, 'grupo_ii')) v(exam_id, page, group_id)""")
+#: Pages of exams, by key, and the group of each page, traced by hand.
+GROUPED = [
+    (["Prova 623", "GRUPO I\nDocumento 1", "1. Refira o autor", "GRUPO II", "COTAÇÕES GRUPO I"], [(2, "grupo_i"), (3, "grupo_i"), (4, "grupo_ii")]),
+    (["Grupo i\nDocumento 1", "texto", "Grupo I Grupo II Grupo III total 200 pontos", "mais"], [(1, "grupo_i"), (2, "grupo_i"), (4, "grupo_i")]),
+    (["capa", "nada", "Grupo IV", "Grupo III\ntotal"], [(3, "grupo_iv"), (4, "grupo_iii")]),
+]
+
+
+@query(f"SELECT o_orderkey AS exam_id, CAST(page AS BIGINT) AS page, group_id FROM orders JOIN (VALUES {', '.join(f'({k}, {p}, {g!r})' for k, (_, told) in enumerate(GROUPED) for p, g in told)}) v(k, page, group_id) ON o_orderkey % {len(GROUPED)} = k")
 def q_page_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The group of each page of an exam, cover and scoring pages aside; the SQL holds hand-traced values."""
-    texts = ["Prova 623", "GRUPO I\nDocumento 1", "1. Refira o autor", "GRUPO II", "COTAÇÕES GRUPO I"]
-    df = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(texts)], "exam_id bigint, page bigint, text string")
-    return scoring_text.page_groups(df)
+    """The group of each page of an exam, cover and scoring pages aside; the SQL holds values traced by hand."""
+    docs = F.array(*(F.array(*map(F.lit, texts)) for texts, _ in GROUPED))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("exam_id"), F.posexplode(docs[(F.col("o_orderkey") % len(GROUPED)).cast("int")]).alias("at", "text"))
+    return scoring_text.page_groups(pages.select("exam_id", (F.col("at") + 1).cast("bigint").alias("page"), "text"))
+
+
+#: Files by key, and their class and noisy pages, traced by hand.
+FILES = [
+    (["Critérios de Classificação", "Tópicos de resposta", "a prova inclui"], ("criteria", True, "")),
+    (["Duração da prova: 120. Tolerância: 30", "versão de trabalho", "x", "DRAFT"], ("exam", False, "2,4")),
+    (["capa", "x", "y", "duração da prova, tolerância"], ("unknown", False, "")),
+    (["critérios de classificação, tópicos de resposta", "tolerância. A prova inclui"], ("exam", False, "")),
+]
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS root, type, abort, noisy FROM orders JOIN (VALUES {', '.join(f'({k}, {t!r}, {str(a).lower()}, {n!r})' for k, (_, (t, a, n)) in enumerate(FILES))}) v(k, type, abort, noisy) ON o_orderkey % {len(FILES)} = k")
+def q_file_class(spark: SparkSession, d: str) -> DataFrame:
+    """What files are by the phrases of their first pages; the SQL holds values traced by hand."""
+    docs = F.array(*(F.array(*map(F.lit, texts)) for texts, _ in FILES))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("root"), F.posexplode(docs[(F.col("o_orderkey") % len(FILES)).cast("int")]).alias("at", "text"))
+    found = cleanup.preflight(pages.select("root", (F.col("at") + 1).alias("page"), "text"))
+    return found.withColumn("noisy", F.array_join(F.col("noisy").cast("array<string>"), ","))
+
+
+_flags = lambda *tests: F.concat(*(t.cast("int").cast("string") for t in tests))
+traced("q_scoring_pages", "Five ways to tell a scoring page, by who asks: any scoring word, a summary, its heading words, points beside a group, a heading line.", [
+    ("COTAÇÕES\nGrupo I 10 pontos", "11111"), ("classificação final", "10000"), ("Grupo I Grupo II Grupo III total 200 pontos", "01010"), ("1. Grupo I Grupo II Grupo III total 200 pontos", "00010"), ("pontuação do item", "10000"), ("texto\n  Cota do mapa", "00001"), (None, "00000"),
+], lambda t: _flags(E.has_scoring_text(t), E.is_scoring_summary(t), E.is_scored_page(t), E.looks_scored(t), E.has_scoring_heading(t)))
+traced("q_formula_sheets", "Whether a page is a formula sheet.", [("Formulário\nx", "true"), ("Formulário\n1. Diga", "false"), ("√" * 16, "true"), ("√" * 16 + "\n 2. x", "false"), ("√" * 15, "false"), ("limites notáveis", "true")], E.is_formula_sheet)
+traced("q_text_metrics", "Share of one-character words, lost glyphs and structure of a text.", [("a b cde □", "0.75/1/0.25"), ("uma frase normal", "0.0/0/1.0"), ("x [45::47u [1;2u �", "0.5/2/0.5"), ("a b", "1.0/0/0.0")], lambda t: F.concat_ws("/", *(E.text_metrics(t)[c].cast("string") for c in ("one_char", "weird", "structure"))))
+traced("q_torn_formulas", "Lost characters, and formulas torn apart.", [("x\n2", "11"), ("a ^ ^ b", "01"), ("soma b c d fim", "01"), ("normal", "00"), ("\u0007", "10"), ("[1;2u", "10"), ("soma a c fim", "00")], lambda t: _flags(E.has_lost_characters(t), E.is_suspicious_math(t)))
