@@ -7,14 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, WordHashes, simple_words, windows
+from .common import WORD_BYTES, WordHashes, materialize, simple_words, windows
 
 #: The broadcast set may hold so many windows (each about 200 bytes in a task); beyond, windows meet in a shuffle.
 MOST_BROADCAST_WINDOWS = 500_000
 
+#: Bits of the table through which windows go before that shuffle: 2 MB, at every size of benchmark.
+FILTER_BITS = 24
+
 REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -101,8 +105,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_
 
     Words: runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.  A document word inside any
     occurrence of a benchmark window is hit.  Up to `most_broadcast` windows the set is broadcast and the
-    documents are scanned where they are read; beyond it, hashes of the documents' windows meet the
-    benchmark's in a shuffle join, and equal words are required there too.
+    documents are scanned where they are read; beyond it, those windows of the documents that a table of hashes
+    marks meet the benchmark's in a shuffle join by their words.
 
     Null text has no words and no hits.  Null item_id or item text is no window.  Empty benchmark: nothing is
     hit.  Repeated rows give a row each.  Rows with a null doc_id are reported under null.  Extra columns
@@ -139,28 +143,50 @@ def _shuffled(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     return w.select("doc_id", "n_words", "hits", "items").mapInArrow(close, REPORT)
 
 
+def _window_bits(known: DataFrame) -> np.ndarray:
+    """A table of fixed size that marks the hashes of all known windows (and, by chance, of others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = np.zeros(1 << FILTER_BITS, dtype=bool), WordHashes()
+        for batch in batches:
+            for size, window in zip(batch.column("size").to_pylist(), batch.column("window").to_pylist(), strict=True):
+                bits[windows(hashes.of(window.split(b" ")), size) >> np.uint64(64 - FILTER_BITS)] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes())], pa.binary())], ["data"])
+
+    out = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    for row in known.select("size", "window").coalesce(64).mapInArrow(run, "data binary").toLocalIterator():
+        out |= np.frombuffer(zstandard.decompress(row["data"]), dtype=np.uint8)
+    return out
+
+
 def _met(docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """docs(row, doc_id, text) -> (row, doc_id, n_words) and distinct (row, start, size, item_id).
 
-    A row per document window meets the benchmark's windows by words.
+    Only windows whose hash the table of known ones marks leave their task; there they meet the benchmark's by words.
+    The documents are read once.
     """
-    known = benchmark_windows(benchmark, n).withColumn("key", F.xxhash64("window", "size"))
+    known = materialize(benchmark_windows(benchmark, n).withColumn("key", F.xxhash64("window", "size")), "known-windows")
     sizes = [r[0] for r in known.select("size").distinct().collect()]  # at most n values
+    marks = docs.sparkSession.sparkContext.broadcast(_window_bits(known))
     row_type = docs.schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = np.unpackbits(marks.value).view(bool), WordHashes()
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         for batch in batches:
             for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 w = simple_words((text.as_py() or "").encode())
-                for size in [0, *sizes]:  # size 0: the row that counts the words
-                    n_rows = len(w) - size + 1 if size else 1
-                    for first in range(0, n_rows, 5000):
-                        last = min(n_rows, first + 5000)
-                        m = last - first
-                        cols = [[row] * m, [doc] * m, list(range(first, last)), [size] * m, [b" ".join(w[i : i + size]) for i in range(first, last)], [len(w)] * m]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.field("row").type, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], strict=True)], ["row", "doc_id", "start", "size", "window", "n_words"])
-
-    rows = docs.mapInArrow(cut, f"row {row_type}, doc_id long, start long, size int, window binary, n_words long")
+                h = hashes.of(w)
+                found = [(doc, None, 0, None, len(w))]  # size 0: the row that counts the words
+                for size in sizes:
+                    got = windows(h, size)
+                    found += [(doc, int(i), size, b" ".join(w[i : i + size]), len(w)) for i in np.flatnonzero(bits[got >> np.uint64(64 - FILTER_BITS)])]
+                for at in range(0, len(found), 5000):
+                    cols = list(zip(*found[at : at + 5000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(cols[0]), batch.schema.field("row").type), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row", "doc_id", "start", "size", "window", "n_words"])
+
+    rows = materialize(docs.mapInArrow(cut, f"row {row_type}, doc_id long, start long, size int, window binary, n_words long"), "marked-windows")
     base = rows.filter("size = 0").select("row", "doc_id", "n_words")
     hits = rows.filter("size > 0").withColumn("key", F.xxhash64("window", "size")).join(known, ["key", "size", "window"]).select("row", "start", F.col("size").cast("long").alias("size"), "item_id").distinct()
     return base, hits
@@ -194,10 +220,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
         if mode == "document":
             return docs.join(hits.select("__hit").distinct(), digest == F.col("__hit"), "left_anti")
         hits = hits.groupBy("__hit").agg(F.collect_set(F.struct("start", "size")).alias("__hits"))
-        spans = lambda h: [(x["start"], x["end"]) for x in summary(0, [(x["start"], x["size"]) for x in h], ())[-1]]
-        cut = F.udf(lambda t, h: remove_spans(t, spans(h)) if h else t, "string")
-        out = docs.join(hits, digest == F.col("__hit"), "left").withColumn("text", cut("text", "__hits")).drop("__hit", "__hits")
-        return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                new = []
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("__hits").to_pylist(), strict=True):
+                    spans = summary(0, [(x["start"], x["size"]) for x in found or []], ())[-1]
+                    new.append(remove_spans(text, [(x["start"], x["end"]) for x in spans]) if spans else text)
+                yield with_text(batch.drop_columns(["__hits"]), new)
+
+        return docs.join(hits, digest == F.col("__hit"), "left").drop("__hit").mapInArrow(cut, docs.schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, hashes = shared.value, WordHashes()
