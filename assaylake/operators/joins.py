@@ -25,21 +25,32 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, righ
     return out.select(*left.columns, *(F.col("__r")[c].alias(c) for c in take))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, right_id: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, right_id: str, blocks: int = 256) -> DataFrame:
     """Each left row with the id and distance of the right row nearest to it (ties: the smaller id).
 
     Only the neighbours before and after in sorted order can be nearest, so the two sides are stacked and
-    sorted instead of being paired.
+    sorted instead of being paired.  A key's rows are dealt over ranges of the value, cut at quantiles of all rows,
+    so a key that holds most rows is sorted by many tasks; what a range lacks at its ends comes from one row for
+    each key and range.
     """
     no_left = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in keys]
     a = left.select(*left.columns, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[right_id].dataType).alias("__id"))
     # equal values: only the smallest id counts
     firsts = right.groupBy(*keys, F.col(right_at).alias("__at")).agg(F.min(right_id).alias("__id"))
     b = firsts.select(*keys, *no_left, "__at", F.lit(0).alias("__side"), "__id").select(*a.columns)
+    cuts = sorted(set(left.select(F.col(left_at).alias("__at")).approxQuantile("__at", [i / blocks for i in range(1, blocks)], 0.5 / blocks)))
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__at"))) if cuts else F.lit(0)
     here = F.when(F.col("__side") == 0, F.struct("__at", "__id"))
+    both = a.unionByName(b).withColumn("__block", block)
     # both frames grow by one row at a time; a frame that shrinks would be gone through anew for each row
-    seen = lambda at: F.last(here, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0))
-    out = a.unionByName(b).withColumn("__lo", seen(F.col("__at"))).withColumn("__hi", seen(F.col("__at").desc())).filter("__side = 1")
+    seen = lambda by, frame, *order: F.last(by, ignorenulls=True).over(Window.partitionBy(*frame).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranged = [*keys, "__block"]
+    ends = both.groupBy(*ranged).agg(F.max(here).alias("__last"), F.min(here).alias("__first"))
+    by_key = lambda by, order: F.last(by, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*ranged, by_key("__last", F.col("__block")).alias("__before"), by_key("__first", F.col("__block").desc()).alias("__after"))
+    out = both.withColumn("__lo", seen(here, ranged, F.col("__at"), "__side")).withColumn("__hi", seen(here, ranged, F.col("__at").desc(), "__side")).filter("__side = 1")
+    same = [out[c].eqNullSafe(ends[c]) for c in ranged]
+    out = out.join(ends, same, "left").select(*(out[c] for c in [*left.columns, "__at"]), F.coalesce("__lo", "__before").alias("__lo"), F.coalesce("__hi", "__after").alias("__hi"))
     lo = F.when(F.col("__lo").isNotNull(), F.struct((F.col("__at") - F.col("__lo.__at")).alias("d"), F.col("__lo.__id").alias("i")))
     hi = F.when(F.col("__hi").isNotNull(), F.struct((F.col("__hi.__at") - F.col("__at")).alias("d"), F.col("__hi.__id").alias("i")))
     best = F.when(hi.isNull() | (lo <= hi), lo).otherwise(hi)
