@@ -73,7 +73,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to 64-bit hash, kept for words seen lately; emptied when it holds `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -80,7 +80,7 @@ def _prefixes(docs: DataFrame, table, k: int, num: int, den: int, hot: int) -> D
                 if not n or (node := node_of(s)) in done:  # copies in this task; others meet by their node
                     continue
                 done.add(node)
-                if len(done) > 500_000:
+                if len(done) > 200_000:
                     done.clear()
                 p = n - -(-n * num // den) + 1
                 f = count[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -97,81 +97,47 @@ def _prefixes(docs: DataFrame, table, k: int, num: int, den: int, hot: int) -> D
 MEMBERS = "key bigint, salt int, node bigint, n int, pos int, node2 bigint, n2 int, pos2 int"
 
 
-def _with_first(rows: DataFrame) -> DataFrame:
-    """Each row beside the first (by node) of its key and salt, in a stream over sorted rows; groups of one unsalted node go."""
+def _beside_first(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Each row beside the first of its run, in one stream over rows sorted by key, salt, size and node.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # key, salt, node, n, pos of the group that a batch's end may have cut, and whether it was given out
-        given = False
-        for batch in batches:
-            x = [c.to_numpy() for c in batch.columns]
-            m = batch.num_rows
-            if not m:
-                continue
-            same = np.empty(m, dtype=bool)
-            same[1:] = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])
-            same[0] = head is not None and x[0][0] == head[0] and x[1][0] == head[1]
-            group = np.cumsum(~same)  # 0: goes on with head
-            starts = np.flatnonzero(~same)
-            firsts = [np.concatenate([[head[i] if head else 0], x[i][starts]])[group] for i in (2, 3, 4)]
-            other = x[2] != firsts[0]
-            keep = other | (x[1] > 0)
-            # a group's first row goes out once another node follows it
-            mixed = np.zeros(len(starts) + 1, dtype=bool)
-            mixed[group[other]] = True
-            extra = head is not None and not given and mixed[0]
-            keep |= ~same & mixed[group]
-            out = [[c[keep] for c in x], [c[keep] for c in firsts]]
-            cols = [*out[0], *out[1]]
-            if extra:
-                cols = [np.concatenate([[v], c]).astype(c.dtype) for v, c in zip([*head, *head[2:]], cols, strict=True)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32), strict=True)], ["key", "salt", "node", "n", "pos", "node2", "n2", "pos2"])
-            if len(starts):
-                head, given = tuple(int(c[starts[-1]]) for c in x), bool(mixed[-1]) or x[1][-1] > 0
-            else:
-                given = given or mixed[0]
-
-    return rows.sortWithinPartitions("key", "salt", "node").mapInArrow(run, MEMBERS)
-
-
-def _of_like_size(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows with a neighbour of their key whose size the length filter allows, in a stream over rows sorted by size.
-
-    A key's rows fall into runs of sizes, each allowed beside the one before it; no pair across runs can link.
-    Unsalted keys are told apart by run.  Rows of one key and salt stay in one task.
+    A key's rows fall into runs of sizes, each allowed by the length filter beside the one before it; no pair across
+    runs can link.  Unsalted keys are told apart by run, and their rows that are alone in one go; repeated rows of a
+    node go.  A salted key's rows all stay, as others of like size may have other salts.
     """
-    names, kinds = ["key", "salt", "node", "n", "pos"], (np.int64, np.int32, np.int64, np.int32, np.int32)
+    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
+    names = ["key", "salt", "node", "n", "pos", "node2", "n2", "pos2"]
+
+    def out(x: list[np.ndarray], firsts: list[np.ndarray]) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            own = np.where(x[1] > 0, x[0], (x[0].view(np.uint64) ^ mix(firsts[1].astype(np.uint64))).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip([own, *x[1:], *firsts], (*kinds, *kinds[2:]), strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None  # the last row, whose next neighbour is not known yet; whether it has one before it; its run's first size
+        held = None  # the last row, whose next is not known yet; whether its run has one before it; the run's first
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = [c.to_numpy() for c in batch.columns]
             if held:
                 x = [np.concatenate([[v], c]).astype(t) for v, c, t in zip(held[0], x, kinds, strict=True)]
+            same = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])
+            x = [c[np.concatenate([[True], ~(same & (x[2][1:] == x[2][:-1]))])] for c in x]
             key, salt, _, n, _ = x
             m = len(key)
-            near = np.zeros(m + 1, dtype=bool)  # near[i]: row i may stand beside row i - 1
+            near = np.zeros(m + 1, dtype=bool)  # near[i]: row i is in the run of row i - 1
             near[0] = bool(held) and held[1]
             near[1:m] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (n[:-1].astype(np.int64) * den >= n[1:].astype(np.int64) * num)
-            starts = np.flatnonzero(~near[:m])
-            first = np.concatenate([[held[2] if held else n[0]], n[starts]])[np.cumsum(~near[:m])]
-            keep = near[:-1] | near[1:]
-            keep[-1] = False  # told by the next batch
-            with np.errstate(over="ignore"):
-                own = np.where(salt > 0, key, (key.view(np.uint64) ^ mix(first.astype(np.uint64))).view(np.int64))
+            starts, group = np.flatnonzero(~near[:m]), np.cumsum(~near[:m])  # group 0 goes on with held's run
+            firsts = [np.concatenate([[held[2][i] if held else 0], x[i + 2][starts]])[group] for i in range(3)]
+            keep = near[:-1] | near[1:] | (salt > 0)
+            keep[-1] = False
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (own, *x[1:])], names)
-            held = [tuple(c[-1] for c in x), bool(near[m - 1]), int(first[-1])]
-        if held and held[1]:
-            row, at = held[0], np.array([held[0][0]], dtype=np.int64)
-            if row[1] == 0:
-                at = (at.view(np.uint64) ^ mix(np.array([held[2]], dtype=np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.array([v], dtype=t)) for v, t in zip(row[1:], kinds[1:], strict=True))], names)
+                yield out([c[keep] for c in x], [c[keep] for c in firsts])
+            held = tuple(c[-1] for c in x), bool(near[m - 1]), tuple(c[-1] for c in firsts)
+        if held and (held[1] or held[0][1] > 0):
+            yield out([np.array([v], dtype=t) for v, t in zip(held[0], kinds, strict=True)], [np.array([v], dtype=t) for v, t in zip(held[2], kinds[2:], strict=True)])
 
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(run, "key bigint, salt int, node bigint, n int, pos int")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node").mapInArrow(run, MEMBERS)
 
 
 def _possible(num: int, den: int) -> Column:
@@ -431,7 +397,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, hot: int) -> tuple[Dat
     signatures = scanned.filter("node is not null").select("doc_id", "node", "n", "data").join(classes, ["node", "doc_id"], "left_semi").select("node", "n", "data")
     signatures = materialize(signatures.dropDuplicates(["node"]), "signatures")
 
-    members = materialize(_with_first(_of_like_size(_prefixes(docs, table, k, num, den, hot), num, den)), "members")
+    members = materialize(_beside_first(_prefixes(docs, table, k, num, den, hot), num, den), "members")
     firsts = members.filter("salt > 0 and node = node2").select("key", "node", "n", "pos").distinct()
     ends = firsts.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("f")).select("key", F.col("f.node").alias("node2"), F.col("f.n").alias("n2"), F.col("f.pos").alias("pos2"))
     meet = members.select("node", "n", "pos", "node2", "n2", "pos2").unionByName(firsts.join(ends, "key").select("node", "n", "pos", "node2", "n2", "pos2"))

@@ -68,6 +68,15 @@ def test_near_duplicate_cases(spark, hot):
     assert got == plain_sets(rows, 3, 90)
 
 
+def test_salted_key_of_few(spark):
+    """Two sets that share one prefix shingle only, in different salts of it, still meet."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}", *common, f"z{i}"])) for i in range(24)] + [(100 + i, f"x{i} y{i} lone{i}") for i in range(5)]
+    docs = documents(spark, rows).repartition(4)
+    got = sorted((tuple(x) for x in near_duplicates(docs, 3, 90, 100, hot=2).collect()), key=repr)
+    assert got == plain_sets(rows, 3, 90) and len({g[2] for g in got if g[0] < 100}) == 1
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (4, "a b c d e f g"), (6, "h i"), (7, None), (8, None), (None, "a b c d e f g")]
     docs = documents(spark, rows)
