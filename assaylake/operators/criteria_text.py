@@ -6,8 +6,6 @@ item (its lines, a row of an answer key) is read as a list, by a fold.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,15 +194,16 @@ def composition(lines: DataFrame) -> DataFrame:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """pages(root, page, text) of criteria documents -> their items.  In the second group the answer key goes before prose."""
+    """pages(root, page, text) of criteria documents -> their items.
+
+    In the second group the answer key goes before prose, and of prose items of one number the last counts.
+    """
     found = sections(flat_lines(pages))
-    of = lambda gid: found.filter(F.col("group_id") == gid)
-    key = key_items(of("grupo_ii"))
-    # of items of one number the last counts
+    key = key_items(found.filter("group_id = 'grupo_ii'")).withColumn("at", F.lit(1 << 30))
+    both = prose_items(found.filter("group_id IN ('grupo_i', 'grupo_ii')")).unionByName(key)
     last = F.row_number().over(Window.partitionBy("root", "group_id", "number").orderBy(F.desc("at"))) == 1
-    prose = prose_items(of("grupo_ii")).withColumn("last", last).filter("last").join(key.select("root", "group_id", "number"), ["root", "group_id", "number"], "left_anti")
-    parts = [prose_items(of("grupo_i")).drop("at"), key, prose.select(*key.columns), composition(of("grupo_iii"))]
-    return reduce(DataFrame.unionByName, parts)
+    both = both.withColumn("last", last).filter("last OR group_id = 'grupo_i'").drop("last", "at")
+    return both.unionByName(composition(found.filter("group_id = 'grupo_iii'")))
 
 
 def cross_check(pages: DataFrame) -> DataFrame:
