@@ -94,7 +94,7 @@ def _prefixes(docs: DataFrame, table, k: int, num: int, den: int, hot: int) -> D
     return docs.mapInArrow(run, "key bigint, salt int, node bigint, n int, pos int")
 
 
-MEMBERS = "key bigint, salt int, node bigint, n int, pos int, node2 bigint, n2 int, pos2 int"
+MEMBERS = "key bigint, salt int, node bigint, n int, pos int, node2 bigint, n2 int, pos2 int, three boolean"
 
 
 def _beside_first(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -102,15 +102,16 @@ def _beside_first(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     A key's rows fall into runs of sizes, each allowed by the length filter beside the one before it; no pair across
     runs can link.  Unsalted keys are told apart by run, and their rows that are alone in one go; repeated rows of a
-    node go.  A salted key's rows all stay, as others of like size may have other salts.
+    node go.  A salted key's rows all stay, as others of like size may have other salts.  `three` is false only for
+    rows of a run of two, whose only pair this is (it is true where a batch cuts a run or a key is salted).
     """
     kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
-    names = ["key", "salt", "node", "n", "pos", "node2", "n2", "pos2"]
+    names = ["key", "salt", "node", "n", "pos", "node2", "n2", "pos2", "three"]
 
-    def out(x: list[np.ndarray], firsts: list[np.ndarray]) -> pa.RecordBatch:
+    def out(x: list[np.ndarray], firsts: list[np.ndarray], three: np.ndarray) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             own = np.where(x[1] > 0, x[0], (x[0].view(np.uint64) ^ mix(firsts[1].astype(np.uint64))).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip([own, *x[1:], *firsts], (*kinds, *kinds[2:]), strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip([own, *x[1:], *firsts, three], (*kinds, *kinds[2:], bool), strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose next is not known yet; whether its run has one before it; the run's first
@@ -131,11 +132,12 @@ def _beside_first(rows: DataFrame, num: int, den: int) -> DataFrame:
             firsts = [np.concatenate([[held[2][i] if held else 0], x[i + 2][starts]])[group] for i in range(3)]
             keep = near[:-1] | near[1:] | (salt > 0)
             keep[-1] = False
+            three = (np.bincount(group)[group] > 2) | (group == 0) | (group == group[-1]) | (salt > 0)
             if keep.any():
-                yield out([c[keep] for c in x], [c[keep] for c in firsts])
+                yield out([c[keep] for c in x], [c[keep] for c in firsts], three[keep])
             held = tuple(c[-1] for c in x), bool(near[m - 1]), tuple(c[-1] for c in firsts)
         if held and (held[1] or held[0][1] > 0):
-            yield out([np.array([v], dtype=t) for v, t in zip(held[0], kinds, strict=True)], [np.array([v], dtype=t) for v, t in zip(held[2], kinds[2:], strict=True)])
+            yield out([np.array([v], dtype=t) for v, t in zip(held[0], kinds, strict=True)], [np.array([v], dtype=t) for v, t in zip(held[2], kinds[2:], strict=True)], np.ones(1, dtype=bool))
 
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "node").mapInArrow(run, MEMBERS)
 
@@ -242,15 +244,18 @@ RANKS = [0, 2, 16, 1 << 40]
 
 
 def _mixed(members: DataFrame, parts: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The members of keys that hold several components, each with its part, its signature, the key's main part and its numbers of blocks."""
-    named = members.select("key", "node", "n", "pos").join(parts, members["node"] == parts["id"], "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
-    named = materialize(named.distinct(), "named")
+    """The members of keys that hold several components, each with its part, its signature, the key's main part and its numbers of blocks.
+
+    Runs of two are left out: their pair was tried already.
+    """
+    named = members.filter("three").select("key", "node", "n", "pos").join(parts, members["node"] == parts["id"], "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
+    named = materialize(named, "named")
     discard(members)
     mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    sizes = named.join(mixed, "key", "left_semi").groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("total"))
+    sizes = named.join(mixed, "key", "left_semi").groupBy("key", "part").agg(F.countDistinct("node").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("main"), F.sum("m").alias("total"))
     blocks = lambda c: F.greatest(F.ceil(c / BLOCK_ROWS), F.lit(1)).cast("int")
     sizes = materialize(sizes.select("key", F.col("main.part").alias("main"), blocks(F.col("total")).alias("nb"), blocks(F.col("total") - F.col("main.m")).alias("ns")), "sizes")
-    out = materialize(named.join(sizes, "key").join(signatures.select("node", "data"), "node").select("key", "node", "n", "pos", "part", "main", "nb", "ns", "data"), "mixed")
+    out = materialize(named.join(sizes, "key").distinct().join(signatures.select("node", "data"), "node").select("key", "node", "n", "pos", "part", "main", "nb", "ns", "data"), "mixed")
     discard(named, sizes)
     return out
 
@@ -264,9 +269,10 @@ def _candidates(rows: DataFrame, ranks: tuple[int, int], num: int, den: int) ->
     0 on also, with y null, each row that is in any pair.  So no more rows come out than go in, times the ranks.
     Keys of many members are dealt over blocks: strays by members.
     """
+    small = (F.col("nb") == 1) & (F.col("ns") == 1)  # one block: a stray is a member that asks
     place, own = F.xxhash64("node"), ["node", "n", "pos", "part", "now", "data"]
-    as_member = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), F.lit(False).alias("asks"), *own)
-    as_stray = rows.filter("part <> main").select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), *own)
+    as_member = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(place, "nb").cast("int").alias("j"), (small & (F.col("part") != F.col("main"))).alias("asks"), F.lit(True).alias("member"), *own)
+    as_stray = rows.filter((F.col("part") != F.col("main")) & ~small).select("key", F.pmod(place, "ns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("member"), *own)
     keys = ["key", "i", "j"]
 
     def out(*columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -277,7 +283,7 @@ def _candidates(rows: DataFrame, ranks: tuple[int, int], num: int, den: int) ->
         key, i, j, node, n, pos, part, now = (g.column(c).to_numpy().astype(np.int64) for c in (*keys, "node", "n", "pos", "part", "now"))
         asks, data = g.column("asks").to_numpy(), _signatures(g.column("data"))
         group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) - 1
-        strays, there, seen = np.flatnonzero(asks), np.flatnonzero(~asks), np.zeros(len(key), dtype=bool)
+        strays, there, seen = np.flatnonzero(asks), np.flatnonzero(g.column("member").to_numpy()), np.zeros(len(key), dtype=bool)
         many = np.bincount(group[there], minlength=group[-1] + 1)
         begin, reps = (np.cumsum(many) - many)[group[strays]], many[group[strays]]
         chunk = np.cumsum(reps) // PAIRS
