@@ -44,3 +44,18 @@ n AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
 shared AS (SELECT a.r AS a, b.r AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.r < b.r WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY a.r, b.r),
 pair AS (SELECT shared.a, shared.b FROM shared JOIN n p ON p.r = shared.a JOIN n q ON q.r = shared.b WHERE 100 * m >= 90 * (p.n + q.n - m)), link AS MATERIALIZED (SELECT a, b FROM pair UNION SELECT b, a FROM pair), {_components("link")}
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN (SELECT a, min(o.doc_id) AS low FROM reach JOIN d o ON o.r = reach.b GROUP BY a) c ON c.a = d.r"""
+
+#: op11: words with one letter left out at each place are the same for near words (at the same place if one is replaced).
+VARIANTS = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all({_LOW}, '[a-zÀ-ÿ]{{6,}}')) AS w FROM documents),
+told AS MATERIALIZED (SELECT id, w, count(*) AS n, hex(encode(id || w)) AS x FROM runs GROUP BY id, w),
+hashed AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h FROM told, crc),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n AS m FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS MATERIALIZED (SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND len(a.word) = len(b.word) AND a.word <> b.word
+UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+near AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM pairs GROUP BY a),
+forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM words LEFT JOIN near USING (word)),
+way AS (SELECT word, word AS at FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.at WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, way.at AS root, forms.n, forms.n_near, forms.form_n FROM forms JOIN way USING (word) JOIN forms e ON e.word = way.at WHERE e.form IS NULL"""

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, ngram_join, oracles, packing, secret_scan, token_counts
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, ngram_join, oracles, packing, secret_scan, spelling_variants, token_counts
 from .common import shared_dir
 
 
@@ -63,7 +63,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_license_scan, op4_embedding_dedup, op5_html_extraction, op6_language_id, op7_chat_format, op8_secret_scan, op9_packing, op10_ngram_jaccard)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(table(spark, sf_dir, "documents"), slip=199))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_license_scan, op4_embedding_dedup, op5_html_extraction, op6_language_id, op7_chat_format, op8_secret_scan, op9_packing, op10_ngram_jaccard, op11_spelling_variants)}
 
 
 def license_sql() -> str:
@@ -93,5 +97,5 @@ FROM b LEFT JOIN g ON b.doc_id = g.doc_id"""
 #: SQL where it can express a query; the others need tokenizers or trained models.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": oracles.DECONTAMINATION, "op3_license_scan": license_sql(), "op4_embedding_dedup": oracles.EMBEDDINGS,
-    "op7_chat_format": oracles.CONVERSATIONS, "op10_ngram_jaccard": oracles.JACCARD,
+    "op7_chat_format": oracles.CONVERSATIONS, "op10_ngram_jaccard": oracles.JACCARD, "op11_spelling_variants": oracles.VARIANTS,
 }
