@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import fingerprints
 from .license_scan import LOWER, UPPER
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -59,3 +60,49 @@ near AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS be
 forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM words LEFT JOIN near USING (word)),
 way AS (SELECT word, word AS at FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.at WHERE forms.form IS NOT NULL)
 SELECT forms.word, forms.form, way.at AS root, forms.n, forms.n_near, forms.form_n FROM forms JOIN way USING (word) JOIN forms e ON e.word = way.at WHERE e.form IS NULL"""
+
+
+def _printed(texts: str) -> str:
+    """CTEs that read `texts`(r, side, t) and give marks(r, side, scale, slots): a hash for each subset with a term."""
+    words = f"list_distinct(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{_WORD}'))"
+    slots = fingerprints.SLOTS
+    return f"""own AS MATERIALIZED (SELECT r, side, t, list_transform({words}, lambda w: CAST('0x' || md5(w)[1:15] AS BIGINT)) AS x FROM {texts}),
+single AS (SELECT r, side, unnest(x) AS x FROM own),
+band AS MATERIALIZED (SELECT x FROM single WHERE side = 0 GROUP BY x HAVING count(*) * {fingerprints.RARE} >= (SELECT count(*) FROM documents) AND count(*) * {fingerprints.COMMON} <= (SELECT count(*) FROM documents)),
+inside AS (SELECT r, side, list(x) AS x FROM single JOIN band USING (x) GROUP BY r, side),
+kept AS MATERIALIZED (SELECT own.r, own.side, t, list_sort(coalesce(inside.x, own.x)) AS x FROM own LEFT JOIN inside ON inside.r = own.r AND inside.side = own.side),
+read AS MATERIALIZED (SELECT r, side, t, x, CASE WHEN len(x) = 0 THEN -9 ELSE len(list_filter(range(1, 13), lambda j: len(x) > {fingerprints.LOAD} * (1 << (2 * j)))) END AS scale FROM kept),
+dealt AS (SELECT r, side, s, k, list_filter(x, lambda v: (v >> ((k >> (2 * s + 2)) * (2 * s + 2))) & ((1 << (2 * s + 2)) - 1) = k & ((1 << (2 * s + 2)) - 1)) AS x FROM (SELECT r, side, x, k, unnest([scale, scale + 1]) AS s FROM read, range(0, {slots}) g(k) WHERE scale >= 0)),
+hashed AS (SELECT r, side, list(s || '.' || k || '.' || md5(array_to_string(x, ' '))[1:8] ORDER BY s, k) AS slots FROM dealt WHERE len(x) > 0 GROUP BY r, side),
+marks AS MATERIALIZED (SELECT r, side, scale, coalesce(slots, ['x.' || md5(t)]) AS slots FROM read LEFT JOIN hashed USING (r, side))"""
+
+
+def _likeness(a: str, b: str) -> str:
+    names = [f"list_transform(list_filter({x}.slots, lambda e: CAST(split_part(e, '.', 1) AS INT) BETWEEN greatest({a}.scale, {b}.scale) AND least({a}.scale, {b}.scale) + 1), lambda e: split_part(e, '.', 1) || '.' || split_part(e, '.', 2))" for x in (a, b)]
+    either = f"len(list_distinct(list_concat({names[0]}, {names[1]})))"
+    return f"CASE WHEN {a}.scale < 0 OR {b}.scale < 0 THEN CAST({a}.slots = {b}.slots AS INT)::DOUBLE WHEN {either} = 0 THEN CAST({a}.slots = {b}.slots AS INT)::DOUBLE ELSE len(list_intersect({a}.slots, {b}.slots))::DOUBLE / {either} END"
+
+
+#: op12: every text beside its edited one and the next document's.
+FINGERPRINTS = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS digest FROM documents),
+ids AS (SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next FROM (SELECT DISTINCT doc_id FROM d)),
+heads AS (SELECT doc_id, first(r ORDER BY digest) AS r, first(t ORDER BY digest) AS t FROM d GROUP BY doc_id),
+pair AS MATERIALIZED (SELECT d.r, d.doc_id, d.t, h.r AS next_r, left(d.t, length(d.t) - length(d.t) // 4) || left(h.t, length(d.t) // 4) AS edited FROM d JOIN ids USING (doc_id) JOIN heads h ON h.doc_id = ids.next),
+texts AS (SELECT r, 0 AS side, t FROM pair UNION ALL SELECT r, 1, edited FROM pair), {_printed("texts")}
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.slots, ' ') AS fingerprint, array_to_string(e.slots, ' ') AS edited_fingerprint, {_likeness("o", "e")} AS near_edited, {_likeness("o", "n")} AS near_next
+FROM pair JOIN marks o ON o.r = pair.r AND o.side = 0 JOIN marks e ON e.r = pair.r AND e.side = 1 JOIN marks n ON n.r = pair.next_r AND n.side = 0"""
+
+_CUTS = "list_transform(range(1, len(p)), lambda k: {'l': array_to_string(p[1:k], ' '), 'r': array_to_string(p[k + 1:], ' '), 'k': k})"
+#: op13: every phrase counted, every cut scored, every longer phrase looked into.
+PHRASES = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS p FROM pieces, range(1, 5) g(k)) GROUP BY lang, p),
+known AS MATERIALIZED (SELECT lang, array_to_string(p, ' ') AS phrase, f FROM grams),
+words AS (SELECT lang, sum(f) AS n FROM grams WHERE len(p) = 1 GROUP BY lang),
+found AS MATERIALIZED (SELECT lang, p, array_to_string(p, ' ') AS phrase, f AS a FROM grams WHERE len(p) > 1 AND f >= 30),
+inside AS (SELECT lang, unnest(flatten([[array_to_string(p[i:i + k - 1], ' ') FOR i IN range(1, len(p) - k + 2)] FOR k IN range(2, len(p))])) AS phrase, a FROM found),
+over AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase),
+cuts AS (SELECT lang, phrase, a, unnest({_CUTS}) AS c FROM found),
+scored AS (SELECT cuts.lang, cuts.phrase, a, c.k AS k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score FROM cuts JOIN known x ON x.lang = cuts.lang AND x.phrase = c.l JOIN known y ON y.lang = cuts.lang AND y.phrase = c.r),
+chosen AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT chosen.*, row_number() OVER (PARTITION BY chosen.lang ORDER BY score DESC, a DESC, chosen.phrase) AS rank FROM chosen LEFT JOIN over USING (lang, phrase) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000"""

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, ngram_join, oracles, packing, secret_scan, spelling_variants, token_counts
+from . import chat_format, decontaminate, embedding_dedup, fingerprints, html_extract, language_id, license_scan, ngram_join, oracles, packing, phrase_mining, secret_scan, spelling_variants, token_counts
 from .common import shared_dir
 
 
@@ -67,7 +67,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.group_variants(spelling_variants.count_words(table(spark, sf_dir, "documents"), slip=199))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_license_scan, op4_embedding_dedup, op5_html_extraction, op6_language_id, op7_chat_format, op8_secret_scan, op9_packing, op10_ngram_jaccard, op11_spelling_variants)}
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_license_scan, op4_embedding_dedup, op5_html_extraction, op6_language_id, op7_chat_format, op8_secret_scan, op9_packing, op10_ngram_jaccard, op11_spelling_variants, op12_fingerprints, op13_phrase_mining)}
 
 
 def license_sql() -> str:
@@ -97,5 +105,5 @@ FROM b LEFT JOIN g ON b.doc_id = g.doc_id"""
 #: SQL where it can express a query; the others need tokenizers or trained models.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": oracles.DECONTAMINATION, "op3_license_scan": license_sql(), "op4_embedding_dedup": oracles.EMBEDDINGS,
-    "op7_chat_format": oracles.CONVERSATIONS, "op10_ngram_jaccard": oracles.JACCARD, "op11_spelling_variants": oracles.VARIANTS,
+    "op7_chat_format": oracles.CONVERSATIONS, "op10_ngram_jaccard": oracles.JACCARD, "op11_spelling_variants": oracles.VARIANTS, "op12_fingerprints": oracles.FINGERPRINTS, "op13_phrase_mining": oracles.PHRASES,
 }
