@@ -85,9 +85,9 @@ def _likeness(a: str, b: str) -> str:
 
 #: op12: every text beside its edited one and the next document's.
 FINGERPRINTS = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS digest FROM documents),
-ids AS (SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS next FROM (SELECT DISTINCT doc_id FROM d)),
+ids AS (SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next FROM (SELECT DISTINCT doc_id FROM d) WINDOW w AS (ORDER BY doc_id NULLS FIRST)),
 heads AS (SELECT doc_id, first(r ORDER BY digest) AS r, first(t ORDER BY digest) AS t FROM d GROUP BY doc_id),
-pair AS MATERIALIZED (SELECT d.r, d.doc_id, d.t, h.r AS next_r, left(d.t, length(d.t) - length(d.t) // 4) || left(h.t, length(d.t) // 4) AS edited FROM d JOIN ids USING (doc_id) JOIN heads h ON h.doc_id = ids.next),
+pair AS MATERIALIZED (SELECT d.r, d.doc_id, d.t, h.r AS next_r, left(d.t, length(d.t) - length(d.t) // 4) || left(h.t, length(d.t) // 4) AS edited FROM d JOIN ids ON ids.doc_id IS NOT DISTINCT FROM d.doc_id JOIN heads h ON h.doc_id IS NOT DISTINCT FROM ids.next),
 texts AS (SELECT r, 0 AS side, t FROM pair UNION ALL SELECT r, 1, edited FROM pair), {_printed("texts")}
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.slots, ' ') AS fingerprint, array_to_string(e.slots, ' ') AS edited_fingerprint, {_likeness("o", "e")} AS near_edited, {_likeness("o", "n")} AS near_next
 FROM pair JOIN marks o ON o.r = pair.r AND o.side = 0 JOIN marks e ON e.r = pair.r AND e.side = 1 JOIN marks n ON n.r = pair.next_r AND n.side = 0"""

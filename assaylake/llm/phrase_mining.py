@@ -57,6 +57,9 @@ def _columns(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
 def _word_counts(docs: DataFrame, salt: int, bits: int, most: int) -> DataFrame:
     """(id, lang, word, n): each task's counts of its words; rows without a word hold counts of all words of a language."""
 
+    def counted(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["id", "lang", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         totals: Counter = Counter()
@@ -66,7 +69,7 @@ def _word_counts(docs: DataFrame, salt: int, bits: int, most: int) -> DataFrame:
                 names = _Names(lang, salt, bits)
                 words = list(found)
                 ids = np.array([names[w] for w in words], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lang] * len(words)), pa.array([w.decode() for w in words]), pa.array(list(found.values()), pa.int64())], ["id", "lang", "word", "n"])
+                yield counted(ids, [lang] * len(words), [w.decode() for w in words], list(found.values()))
             counts.clear()
 
         for batch in batches:
@@ -77,7 +80,7 @@ def _word_counts(docs: DataFrame, salt: int, bits: int, most: int) -> DataFrame:
                 if sum(map(len, counts.values())) > most:
                     yield from told()
         yield from told()
-        yield pa.RecordBatch.from_arrays([pa.array([None] * len(totals), pa.int64()), pa.array(list(totals)), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["id", "lang", "word", "n"])
+        yield counted([None] * len(totals), list(totals), [None] * len(totals), list(totals.values()))
 
     return docs.mapInArrow(run, "id long, lang string, word string, n long")
 

@@ -8,7 +8,7 @@ import pytest
 from assaylake.llm.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op4_embedding_dedup", "op7_chat_format", "op10_ngram_jaccard"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op4_embedding_dedup", "op7_chat_format", "op10_ngram_jaccard", "op11_spelling_variants", "op12_fingerprints", "op13_phrase_mining"])
 def test_sql(spark, small, name):
     con = duckdb.connect()
     for path in Path(small).glob("*.parquet"):
