@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import saved_once
 from .tables import ORDER, table
 
 #: Statements, by number; each sets off one or more rules, or none.
@@ -165,10 +166,18 @@ class Exams:
     criteria: DataFrame
 
 
-def model(spark: SparkSession, d: str) -> Exams:
-    """The tables with their lists: options, blanks, columns, references, regions, crops."""
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with `ord`, the place of a row in its order; sorted once for all that the model makes of it."""
     w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
-    li = table(spark, d, "lineitem").withColumn("ord", F.row_number().over(w).cast("bigint"))
+    return saved_once(spark, f"{d}/numbered", lambda: table(spark, d, "lineitem").withColumn("ord", F.row_number().over(w).cast("bigint")))
+
+
+def model(spark: SparkSession, d: str) -> Exams:
+    """The tables with their lists: options, blanks, columns, references, regions, crops.
+
+    Each is written once for an application, so a query that uses a table several times reads it and makes it no more.
+    """
+    li = numbered(spark, d)
     of = {name: li.selectExpr(*(f"{e} AS {n}" for n, e in columns.items())) for name, columns in _PARTS.items()}
     boxes = lambda n: F.when(n > 0, F.array_repeat(F.lit(1.0), n.cast("int"))).otherwise(F.array().cast("array<double>"))
     q = of["questions"]
@@ -185,4 +194,5 @@ def model(spark: SparkSession, d: str) -> Exams:
     s = of["sources"].select("root", "ord", "source_id", "group_id", "kind", "page_start", "text", "render", "crop", "method", _one("child_id").alias("children"), _one("child_crop").alias("child_crops"), _one("asset_ref").alias("asset_refs"))
     files = li.selectExpr(*(f"{e} AS {n}" for n, e in FILE.items())).distinct()
     exams = table(spark, d, "orders").selectExpr(*(f"{e} AS {n}" for n, e in EXAM.items()))
-    return Exams(exams, q, a, s, files, of["policy"], of["criteria"])
+    parts = {"questions": q, "assets": a, "sources": s, "files": files, "policy": of["policy"], "criteria": of["criteria"]}
+    return Exams(exams, **{name: saved_once(spark, f"{d}/{name}", lambda df=df: df) for name, df in parts.items()})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` gives, written when this application first asks for the key and read from then on.
+
+    The files go when the application ends.
+    """
+    path = f"{shared_dir(spark)}/once-{spark.sparkContext.applicationId}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        build().write.mode("overwrite").parquet(path)
+        files.deleteOnExit(at)
+    return spark.read.parquet(path)
