@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -18,15 +18,20 @@ LOAD = 2
 LISTS = 1 << 16
 
 
-def terms(text: str) -> str:
-    """SQL for the distinct words of a text, each as the number that the first 60 bits of its md5 are."""
-    words = rf"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', 0)"
-    return f"transform(array_distinct({words}), w -> CAST(conv(left(md5(encode(w, 'UTF-8')), 15), 16, 10) AS BIGINT))"
+#: ASCII characters that stand in no word.
+SEPARATORS = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
+
+
+def terms(text: str) -> Column:
+    """The distinct words of a text, each as the number that the first 60 bits of its md5 are."""
+    spaced = F.translate(text, UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    words = F.filter(F.array_distinct(F.split(spaced, " ")), lambda w: w != "")
+    return F.transform(words, lambda w: F.conv(F.left(F.md5(F.encode(w, "UTF-8")), F.lit(15)), 16, 10).cast("long"))
 
 
 def band(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
     """(term, df) of docs(text): terms of the band.  There are at most `rare` times the mean number of a text's terms."""
-    found = docs.select(F.explode(F.expr(terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = docs.select(F.explode(terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return found.filter((F.col("df") * rare >= docs.count()) & (F.col("df") * common <= docs.count()))
 
 
@@ -47,17 +52,24 @@ def _in_band(rows: DataFrame, column: str, lexicon: DataFrame, most: int) -> Dat
 
 
 def _slots(scale: str) -> str:
-    """SQL for the hashes of a scale's subsets, each with its scale and number; a subset without a term has none."""
-    bits = f"2 * ({scale} + 1)"
-    few = f"IF({bits} <= 5, kept, filter(kept, t -> t & (shiftleft(1L, {bits}) - 1) < {SLOTS}))"
-    chosen = f"filter({few}, t -> shiftright(t, shiftright(k, {bits}) * {bits}) & (shiftleft(1L, {bits}) - 1) = k & (shiftleft(1L, {bits}) - 1))"
-    return f"transform(filter(transform(sequence(0L, {SLOTS - 1}L), k -> struct(k, {chosen} AS x)), s -> size(s.x) > 0), s -> concat_ws('.', {scale}, s.k, left(md5(array_join(CAST(s.x AS ARRAY<STRING>), ' ')), 8)))"
+    """SQL for the hashes of a scale's subsets, each with its scale and number; a subset without a term has none.
+
+    Each term is put beside the numbers of its subsets once; of a scale with more classes than SLOTS the first ones count.
+    """
+    bits = f"(2 * ({scale} + 1))"
+    mask = f"(shiftleft(1L, {bits}) - 1)"
+    few = f"IF({bits} <= 5, kept, filter(kept, t -> t & {mask} < {SLOTS}))"
+    rounds = f"sequence(0, IF({bits} <= 5, CAST({SLOTS} / shiftleft(1, {bits}) AS INT), 1) - 1)"
+    pairs = f"flatten(transform({rounds}, r -> transform({few}, t -> struct(shiftleft(CAST(r AS BIGINT), {bits}) + (shiftright(t, r * {bits}) & {mask}) AS k, t AS t))))"
+    # p is bound to the pairs, so that they are made once and not for each subset
+    chosen = f"transform(array({pairs}), p -> transform(sequence(0L, {SLOTS - 1}L), k -> struct(k, transform(filter(p, x -> x.k = k), x -> x.t) AS x)))[0]"
+    return f"transform(filter({chosen}, s -> size(s.x) > 0), s -> concat_ws('.', {scale}, s.k, left(md5(array_join(CAST(s.x AS ARRAY<STRING>), ' ')), 8)))"
 
 
 def _printed(rows: DataFrame, text: str, lexicon: DataFrame, most: int, scale: str, slots: str) -> DataFrame:
     """Adds the scale and the slots of a text; -9 and the text's own digest if it has no word."""
-    rows = rows.withColumn("own", F.expr(terms(text))).withColumn("kept", F.col("own"))
-    rows = _in_band(rows, "kept", lexicon, most).withColumn("kept", F.expr("array_sort(IF(size(kept) > 0, kept, own))")).drop("own")
+    rows = rows.withColumn("own", terms(text)).withColumn("kept", F.col("own"))
+    rows = _in_band(rows, "kept", lexicon, most).withColumn("kept", F.expr("sort_array(IF(size(kept) > 0, kept, own))")).drop("own")
     rows = rows.withColumn(scale, F.expr(f"IF(size(kept) = 0, -9, size(filter(sequence(1, 12), j -> size(kept) > {LOAD} * shiftleft(1L, 2 * j))))"))
     return rows.withColumn(slots, F.expr(f"IF(size(kept) = 0, array(concat('x.', md5(encode({text}, 'UTF-8')))), concat({_slots(scale)}, {_slots(f'({scale} + 1)')}))")).drop("kept")
 

@@ -6,7 +6,6 @@ import re
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from assaylake.llm import fingerprints as fp
 from assaylake.llm.oracles import FINGERPRINTS
@@ -75,6 +74,6 @@ def test_general_interface(spark):
 
 def test_lexicon_is_no_column(spark, tiny):
     """The lexicon stands in an expression; no operator passes it on with each row."""
-    rows = documents(spark, corpus(3)).withColumn("kept", F.expr(fp.terms("text")))
+    rows = documents(spark, corpus(3)).withColumn("kept", fp.terms("text"))
     plan = fp._in_band(rows, "kept", spark.range(5).withColumnRenamed("id", "term"), 10)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"(AS|,) lexicon#", plan.split("Subquery")[0]) and "scalar-subquery" in plan
