@@ -67,10 +67,15 @@ def _slots(scale: str) -> str:
 
 
 def _printed(rows: DataFrame, text: str, lexicon: DataFrame, most: int, scale: str, slots: str) -> DataFrame:
-    """Adds the scale and the slots of a text; -9 and the text's own digest if it has no word."""
-    rows = rows.withColumn("own", terms(text)).withColumn("kept", F.col("own"))
+    """Adds the scale of a text, by how many terms it has, and the slots of this scale and the next.
+
+    The subsets of the next scale lie in those of this one, so only terms in these are looked up in the lexicon.
+    """
+    bits = f"(2 * ({scale} + 1))"
+    rows = rows.withColumn("own", terms(text)).withColumn(scale, F.expr(f"IF(size(own) = 0, -9, size(filter(sequence(1, 12), j -> size(own) > {LOAD} * shiftleft(1L, 2 * j))))"))
+    rows = rows.withColumn("own", F.expr(f"IF({bits} <= 5, own, filter(own, t -> t & (shiftleft(1L, {bits}) - 1) < {SLOTS}))")).withColumn("kept", F.col("own"))
     rows = _in_band(rows, "kept", lexicon, most).withColumn("kept", F.expr("sort_array(IF(size(kept) > 0, kept, own))")).drop("own")
-    rows = rows.withColumn(scale, F.expr(f"IF(size(kept) = 0, -9, size(filter(sequence(1, 12), j -> size(kept) > {LOAD} * shiftleft(1L, 2 * j))))"))
+    rows = rows.withColumn(scale, F.expr(f"IF(size(kept) = 0, -9, {scale})"))
     return rows.withColumn(slots, F.expr(f"IF(size(kept) = 0, array(concat('x.', md5(encode({text}, 'UTF-8')))), concat({_slots(scale)}, {_slots(f'({scale} + 1)')}))")).drop("kept")
 
 
@@ -85,8 +90,8 @@ def fingerprint(docs: DataFrame, text: str = "text", rare: int = RARE, common: i
     """docs with a column fingerprint: I-Match hashes over several random subsets of the lexicon.
 
     The lexicon are the words (runs of ASCII letters, digits and other characters above ASCII, A-Z in lower case) that
-    stand in at least 1 / rare and at most 1 / common of the documents; a text without any of them uses all its words,
-    one without words its digest.  Its distinct terms are sorted, and those in each subset hashed.  Equal texts have
+    stand in at least 1 / rare and at most 1 / common of the documents; a text that has none of them in its subsets uses
+    all its words there, one without words its digest.  The distinct terms in each subset are sorted and hashed.  Equal texts have
     equal fingerprints.  A null text is empty; texts of any length are read whole; docs must not have columns scale,
     slots, own, kept or lexicon.
     """

@@ -69,9 +69,10 @@ def _printed(texts: str) -> str:
     return f"""own AS MATERIALIZED (SELECT r, side, t, list_transform({words}, lambda w: CAST('0x' || md5(w)[1:15] AS BIGINT)) AS x FROM {texts}),
 single AS (SELECT r, side, unnest(x) AS x FROM own),
 band AS MATERIALIZED (SELECT x FROM single WHERE side = 0 GROUP BY x HAVING count(*) * {fingerprints.RARE} >= (SELECT count(*) FROM documents) AND count(*) * {fingerprints.COMMON} <= (SELECT count(*) FROM documents)),
-inside AS (SELECT r, side, list(x) AS x FROM single JOIN band USING (x) GROUP BY r, side),
-kept AS MATERIALIZED (SELECT own.r, own.side, t, list_sort(coalesce(inside.x, own.x)) AS x FROM own LEFT JOIN inside ON inside.r = own.r AND inside.side = own.side),
-read AS MATERIALIZED (SELECT r, side, t, x, CASE WHEN len(x) = 0 THEN -9 ELSE len(list_filter(range(1, 13), lambda j: len(x) > {fingerprints.LOAD} * (1 << (2 * j)))) END AS scale FROM kept),
+scaled AS (SELECT r, side, t, x, CASE WHEN len(x) = 0 THEN -9 ELSE len(list_filter(range(1, 13), lambda j: len(x) > {fingerprints.LOAD} * (1 << (2 * j)))) END AS scale FROM own),
+cut AS MATERIALIZED (SELECT r, side, t, scale, CASE WHEN scale < 2 THEN x ELSE list_filter(x, lambda v: v & ((1 << (2 * scale + 2)) - 1) < {slots}) END AS x FROM scaled),
+inside AS (SELECT r, side, list(x) AS x FROM (SELECT r, side, unnest(x) AS x FROM cut) JOIN band USING (x) GROUP BY r, side),
+read AS MATERIALIZED (SELECT cut.r, cut.side, t, list_sort(coalesce(inside.x, cut.x)) AS x, CASE WHEN len(cut.x) = 0 THEN -9 ELSE scale END AS scale FROM cut LEFT JOIN inside ON inside.r = cut.r AND inside.side = cut.side),
 dealt AS (SELECT r, side, s, k, list_filter(x, lambda v: (v >> ((k >> (2 * s + 2)) * (2 * s + 2))) & ((1 << (2 * s + 2)) - 1) = k & ((1 << (2 * s + 2)) - 1)) AS x FROM (SELECT r, side, x, k, unnest([scale, scale + 1]) AS s FROM read, range(0, {slots}) g(k) WHERE scale >= 0)),
 hashed AS (SELECT r, side, list(s || '.' || k || '.' || md5(array_to_string(x, ' '))[1:8] ORDER BY s, k) AS slots FROM dealt WHERE len(x) > 0 GROUP BY r, side),
 marks AS MATERIALIZED (SELECT r, side, scale, coalesce(slots, ['x.' || md5(t)]) AS slots FROM read LEFT JOIN hashed USING (r, side))"""
