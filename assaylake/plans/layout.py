@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout as L
-from ..sources.exams import MODEL_SQL, model
+from ..operators import nearness as N
+from ..sources.exams import MODEL_SQL, _cases, _pick, _select, model, numbered
 from ..sources.layout import LAYOUT_SQL, layout
 from .registry import query
 
@@ -51,3 +52,34 @@ SELECT root, ord, page, round(y0, 2) AS y0, round(CASE WHEN e <= y0 THEN least(b
 def q_question_regions(spark: SparkSession, d: str) -> DataFrame:
     """The region of each question whose number begins a block of its page."""
     return L.question_regions(model(spark, d).questions.withColumnRenamed("source_page", "page"), layout(spark, d).blocks)
+
+
+#: Labels and images with places, of a lineitem row.
+_LABELS = {"root": "CAST(l_orderkey AS STRING)", "page": f"1 + {_pick(1, 3, 5, 2)}", "label_id": "ord", "x0": f"CAST({_pick(3, 7, 1, 500)} AS DOUBLE)", "x1": f"CAST({_pick(3, 7, 1, 500)} + 30 AS DOUBLE)", "y0": f"CAST({_pick(5, 1, 7, 800)} AS DOUBLE)"}
+_IMAGES = {
+    "root": "CAST(l_orderkey AS STRING)", "page": f"1 + {_pick(3, 1, 1, 2)}", "pos": "ord", "asset_id": "'i' || CAST(ord AS STRING)", "x": f"CAST({_pick(7, 3, 1, 500)} AS DOUBLE)", "y": f"CAST({_pick(1, 5, 3, 900)} - 50 AS DOUBLE)",
+    "width": f"CAST({_pick(5, 3, 1, 90)} AS DOUBLE)", "height": f"CAST({_pick(5, 1, 3, 300)} AS DOUBLE)",
+}
+
+
+@query(f"""WITH {MODEL_SQL}, labels AS (SELECT {_select(_LABELS)} FROM li), images AS (SELECT {_select(_IMAGES)} FROM li)
+SELECT l.root, l.page, label_id, first(asset_id ORDER BY pos) AS asset_id FROM labels l JOIN images i ON i.root = l.root AND i.page = l.page AND y + height >= y0 - 80 AND y < y0 + 20 AND abs(x + width / 2 - (x0 + x1) / 2) < 0.4 * 595 GROUP BY l.root, l.page, label_id""")
+def q_images_of_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The first image beside or above each label."""
+    li = numbered(spark, d)
+    labels, images = (li.selectExpr(*(f"{e} AS {n}" for n, e in c.items())) for c in (_LABELS, _IMAGES))
+    return N.images_of_labels(labels, images, labels.select("root", "page").distinct().withColumn("width", F.lit(595.0)))
+
+
+#: Four or more labels for each lineitem row, k = 0 .. 4.
+_MARKS = {"root": "CAST(l_orderkey AS STRING)", "ord": "ord", "letter": f"{_cases('k', ['A', 'B', 'C', 'D', 'A'])}", "x": "CAST((l_partkey * 7 + l_suppkey + k * 97) % 400 AS DOUBLE)", "y": "CAST((l_partkey + l_suppkey * 3 + k * k * 31) % 120 AS DOUBLE)"}
+
+
+@query(f"""WITH RECURSIVE {MODEL_SQL}, marks AS (SELECT {_select(_MARKS)} FROM li, (SELECT unnest([0, 1, 2, 3, 4]) AS k)), firsts AS (SELECT root, ord, letter, min({{'y': y, 'x': x}}) AS spot FROM marks WHERE NOT (letter = 'D' AND ord = 2) GROUP BY root, ord, letter),
+sorted AS (SELECT root, ord, letter, spot.x AS x, spot.y AS y, row_number() OVER (PARTITION BY root, ord ORDER BY spot.y, spot.x, letter) AS i, count(*) OVER (PARTITION BY root, ord) AS n FROM firsts),
+walk AS (SELECT root, ord, letter, x, y, i, 1 AS row_, y AS top FROM sorted WHERE i = 1 AND n = 4 UNION ALL SELECT s.root, s.ord, s.letter, s.x, s.y, s.i, CASE WHEN s.y - top >= 45 THEN row_ + 1 ELSE row_ END, CASE WHEN s.y - top >= 45 THEN s.y ELSE top END FROM walk w JOIN sorted s ON s.root = w.root AND s.ord = w.ord AND s.i = w.i + 1)
+SELECT root, ord, CAST(row_ AS BIGINT) AS row, row_number() OVER (PARTITION BY root, ord, row_ ORDER BY x, y, letter) AS "column", letter FROM walk""")
+def q_label_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows and columns that the labels of options stand in."""
+    marks = numbered(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).selectExpr(*(f"{e} AS {n}" for n, e in _MARKS.items()))
+    return N.label_rows(marks.filter("NOT (letter = 'D' AND ord = 2)"))
