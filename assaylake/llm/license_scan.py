@@ -40,8 +40,8 @@ TEMPLATES = [
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
-#: A template of n distinct words may be wrapped over 1 + n / WRAP lines.
-WRAP = 6
+#: A template of n distinct words is looked for in every WIDE * n consecutive words of a paragraph.
+WIDE = 2
 LINES = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 
 #: What separates words once only A-Z, a-z, 0-9 and non-ASCII characters make them.
@@ -63,29 +63,24 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def lines_of(words: list[str]) -> int:
-    """The most lines over which a template of these words may be wrapped."""
-    return 1 + ceil(len(words) / WRAP)
-
-
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places where a phrase's words stand consecutively.  Labels also hold the label of each template
-    of whose distinct words at least `threshold` stand in one block of the text: a line and those after it, up
-    to a line without words, as many as the template may be wrapped over (lines_of).  score is the largest such
-    share, 1 where a phrase stands, 0 without labels.
+    of whose n distinct words at least `threshold` stand in one block: any WIDE * n consecutive words of a paragraph,
+    however they are dealt over lines (a line without words ends a paragraph).  score is the largest such share, 1
+    where a phrase stands, 0 without labels.
 
     The join: words that templates hold are ordered by the number of texts that hold them, rarest first.  Only
-    texts with a word of some template's prefix are cut into blocks.  A block meets a template if it holds a
-    word of the template's prefix, has words enough (length filter), and enough template words from that one
-    on (positional filter); each pair that is left is verified.  The templates are constants, so their words
-    and prefixes are bounded and broadcast.
+    texts with a word of some template's prefix are cut into paragraphs.  A paragraph meets a template at the first
+    word of the template's prefix that it holds, if it has words enough (length filter) and enough template words
+    from that one on (positional filter); each pair that is left is verified once, block by block, where only
+    template words begin blocks.  The templates are constants, so their words and prefixes are bounded and broadcast.
 
     Null text is empty: no words, no labels.  Each row is judged by its own text, whatever its doc_id, which may
     be null or repeated.  An empty table gives no rows.  Extra columns are ignored.
     """
-    sets = [(label, words, ceil(threshold * len(words) - 1e-9), lines_of(words)) for label, words in template_sets(templates) if words]
+    sets = [(label, words, ceil(threshold * len(words) - 1e-9)) for label, words in template_sets(templates) if words]
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
@@ -93,28 +88,29 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     words = F.split(spaced(lower), " ")
     listed = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
 
-    vocabulary = sorted({w for _, words, *_ in sets for w in words})
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
     held = docs.select(F.explode(F.array_intersect(listed(vocabulary), words)).alias("word"))
     counts = dict(map(tuple, held.groupBy("word").count().collect()))  # no more rows than the templates have words
     ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ranked)}
 
-    starts = [(word, t, need) for t, (_, of, need, _) in enumerate(sets) for word in sorted(of, key=rank.get)[: len(of) - need + 1]]
+    starts = [(word, t, need) for t, (_, of, need) in enumerate(sets) for word in sorted(of, key=rank.get)[: len(of) - need + 1]]
     prefix = docs.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(word).alias("word"), F.lit(t).alias("t"), F.lit(need).alias("need")) for word, t, need in starts)))) if starts else docs.sparkSession.createDataFrame([], "word string, t int, need int")
     likely = docs.filter(F.arrays_overlap(words, listed(sorted({word for word, *_ in starts}))))
     paragraphs = likely.select("doc_id", digest, F.explode(F.split(F.array_join(F.transform(F.split(lower, LINES), spaced), "\n"), "\n\n+")).alias("block")).filter("block <> ''")
-    lines = F.transform(F.split("block", "\n"), lambda line: F.struct((spaces(line) + 1).alias("n"), F.array_intersect(listed(ranked), F.split(line, " ")).alias("held")))
-    most = max((n for *_, n in sets), default=1)
-    blocks = paragraphs.select("doc_id", "digest", lines.alias("lines")).select("doc_id", "digest", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, F.lit(most)))).alias("lines"))
-    blocks = blocks.select("doc_id", "digest", F.col("lines.held").alias("lines"), F.aggregate("lines.n", F.lit(0), lambda s, n: s + n).alias("n"), F.array_intersect(listed(ranked), F.flatten("lines.held")).alias("held"))
-    blocks = blocks.filter(F.size("held") >= min((need for _, _, need, _ in sets), default=0))
-    probes = blocks.select("doc_id", "digest", "n", "held", "lines", F.posexplode("held").alias("pos", "word"))
-    pairs = probes.join(F.broadcast(prefix), "word").filter((F.col("n") >= F.col("need")) & (F.size("held") - F.col("pos") >= F.col("need")))
+    paragraphs = paragraphs.select("doc_id", "digest", F.split("block", "[ \n]+").alias("words")).withColumn("held", F.array_intersect(listed(ranked), "words"))
+    paragraphs = paragraphs.filter(F.size("held") >= min((need for *_, need in sets), default=0))
     at = lambda values: F.array(*values)[F.col("t")]
-    inside = F.array_distinct(F.flatten(F.slice("lines", F.lit(1), at([F.lit(n) for *_, n in sets]))))
-    both = F.size(F.array_intersect(inside, at([listed(of) for _, of, *_ in sets])))
-    met = pairs.select("doc_id", "digest", "t", "need", both.alias("both")).filter("both >= need")
-    met = met.groupBy("doc_id", "digest").agg(F.collect_set(at([F.lit(label) for label, *_ in sets])).alias("more"), F.max(F.col("both") / at([F.lit(len(of)) for _, of, *_ in sets])).alias("share"))
+    own, ahead = at([listed(of) for _, of, _ in sets]), at([listed(sorted(of, key=rank.get)[: len(of) - need + 1]) for _, of, need in sets])
+    probes = paragraphs.select("doc_id", "digest", "words", "held", F.posexplode("held").alias("pos", "word"))
+    pairs = probes.join(F.broadcast(prefix), "word").filter((F.size("words") >= F.col("need")) & (F.size("held") - F.col("pos") >= F.col("need")))
+    pairs = pairs.filter((F.get(F.array_intersect("held", ahead), F.lit(0)) == F.col("word")) & (F.size(F.array_intersect("held", own)) >= F.col("need")))
+    width = at([F.lit(WIDE * len(of)) for _, of, _ in sets])
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("own", x["w"]))
+    block = lambda x, j: F.filter(F.slice("placed", j + 1, F.col("width")), lambda y: y["i"] < x["i"] + F.col("width"))
+    both = F.array_max(F.transform("placed", lambda x, j: F.size(F.array_distinct(F.transform(block(x, j), lambda y: y["w"])))))
+    met = pairs.withColumn("own", own).withColumn("width", width).withColumn("placed", placed).select("doc_id", "digest", "t", "need", both.alias("both")).filter("both >= need")
+    met = met.groupBy("doc_id", "digest").agg(F.collect_set(at([F.lit(label) for label, *_ in sets])).alias("more"), F.max(F.col("both") / at([F.lit(len(of)) for _, of, _ in sets])).alias("share"))
 
     any_phrase = "(?:" + "|".join(phrases.values()) + ")"
     places = rf"(?i) {any_phrase}(?= )"  # without (?u), case is ASCII's

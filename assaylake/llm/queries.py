@@ -87,15 +87,17 @@ def license_sql() -> str:
     places = ", ".join(f"[i - 1 FOR i IN range(1, len(w) + 1) IF {test}] AS p{k}" for k, test in enumerate(at.values()))
     lists = [f"p{k}" for k in range(len(at))]
     named = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(at))
-    sets = ", ".join(f"('{label}', [{quoted(words)}], {ceil(0.9 * len(words) - 1e-9)}, {license_scan.lines_of(words)})" for label, words in license_scan.template_sets(license_scan.TEMPLATES))
+    sets = ", ".join(f"('{label}', [{quoted(words)}], {ceil(0.9 * len(words) - 1e-9)}, {license_scan.WIDE * len(words)})" for label, words in license_scan.template_sets(license_scan.TEMPLATES))
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w, {lower} AS low FROM documents),
 p AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {places} FROM d),
 b AS (SELECT doc_id, n_words, list_concat({", ".join(lists)}) AS spots, list_filter([{named}], lambda x: x IS NOT NULL) AS base FROM p),
-lines AS (SELECT doc_id, unnest(list_transform(range(1, len(l) + 1), lambda i: list_transform(list_slice(l, i, i + 19), lambda x: regexp_extract_all(x, '{word}')))) AS after FROM (SELECT doc_id, regexp_split_to_array(low, '{ends}') AS l FROM d)),
-t(label, words, need, most) AS (VALUES {sets}),
-blocks AS (SELECT doc_id, label, words, need, flatten(list_slice(after, 1, least(most, coalesce(nullif(list_position(list_transform(after, lambda x: len(x) = 0), true), 0) - 1, most)))) AS w FROM lines, t WHERE len(list_intersect(flatten(after), words)) >= need),
-m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS share FROM blocks WHERE len(list_intersect(w, words)) >= need),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY doc_id)
+lines AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_transform(regexp_split_to_array(low, '{ends}'), lambda x: regexp_extract_all(x, '{word}')) AS l FROM d)),
+ends AS (SELECT doc_id, l, i FROM lines WHERE len(l[i]) > 0 AND (i = 1 OR len(l[i - 1]) = 0)),
+paragraphs AS (SELECT doc_id, flatten(list_slice(l, i, i - 1 + coalesce(nullif(list_position(list_transform(l[i:], lambda x: len(x) = 0), true), 0) - 1, len(l)))) AS w FROM ends),
+t(label, words, need, width) AS (VALUES {sets}),
+met AS (SELECT doc_id, label, words, need, width, w FROM paragraphs, t WHERE len(list_intersect(w, words)) >= need),
+m AS (SELECT doc_id, label, list_max(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(words, w[i]) THEN len(list_intersect(w[i:i + width - 1], words)) ELSE 0 END)) AS held, words, need FROM met),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, max(held / len(words)) AS share FROM m WHERE held >= need GROUP BY doc_id)
 SELECT b.doc_id, n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word, CAST(list_max(spots) AS BIGINT) AS last_word,
 coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ','), '') AS labels,
 CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score

@@ -15,12 +15,13 @@ def plain(rows):
     sets = li.template_sets(li.TEMPLATES)
     out = []
     for doc, text in rows:
-        lines, more = [set(simple_words(x)) for x in (text or "").replace("\r\n", "\n").translate(BREAKS).split("\n")], []
-        for at in range(len(lines)):
+        lines, more = [simple_words(x) for x in (text or "").replace("\r\n", "\n").translate(BREAKS).split("\n")], []
+        paragraphs = [[]]
+        for line in lines:
+            paragraphs = [*paragraphs, []] if not line else [*paragraphs[:-1], paragraphs[-1] + line]
+        for words in paragraphs:
             for label, t in sets:
-                near = lines[at : at + li.lines_of(t)]
-                w = set().union(*near[: near.index(set()) if set() in near else len(near)])
-                both = len(w & set(t))
+                both = max((len(set(words[i : i + li.WIDE * len(t)]) & set(t)) for i in range(len(words))), default=0)
                 if both >= math.ceil(0.9 * len(t) - 1e-9):
                     more.append((label, both / len(t)))
         w = simple_words(text)
@@ -65,6 +66,21 @@ def test_cases(spark):
     assert li.scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_any_wrapping(spark):
+    """The MIT grant and a short notice at 1 to 12 words a line, as comments, with prose around."""
+    grant = next(t for _, t in li.TEMPLATES if t.startswith("Permission is hereby granted, free of charge, to any person obtaining")).split()
+    given = []
+    for n in range(1, 13):
+        wrapped = "\n".join("# " + " ".join(grant[i : i + n]) for i in range(0, len(grant), n))
+        given += [(n, wrapped), (100 + n, f"Some words before it,\n{wrapped}\nand others after it.")]
+    far = "released of old\n" + "word " * 30 + "under the sea, the MIT gave license"
+    given += [(200, far), (201, "released\nunder\nthe\nMIT\nlicense"), (202, "released under\n\nthe good MIT license")]
+    found = rows(li.scan_licenses(documents(spark, given)))
+    assert found == plain(given)
+    labels = {r[0]: r[6] for r in found}
+    assert {labels[i] for i in (*range(1, 13), *range(101, 113), 201)} == {"mit"} and labels[200] == labels[202] == ""
+
+
 def test_whole_table(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     want = plain([tuple(r) for r in docs.select("doc_id", "text").collect()])
