@@ -32,6 +32,17 @@ def count_chars(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
 
 
+#: The most numbers that a stretch of numbers is spelled out as.
+WIDEST = 10_000
+
+
+def span(low: Column, high: Column, widest: int = WIDEST) -> Column:
+    """The whole numbers from low to high; of more than `widest` only the two ends; none if high is below low, null without ends."""
+    wide = high.cast("decimal(20,0)") - low.cast("decimal(20,0)")
+    none = F.slice(F.array(low), 1, 0)
+    return F.when(wide < 0, none).when(wide < widest, F.sequence(low, F.when(wide.between(0, widest - 1), high).otherwise(low))).when(wide.isNotNull(), F.array(low, high))
+
+
 def one_char_ratio(text: Column) -> Column:
     """Tokens of one character per thousand tokens (integer); 0 without tokens."""
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import span
+
 SEVERITIES = ["BLOCKER", "HIGH", "MEDIUM", "LOW", "INFO"]
 ISSUE = ["exam_id", "severity", "code", "number", "expected", "actual"]
 
@@ -30,7 +32,7 @@ def exam_rules(leaf: DataFrame, exams: DataFrame, total: int = 200, slack: int =
     row = lambda severity, code, number=None, expected=None, actual=None: F.struct(*(F.lit(c).cast("string").alias(n) if not isinstance(c, Column) else c.cast("string").alias(n) for n, c in zip(ISSUE[1:], (severity, code, number, expected, actual), strict=True)))
     one = lambda when, issue: F.when(when, F.array(issue)).otherwise(F.array().cast("array<struct<severity:string,code:string,number:string,expected:string,actual:string>>"))
     off, numbers = F.abs(F.col("total") - total), F.transform("found", lambda x: x["number"])
-    gaps = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.array_max(numbers)), numbers)
+    gaps = F.array_except(span(F.lit(1).cast("bigint"), F.array_max(numbers)), numbers)
     lists = [
         one(F.col("total").isNull(), row("BLOCKER", "NO_QUESTIONS", None, "> 0", "0")),
         one((F.col("missing") == 0) & (off > 0), row(F.when(off > slack, "HIGH").otherwise("MEDIUM"), "TOTAL_POINTS", None, str(total), F.col("total"))),

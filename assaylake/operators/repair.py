@@ -88,7 +88,7 @@ def with_fractions(text: Column, raw: Column) -> Column:
         bullet = F.concat(F.lit(r"(?ius)\A(.*?" + BULLET + r")(?:\\\(\s*\\\))?\s*(?="), anchor, F.lit(")"))
         anywhere = F.concat(F.lit(r"(?ius)\A(.*?)(?<![\p{L}\p{N}_])("), anchor, F.lit(")"))
         with_bullet = F.regexp_replace(out, bullet, F.concat(F.lit("$1"), safe, F.lit(" ")))
-        placed = F.when(out.rlike(bullet), with_bullet).otherwise(F.regexp_replace(out, anywhere, F.concat(F.lit("$1"), safe, F.lit(" $2"))))
+        placed = F.when(F.rlike(out, bullet), with_bullet).otherwise(F.regexp_replace(out, anywhere, F.concat(F.lit("$1"), safe, F.lit(" $2"))))
         known = out.contains(F.concat(f["top"], F.lit("/"), f["bottom"])) | out.contains(latex)
         return F.when(known | (F.size(F.split(f["phrase"], " ")) < 3), out).otherwise(placed)
 

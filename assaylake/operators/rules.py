@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import span
 from ..sources.exams import Exams
 from .scoring_text import document_references
 
@@ -185,7 +186,8 @@ def type_rules(q: DataFrame) -> DataFrame:
 def number_gaps(q: DataFrame) -> DataFrame:
     """Groups whose whole numbers leave out some between the smallest and the largest."""
     n = q.filter(is_number("number") & F.col("group_id").isNotNull()).groupBy("root", "group_id").agg(F.sort_array(F.collect_set(F.col("number").try_cast("int"))).alias("found"))
-    n = n.withColumn("all", F.sequence(F.array_min("found"), F.array_max("found"))).filter("size(all) > size(found)")
+    low, high = F.array_min("found"), F.array_max("found")
+    n = n.filter(high.cast("long") - low.cast("long") + 1 > F.size("found")).withColumn("all", span(low, high))
     return row_rules(n, [when(F.lit(True), "BLOCKER", "GROUP_NUMBER_GAP", group=F.col("group_id"), expected=F.array_join(F.col("all").cast("array<string>"), ","), actual=F.array_join(F.col("found").cast("array<string>"), ","))])
 
 
@@ -368,7 +370,7 @@ def validator(ex: Exams, pages: DataFrame) -> DataFrame:
     flat = main.filter("NOT grouped")
     top = F.array_max("found")
     counted = row_rules(flat.filter("size(found) > 0"), [when(F.size("found") != top, "high", "QUESTION_COUNT_MISMATCH", expected=top, actual=F.size("found"))])
-    gaps = flat.filter("size(found) > 0").select("root", F.explode(F.array_except(F.sequence(F.lit(1), top), "found")).alias("n"))
+    gaps = flat.filter("size(found) > 0").select("root", F.explode(F.array_except(span(F.lit(1), top), "found")).alias("n"))
     # numbers in the text that no question has
     have = ex.questions.filter(is_number("number")).select("root", F.col("number").try_cast("int").alias("n"))
     unseen = _missing(text_numbers(pages).join(flat.select("root"), "root", "left_semi"), have, "n", "n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exam_text import is_scoring_summary
+from ..functions.text import span
 from . import sequences as seq
 
 #: Roman numerals of groups.
@@ -37,13 +38,16 @@ DOC_ALL = [
 def document_references(text: Column, allowed: Column) -> Column:
     """Sorted numbers of the documents that a text names, by ranges, lists and single mentions together.
 
-    If it names none but speaks of all, all allowed ones.  An empty list allows any number.
+    If it names none but speaks of all, all allowed ones.  An empty list allows any number; then a range of more than
+    10,000 stands for its ends.  Numbers beyond 32 bits name nothing.
     """
     text = F.coalesce(text, F.lit(""))
     found = lambda t, pattern, group: F.transform(F.regexp_extract_all(t, F.lit("(?iu)" + pattern), F.lit(group)), lambda x: x.try_cast("int"))
-    spans = F.flatten(F.zip_with(found(text, DOC_RANGE, 1), found(text, DOC_RANGE, 2), lambda a, b: F.sequence(F.least(a, b), F.greatest(a, b))))
+    ends = F.filter(F.zip_with(found(text, DOC_RANGE, 1), found(text, DOC_RANGE, 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
+    within = lambda a, b: F.when(F.size(allowed) > 0, F.filter(allowed, lambda n: n.between(a, b))).otherwise(span(a, b))
+    spans = F.flatten(F.transform(ends, lambda x: within(F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"]))))
     listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("(?iu)" + DOC_LIST), F.lit(1)), lambda t: found(t, r"(\d+)", 1)))
-    named = F.array_distinct(F.concat(spans, listed, found(text, DOC_ONE, 1)))
+    named = F.array_distinct(F.array_compact(F.concat(spans, listed, found(text, DOC_ONE, 1))))
     named = F.when((F.size(named) == 0) & text.rlike("(?iu)" + "|".join(DOC_ALL)), allowed).otherwise(named)
     return F.array_sort(F.when(F.size(allowed) > 0, F.array_intersect(named, allowed)).otherwise(named))
 

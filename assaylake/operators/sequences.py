@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import span
+
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], header: Column, name: str, skip: Column | None = None) -> DataFrame:
     """The latest header up to each row; rows that `skip` holds for get none and pass none on."""
@@ -32,18 +34,18 @@ def not_above_previous(number: str, keys: list[str], order: list[str]) -> Column
     return F.col(number) <= F.lag(number).over(Window.partitionBy(*keys).orderBy(*order))
 
 
-def gaps(df: DataFrame, keys: list[str], number: str, low: int | None = 1) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], number: str, low: int | None = 1, widest: int = 100_000) -> DataFrame:
     """Numbers missing between `low` (None: the smallest) and the largest, with the known ones around them.
 
     Known numbers are sorted within their key and each looks at the one before, so no list of a key's
-    numbers is built.
+    numbers is built.  Of a gap of more than `widest` numbers only the first and the last are given.
     """
     known = df.select(*keys, F.col(number).cast("bigint").alias("n")).filter("n is not null").distinct()
     w = Window.partitionBy(*keys).orderBy("n")
     before = F.lag("n").over(w)
     known = known.withColumn("prev", before if low is None else F.coalesce(before, F.lit(low - 1)))
     known = known.filter("n - prev > 1")
-    out = known.withColumn("missing", F.explode(F.sequence(F.col("prev") + 1, F.col("n") - 1)))
+    out = known.withColumn("missing", F.explode(span(F.col("prev") + 1, F.col("n") - 1, widest)))
     prev = F.col("prev") if low is None else F.when(F.col("prev") >= low, F.col("prev"))
     return out.select(*keys, "missing", prev.alias("prev_known"), F.col("n").alias("next_known"))
 
