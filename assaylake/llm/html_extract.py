@@ -42,6 +42,10 @@ BOILERPLATE_WORDS = frozenset(
     " comment comments disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login search"
     " pagination pager widget toolbar skip hidden".split()
 )
+#: Of these, words that a theme's wrapper of a whole article may bear as well.
+AMBIGUOUS_WORDS = frozenset("header share sharing social search related recommended hidden skip widget toolbar overlay modal login notice promo subscribe newsletter".split())
+#: An element that holds at least this share of a page's text outside links is no boilerplate by an ambiguous word alone.
+MOST_OF_PAGE = 0.6
 WORD = re.compile(r"[A-Za-z]+")
 #: Names that begin so tell what a container has, not what it is.
 PRESENCE = frozenset(("no", "has", "with", "without", "is", "not"))
@@ -52,9 +56,34 @@ class Page:
 
     def __init__(self, text: str):
         self.parent, self.key, self.good, self.inside = [-1], [""], [True], [False]
-        self.tag = [""]
+        self.tag, self.named = [""], {}  # named: elements that only words of their attributes speak against
         self.pieces: list[tuple[int, str, bool]] = []  # element, decoded text, whether in a link; "" is a block's border
         self._read(text or "")
+        if self.named:
+            self._judge()
+
+    def _judge(self) -> None:
+        """Takes words of attributes as signs, not as proof, for elements that hold most of the page's text.
+
+        Such an element stays if its words are ambiguous, or if a heading, article or main element lies in it, but not
+        beside an article or main element with text that nothing speaks against.
+        """
+        n = len(self.tag)
+        size, headed = [0] * n, [t in ("h1", "article", "main") for t in self.tag]
+        for node, words, link in self.pieces:
+            if not link and self.good[node]:
+                size[node] += len(words.strip())
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            headed[self.parent[i]] |= headed[i]
+        clear, other = [True] * n, False
+        for i in range(1, n):
+            clear[i] = clear[self.parent[i]] and i not in self.named
+            other |= clear[i] and self.good[i] and size[i] > 0 and self.tag[i] in ("article", "main")
+        for i in range(1, n):
+            found = self.named.get(i)
+            kept = not found or not other and size[i] >= MOST_OF_PAGE * size[0] and (headed[i] or found <= AMBIGUOUS_WORDS)
+            self.good[i] = self.good[i] and self.good[self.parent[i]] and kept
 
     def _read(self, text: str) -> None:
         stack, links, at, size = [0], 0, 0, len(text)
@@ -111,7 +140,9 @@ class Page:
             # generalised: classes in order, without digits
             classes = "".join("." + c for c in sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").split()}) if c)
         inside = self.inside[parent] or name in ("article", "main")
-        good = self.good[parent] and name not in BOILERPLATE and (name != "header" or self.inside[parent]) and not (words and name not in ("html", "body") and BOILERPLATE_WORDS & words)
+        good = self.good[parent] and name not in BOILERPLATE and (name != "header" or self.inside[parent])
+        if words and name not in ("html", "body") and (found := BOILERPLATE_WORDS & words):
+            self.named[len(self.tag)] = found
         self.parent.append(parent)
         self.tag.append(name)
         self.key.append(f"{self.key[parent]}/{name}{classes}")

@@ -14,6 +14,11 @@ CASES = [
     (page("<article><h1>Head</h1><p>lead</p><div class=body><p>" + "long body " * 40 + "</p></div></article>"), "Head lead " + ("long body " * 40).strip()),
     (page("<main><section><p>" + "one " * 90 + "</p></section><section><p>two</p></section><div class=related><p>teaser</p></div></main>"), "one " * 90 + "two"),
     (page("<main><p>intro of the site</p><article><div><p>" + "text " * 30 + "</p></div><div><p>end</p></div></article></main>"), "text " * 30 + "end"),
+    ("<div class='related-work'><p>main text</p></div><div class=x><p>short</p></div>", "main text"),
+    ("<div class='search-results article'><p>article</p></div>", "article"),
+    ("<div class=ad><p>" + "buy " * 50 + "</p></div><div><p>short</p></div>", "short"),
+    ("<div class='ad'><p>" + "buy " * 50 + "</p></div><article><p>short</p></article>", "short"),
+    ("<div class='comments-open sidebar-right'><h1>Head</h1><p>" + "body " * 30 + "</p></div><div class=comments><p>no</p></div>", "Head " + ("body " * 30).strip()),
     ("", ""),
     (None, ""),
     ("just text & more &#233;", "just text & more é"),
@@ -29,6 +34,13 @@ def test_page(html, text):
     assert h.Page(html or "").text(None) == text
 
 
+@pytest.mark.parametrize("word", sorted(h.BOILERPLATE_WORDS))
+def test_wrapper(word):
+    """A theme's wrapper of the whole article may bear any word; its own small parts with that word go."""
+    body = f"<div class='{word}-theme'><h1>Head</h1><p>{'body ' * 20}</p><div class={word}><p>no</p></div></div>"
+    assert h.Page(f"<body>{body}<footer>end</footer></body>").text(None) == "Head " + ("body " * 20).strip()
+
+
 @pytest.mark.parametrize("most", [h.MOST_BROADCAST_HOSTS, 0])
 def test_hosts(spark, most):
     """A host's winning path also picks the article on a page whose largest container is something else."""
