@@ -76,6 +76,26 @@ def test_cost(value):
     assert s.guess_cost(value) == pytest.approx(brute_cost(value))
 
 
+PROSE = ["The password is case-sensitive and long.", "Sorry, the token is unfortunately expired.", "See login: https://example.com/account/settings for more.", "The key: understanding your readers.", "Her secret is extraordinarily simple; the access token is refreshed.", "config key = /etc/app/settings.conf", "credentials: everyone's responsibility"]
+
+
+def test_prose(spark):
+    """Ordinary words after credential words are no secrets once the corpus has them; a random value is one all the same."""
+    rows = [(i, t) for i, t in enumerate(PROSE * 6)] + [(1000 + i, f"Note {t} The pwd: Zq8#kT!v2Lp9x works, bearer: vkxqzwjbgfhp too.") for i, t in enumerate(PROSE)]
+    got = {r.doc_id: r.spans for r in s.find_secrets(documents(spark, rows)).collect()}
+    assert all(not got[i] for i in range(len(PROSE) * 6))
+    assert all(x.count("guess") == 1 for i, x in got.items() if i >= 1000) or all(x.count("guess") == 2 for i, x in got.items() if i >= 1000)
+    clean = s.redact(documents(spark, rows[: len(PROSE) * 6]))
+    assert sorted(r.text for r in clean.collect()) == sorted(PROSE * 6)
+
+
+def test_ranks(spark):
+    docs = documents(spark, [(i, f"apple apple pear {'rare' * (i < 4)} É-été ab {'x' * 30}") for i in range(6)] + [(9, None)])
+    ranks = s.learn_ranks(docs)
+    assert {w: ranks[w] for w in ("pear", "été")} == {"pear": 2, "été": 3} and ranks["apple"] == 1 and "rare" not in ranks and "ab" not in ranks and "x" * 30 not in ranks
+    assert s.learn_ranks(docs.limit(0)) == s.RANKS
+
+
 def test_redact(spark):
     rows = [(1, "a password: abcdefghijkl b", "en", "x", 26), (2, "clean", "en", "x", 5), (3, None), (4, "AKIA1234567890ABCD"), (None, "pwd: Zq8#kT!v2Lp9x.")]
     docs = documents(spark, rows)
@@ -84,3 +104,6 @@ def test_redact(spark):
     assert out.schema == docs.schema and got[1].text == "a password: [REDACTED] b" and got[1].n_chars == 24
     assert got[2].text == "clean" and got[3].text is None and got[4].text == "[REDACTED]" and got[None].text == "pwd: [REDACTED]."
     assert s.redact(documents(spark, [])).count() == 0
+    long = ("word " * 200_000) + "pwd: Zq8#kT!v2Lp9x. " + "word " * 10
+    again = [r.text for r in s.redact(documents(spark, [(7, long), (7, long), (7, ""), (8, None)])).collect()]
+    assert sorted(again, key=str) == sorted([long.replace("Zq8#kT!v2Lp9x", "[REDACTED]")] * 2 + ["", None], key=str)
