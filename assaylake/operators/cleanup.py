@@ -63,14 +63,23 @@ def without_empty_tables(ex: Exams) -> DataFrame:
 
 
 def found_subquestions(q: DataFrame, pages: DataFrame) -> DataFrame:
-    """Without questions of a number with a part that begins no line of the exam's text; who named them as parent has none."""
+    """Without questions of a number with a part that begins no line of the exam's text; who named them as parent has none.
+
+    In an exam that loses questions, a row of type group without a question left under it is a calculation.
+    """
     numbers = pages.select("root", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(\d+\.\d+)\.\s"), F.lit(1))).alias("number"), F.lit(True).alias("there")).distinct()
     told = pages.filter("text <> ''").select("root", F.lit(True).alias("told")).distinct()
     q = q.withColumn("__no", F.trim("number")).join(numbers.withColumnRenamed("number", "__no"), ["root", "__no"], "left").join(told, "root", "left")
     q = q.withColumn("__fake", F.col("told").isNotNull() & F.col("__no").rlike(r"^\d+\.\d+$") & F.col("there").isNull())
     gone = q.filter("__fake").select("root", F.col("question_id").alias("parent"), F.lit(True).alias("__gone")).distinct()
     kept = q.filter("NOT __fake").join(gone, ["root", "parent"], "left")
-    return kept.withColumn("parent", F.when(F.col("__gone").isNull(), F.col("parent"))).drop("__no", "there", "told", "__fake", "__gone")
+    kept = kept.withColumn("parent", F.when(F.col("__gone").isNull(), F.col("parent"))).drop("__no", "there", "told", "__fake", "__gone")
+    if "type" not in kept.columns or "is_group" not in kept.columns:
+        return kept
+    kids = kept.filter("parent IS NOT NULL").select("root", F.col("parent").alias("question_id"), F.lit(True).alias("__kids")).distinct()
+    kept = kept.join(kids, ["root", "question_id"], "left").join(gone.select("root", F.lit(True).alias("__lost")).distinct(), "root", "left")
+    bare = F.coalesce((F.col("type") == "group") & F.col("__kids").isNull() & F.col("__lost").isNotNull(), F.lit(False))
+    return kept.withColumn("is_group", F.col("is_group") & ~bare).withColumn("type", F.when(bare, "calculation").otherwise(F.col("type"))).drop("__kids", "__lost")
 
 
 def group_rows(q: DataFrame) -> DataFrame:

@@ -158,13 +158,17 @@ def read_exams(spark, folder: str) -> DataFrame:
     return spark.read.schema(EXAM_JSON).json(folder)
 
 
-def write_issues(issues: DataFrame, folder: str) -> None:
-    """The report of an audit: issues as CSV with a header, and a summary by exam."""
-    issues.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/issues")
+def issue_summary(issues: DataFrame, exams: DataFrame) -> DataFrame:
+    """(root, blocker, high, medium, info, verdict) of every exam: FAIL with a blocker, REVIEW with a high or medium issue, else PASS."""
     n = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
-    summary = issues.groupBy("root").agg(*map(n, ("BLOCKER", "HIGH", "MEDIUM", "INFO")))
-    verdict = F.when(F.col("blocker") > 0, "FAIL").when(F.col("high") + F.col("medium") > 0, "REVIEW").otherwise("PASS")
-    summary.withColumn("verdict", verdict).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
+    counts = exams.select("root").distinct().join(issues.groupBy("root").agg(*map(n, ("BLOCKER", "HIGH", "MEDIUM", "INFO"))), "root", "left").na.fill(0)
+    return counts.withColumn("verdict", F.when(F.col("blocker") > 0, "FAIL").when(F.col("high") + F.col("medium") > 0, "REVIEW").otherwise("PASS"))
+
+
+def write_issues(issues: DataFrame, exams: DataFrame, folder: str) -> None:
+    """The report of an audit: issues as CSV with a header, and a summary by exam, clean ones included."""
+    issues.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/issues")
+    issue_summary(issues, exams).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
 
 
 def warnings_report(warnings: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import recovery, rules
-from ..sources.exams import MODEL_SQL, model
+from ..sources import bundles
+from ..sources.exams import MODEL_SQL, model, numbered
 from ..sources.shared import shared_dir
 from ..sources.tables import table
 from .cleanup import _WARNING, _quoted, traced
@@ -136,11 +137,45 @@ def q_exam_documents(spark: SparkSession, d: str) -> DataFrame:
 def q_issue_report(spark: SparkSession, d: str) -> DataFrame:
     """Issues of the generic audit written as a report and read again."""
     folder = f"{shared_dir(spark)}/issues-{uuid.uuid4().hex}"
-    recovery.write_issues(rules.generic(model(spark, d)), folder)
+    ex = model(spark, d)
+    recovery.write_issues(rules.generic(ex), ex.exams, folder)
     found = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/issues")
     return found.groupBy("root", "code", "severity", F.coalesce("number", F.lit("")).alias("number")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH i AS ({GENERIC_SQL}), n AS (SELECT root, count(*) FILTER (severity = 'BLOCKER') AS blocker, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'INFO') AS info FROM i WHERE CAST(root AS BIGINT) % 4 <> 0 GROUP BY root)
+SELECT CAST(o_orderkey AS VARCHAR) AS root, coalesce(blocker, 0) AS blocker, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(info, 0) AS info, CASE WHEN blocker > 0 THEN 'FAIL' WHEN high + medium > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM orders LEFT JOIN n ON n.root = CAST(o_orderkey AS VARCHAR)""")
+def q_issue_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of a written report, read again; every fourth exam has no issue."""
+    folder, ex = f"{shared_dir(spark)}/issues-{uuid.uuid4().hex}", model(spark, d)
+    recovery.write_issues(rules.generic(ex).filter("CAST(root AS BIGINT) % 4 <> 0"), ex.exams, folder)
+    return spark.read.option("header", True).schema("root string, blocker long, high long, medium long, info long, verdict string").csv(f"{folder}/summary")
+
+
+#: Bundles of orders: every 13th has no document, every 17th one that is no JSON, every 19th is no zip.
+_BUNDLED = "CASE WHEN o_orderkey % 19 = 0 THEN 'broken zip' WHEN o_orderkey % 13 = 0 THEN 'exam.json not found' WHEN o_orderkey % 17 = 0 THEN 'broken JSON' END"
+
+
+def _bundles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = numbered(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.expr("CASE WHEN ord % 4 = 0 THEN 'notes/n' || CAST(ord AS STRING) || '.txt' WHEN ord % 2 = 0 THEN 'x/assets/f' || CAST(ord AS STRING) || '.PNG' ELSE 'assets/f' || CAST(ord AS STRING) || '.jpg' END").alias("rel"), F.expr("'part ' || CAST(l_partkey AS STRING)").alias("text")))).alias("files"))
+    orders = table(spark, d, "orders").withColumn("error", F.expr(_BUNDLED))
+    document = F.when(F.col("error") == "broken JSON", "{no").when(F.col("error").isNull(), F.to_json(F.struct("o_orderkey", "o_orderstatus")))
+    made = bundles.zipped(orders.join(files, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("root"), document.alias("document"), "files"))
+    return bundles.bundles(made.withColumn("content", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 19 == 0, F.lit(b"no zip")).otherwise(F.col("content"))))
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS root, CASE WHEN {_BUNDLED} IS NULL THEN o_orderkey END AS exam, {_BUNDLED} AS error FROM orders""")
+def q_bundle_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of zipped bundles, and what is wrong with those that can't be read."""
+    return _bundles(spark, d)[0].select("root", F.get_json_object("document", "$.o_orderkey").cast("long").alias("exam"), "error")
+
+
+@query(f"""WITH {MODEL_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS root, 'assets/f' || CAST(ord AS VARCHAR) || CASE WHEN ord % 2 = 0 THEN '.PNG' ELSE '.jpg' END AS rel, CAST(length('part ' || CAST(l_partkey AS VARCHAR)) AS BIGINT) AS size, sha256('part ' || CAST(l_partkey AS VARCHAR)) AS digest FROM li WHERE ord % 4 <> 0 AND l_orderkey % 13 <> 0 AND l_orderkey % 19 <> 0""")
+def q_bundle_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of zipped bundles with their sizes and digests."""
+    return _bundles(spark, d)[1]
+
+
 @query(f"""WITH {MODEL_SQL}, w AS (SELECT root, ord, {", ".join(f"{e} AS {n}" for n, e in _WARNING.items())}, coalesce(points, 0) % 6 AS low FROM questions),
 k AS (SELECT *, coalesce(severity = 'info', false) OR type IN ('history_points_repaired', 'text_fallback_used') OR (type = 'suspicious_points' AND (low >= 3 OR bool_or(type = 'grupo_ii_points_rescaled') OVER (PARTITION BY root))) AS info FROM w),
 l AS (SELECT root, string_agg('[' || upper(coalesce(severity, 'low')) || '] ' || type || ' — ' || message, chr(10) ORDER BY ord) FILTER (NOT info) AS real, count(*) FILTER (NOT info) AS n, string_agg('[INFO] ' || type || ' — ' || message, chr(10) ORDER BY ord) FILTER (info) AS told, count(*) FILTER (info) AS m FROM k GROUP BY root)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exam_text as E
 from ..functions import text as T
 from ..operators import cleanup, scoring_text
-from ..sources.exams import MODEL_SQL, model
+from ..sources.exams import MODEL_SQL, model, numbered
 from ..sources.tables import table
 from .cleanup import traced
 from .registry import query
@@ -83,15 +83,16 @@ traced("q_latex_checks", "Balance of delimiters, parentheses and braces, and whe
 ], lambda t: F.array_join(F.array(*(T.latex_checks(t)[c].cast("string") for c in ("delimiters", "parentheses", "braces", "likely"))), ","))
 
 
-OPTIONS = ["Which?\n(A) one\n(B) two words\n(C) three", "No options here", "(A) alone", "x (B) not at a line's start\n(C) yes"]
+#: Lines of a part's text, some of which are options.
+_LINES = ["'Which ' || p_brand || '?'", "'(A) ' || p_type", "CASE WHEN p_size % 3 = 0 THEN 'x ' ELSE '' END || '(B) size ' || CAST(p_size AS STRING)", "CASE WHEN p_size % 2 = 0 THEN '(E) ' ELSE '(F) ' END || p_name"]
 
 
-@query("""WITH v(id, s) AS (VALUES (0, 'Which?' || chr(10) || '(A) one' || chr(10) || '(B) two words' || chr(10) || '(C) three'), (1, 'No options here'), (2, '(A) alone'), (3, 'x (B) not at a line''s start' || chr(10) || '(C) yes')),
-l AS (SELECT id, unnest(string_split(s, chr(10))) AS line FROM v) SELECT CAST(id AS BIGINT) AS id, regexp_extract(line, '^\\(([A-E])\\) (.*)$', 1) AS letter, regexp_extract(line, '^\\(([A-E])\\) (.*)$', 2) AS text FROM l WHERE regexp_matches(line, '^\\([A-E]\\) ')""")
+@query(f"""WITH l AS (SELECT p_partkey AS id, unnest([{", ".join(_LINES)}]) AS line FROM part) SELECT id, regexp_extract(line, '^\\(([A-E])\\) (.*)$', 1) AS letter, regexp_extract(line, '^\\(([A-E])\\) (.*)$', 2) AS text FROM l WHERE regexp_matches(line, '^\\([A-E]\\) ')""")
 def q_option_extract(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(OPTIONS)), "id bigint, s string")
-    found = F.arrays_zip(F.regexp_extract_all("s", F.lit(r"(?m)^\(([A-E])\) (.*)$"), F.lit(1)).alias("letter"), F.regexp_extract_all("s", F.lit(r"(?m)^\(([A-E])\) (.*)$"), F.lit(2)).alias("text"))
-    return df.select("id", F.inline(found))
+    """Lines of parts' texts that are options (A) to (E)."""
+    df = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(" || chr(10) || ".join(_LINES)).alias("s"))
+    at = lambda g: F.regexp_extract_all("s", F.lit(r"(?m)^\(([A-E])\) (.*)$"), F.lit(g))
+    return df.select("id", F.inline(F.arrays_zip(at(1).alias("letter"), at(2).alias("text"))))
 
 
 @query(f"""WITH {MODEL_SQL} SELECT root, ord, number, row_number() OVER (PARTITION BY root ORDER BY CAST(split_part(number, '.', 1) AS INT), CASE WHEN contains(number, '.') THEN 1 ELSE 0 END, ord) AS pos FROM questions""")
@@ -109,12 +110,15 @@ def q_natural_sort_top(spark: SparkSession, d: str) -> DataFrame:
     return df.orderBy(T.natural_key(F.col("number")), "part_id").limit(50)
 
 
-@query("""SELECT group_id, CAST(item AS BIGINT) AS item, CAST(points AS BIGINT) AS points FROM (VALUES ('grupo_i', 1, 10), ('grupo_i', 2, 10), ('grupo_i', 3, 10), ('grupo_ii', 1, 20), ('grupo_ii', 2, 20)) v(group_id, item, points)""")
+@query(f"""WITH {MODEL_SQL} SELECT l_orderkey AS exam_id, CASE WHEN ord <= 3 THEN 'grupo_i' ELSE 'grupo_ii' END AS group_id, row_number() OVER (PARTITION BY l_orderkey, ord <= 3 ORDER BY ord) AS item, CAST(l_quantity AS BIGINT) AS points FROM li""")
 def q_scoring_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Points of a scoring table that the text layer gives column by column; the SQL holds hand-traced values."""
-    lines = ["Grupo", "Item", "Cotação", "I", "1.", "2.", "3.", "10", "10", "10", "30", "II", "1.", "2.", "20", "20", "40"]
-    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "exam_id bigint, line_no bigint, line string")
-    return scoring_text.scoring_columns(df).select("group_id", "item", "points")
+    """Points of scoring tables that a text layer gives column by column: two groups for each order, each with its items, their points and a sum."""
+    part = F.when(F.col("ord") <= 3, F.struct(F.lit(1).alias("g"), F.lit("I").alias("roman"))).otherwise(F.struct(F.lit(2).alias("g"), F.lit("II").alias("roman")))
+    of = numbered(spark, d).select(F.col("l_orderkey").alias("exam_id"), part.alias("p"), "ord", F.col("l_quantity").cast("bigint").alias("points"))
+    of = of.groupBy("exam_id", "p").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("points").cast("string").alias("points")))).alias("all"), F.sum("points").cast("string").alias("sum"))
+    items, points = F.transform("all", lambda x, i: F.concat((i + 1).cast("string"), F.lit("."))), F.transform("all", lambda x: x["points"])
+    lines = of.select("exam_id", "p.g", F.posexplode(F.concat(F.array(F.col("p.roman")), items, points, F.array("sum"))).alias("i", "line"))
+    return scoring_text.scoring_columns(lines.select("exam_id", (F.col("g") * 1000 + F.col("i")).alias("line_no"), "line"))
 
 
 #: Pages of exams, by key, and the group of each page, traced by hand.
