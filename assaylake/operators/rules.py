@@ -336,8 +336,11 @@ def pending_assets(ex: Exams) -> DataFrame:
     return free.join(pages, ["root", "page"], "left")
 
 
-def validator(ex: Exams, pages: DataFrame) -> DataFrame:
-    """Warnings of the validator as issues; pages(root, text) hold the texts that questions were taken from."""
+def validator(ex: Exams, pages: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Warnings of the validator as issues; pages(root, text) hold the texts that questions were taken from.
+
+    groups(root, source_id): page groups of older exams, which references may name, too.
+    """
     q = ex.questions.join(ex.exams.select("root", "total_pages"), "root")
     at = {"question_id": F.col("question_id"), "number": F.col("number")}
     page, text = F.coalesce("source_page", F.lit(0)), full_text("statement", "raw_text")
@@ -353,6 +356,8 @@ def validator(ex: Exams, pages: DataFrame) -> DataFrame:
     wrong = row_rules(merged, [when((F.size("figures") > 0) & (no != "") & ~F.array_contains("figures", no), "", "WRONG_ASSET_REFERENCE", actual=F.col("ref"), **at)])
     refs = q.select("root", "question_id", "number", F.explode(all_refs()).alias("ref"))
     known = ex.assets.select("root", F.col("asset_id").alias("id")).unionByName(ex.sources.select("root", F.col("source_id").alias("id")))
+    if groups is not None:
+        known = known.unionByName(groups.select("root", F.col("source_id").alias("id")))
     broken = row_rules(_missing(refs, known, "ref", "id"), [when(F.lit(True), "", "BROKEN_REF", actual=F.col("ref"), **at)])
     parents = row_rules(_missing(q.filter("parent IS NOT NULL"), ex.questions, "parent", "question_id"), [when(F.lit(True), "", "BROKEN_PARENT", actual=F.col("parent"), **at)])
 
@@ -467,3 +472,25 @@ def gate(exams: DataFrame, issues: DataFrame, look: list[str]) -> DataFrame:
     status = F.when(F.col("verdict") == "FAIL", "needs_review").otherwise(F.coalesce(kept, F.when(F.col("verdict") == "REVIEW", "completed_with_warnings").otherwise("completed")))
     human = F.when(F.col("verdict") == "FAIL", True).when(F.col("missing_pages"), True).otherwise((F.col("verdict") == "REVIEW") & F.coalesce("look", F.lit(False)))
     return out.withColumn("verdict", verdict).select("root", "blocker", "high", "medium", "info", "verdict", status.alias("status"), human.alias("needs_review"))
+
+
+#: Warnings that ask for a review whatever their severity, and those that only warn.
+REVIEW_CODES = ["MISSING_QUESTION", "MISSING_POINTS_CRITICAL", "POSSIBLE_HALLUCINATION", "BROKEN_REF", "BROKEN_PARENT", "WRONG_ASSET_REFERENCE", "MISSING_TABLE_DATA"]
+WARNING_CODES = ["MISSING_BBOX", "ESTIMATED_BBOX_ONLY"]
+
+
+def processing_status(exams: DataFrame, warnings: DataFrame, questions: DataFrame) -> DataFrame:
+    """(root, status, review) of exams(root, missing_pages) by the gravest that holds; review: whether a person has to look.
+
+    partial_failed: pages are missing.  needs_review: a critical or high warning, or one that asks for a review, or a
+    question whose text is in doubt and holds formulas.  completed_with_warnings: a question that needs review, or assets without a
+    place of their own.  completed: none of these.  warnings(root, code, severity) are those of the validator,
+    questions(root, needs_review, text_status, math_review); exams without either are completed.
+    """
+    grave = F.col("code").isin(REVIEW_CODES) | F.lower(F.coalesce("severity", F.lit(""))).isin("critical", "high")
+    told = warnings.groupBy("root").agg(F.bool_or(grave).alias("grave"), F.bool_or(F.col("code").isin(WARNING_CODES)).alias("light"))
+    doubt = F.coalesce(F.col("text_status").isin("needs_review", "corrupt") & F.col("math_review"), F.lit(False))
+    asked = questions.groupBy("root").agg(F.bool_or(doubt).alias("doubt"), F.bool_or(F.coalesce("needs_review", F.lit(False))).alias("open"))
+    df = exams.select("root", F.coalesce("missing_pages", F.lit(False)).alias("missing")).join(told, "root", "left").join(asked, "root", "left").na.fill(False)
+    status = F.when(F.col("missing"), "partial_failed").when(F.col("grave") | F.col("doubt"), "needs_review").when(F.col("open") | F.col("light"), "completed_with_warnings").otherwise("completed")
+    return df.select("root", status.alias("status"), status.isin("partial_failed", "needs_review").alias("review"))
