@@ -258,3 +258,51 @@ def missing_item(exams: DataFrame, questions: DataFrame, pages: DataFrame) -> Da
     on = numbers_on_pages(pages).filter(F.col("number").isin("B", "5")).groupBy("root").agg(F.max_by("page", "number").alias("page"))
     df = lost.join(long_item(pages), "root", "left").join(on, "root", "left")
     return df.select("root", F.lit("5").alias("number"), F.lit(POINTS_OF_B).cast("bigint").alias("points"), "page", F.coalesce("block", F.lit(NO_TEXT_OF_B)).alias("statement"), F.when(F.col("block").isNotNull(), 0.7).otherwise(0.5).alias("confidence"), F.col("block").isNull().alias("review"))
+
+
+def without_axis_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """texts, one for each key, without stretches of short lines that a picture or a torn formula left in them.
+
+    A stretch are lines next to each other of six characters or fewer, from the first of one to five on.  It goes if it
+    has three lines or more and `Figura N` stands in it, in the two lines before or the three after.  Else, if it begins at most
+    two lines into the stretch, six lines or more of at most three characters go that have a line of over eight within
+    three before and three after.  Lines keep their order; null texts and texts without such lines stay as they are.
+
+    Lines are rows, so a text of any length is sorted and not held; only neighbours of a stretch are looked up.
+    """
+    lines = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("n", F.length(F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))))
+    short = lines.filter("n <= 6").withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
+    runs = short.groupBy(*keys, "run").agg(
+        F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"), F.min(F.when(F.col("n").between(1, 5), F.col("pos"))).alias("i0"), F.coalesce(F.max(F.when(F.col("n") > 3, F.col("pos"))), F.lit(-1)).alias("far"),
+        F.array_sort(F.collect_list(F.struct("pos", "n", "line"))).alias("own"),
+    ).filter("i0 IS NOT NULL AND e - i0 >= 3")
+    runs = runs.withColumn("i1", F.array_min(F.transform(F.filter("own", lambda x: (x["pos"] <= F.col("s") + 2) & x["n"].between(1, 5) & (x["pos"] > F.col("far"))), lambda x: x["pos"])))
+    around = runs.select(*keys, "run", "i0", "i1", "e", F.explode(F.array(*(F.col("s") - i for i in (3, 2, 1)), *(F.col("e") + i for i in (0, 1, 2)))).alias("pos")).join(lines, [*keys, "pos"])
+    near = around.groupBy(*keys, "run").agg(
+        F.array_sort(F.collect_list(F.when((F.col("pos") >= F.col("e")) | (F.col("pos") >= F.col("i0") - 2), F.struct("pos", "n", "line")))).alias("near"),
+        F.coalesce(F.bool_or((F.col("pos") < F.col("e")) & (F.col("pos") >= F.col("i1") - 3) & (F.col("n") > 8)), F.lit(False)).alias("before"), F.coalesce(F.bool_or((F.col("pos") >= F.col("e")) & (F.col("n") > 8)), F.lit(False)).alias("after"),
+    )
+    runs = runs.join(near, [*keys, "run"], "left")
+    told = F.array_sort(F.concat(F.filter("own", lambda x: x["pos"] >= F.col("i0") - 2), F.coalesce("near", F.slice("own", 1, 0))))
+    named = F.array_join(F.transform(told, lambda x: x["line"]), "\n").rlike(r"[Ff]igura\s*\d+")
+    torn = F.coalesce((F.col("e") - F.col("i1") >= 6) & F.col("before") & F.col("after"), F.lit(False))
+    gone = runs.select(*keys, F.when(named, F.col("i0")).when(torn, F.col("i1")).alias("start"), "e").filter("start IS NOT NULL").select(*keys, F.explode(F.sequence("start", F.col("e") - 1)).alias("pos"))
+    touched = gone.select(*keys).distinct()
+    kept = lines.join(touched, keys, "left_semi").join(gone, [*keys, "pos"], "left_anti").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("__kept"))
+    out = texts.join(touched.withColumn("__touched", F.lit(True)), keys, "left").join(kept, keys, "left")
+    return out.withColumn(text, F.when(F.col("__touched"), F.coalesce("__kept", F.lit(""))).otherwise(F.col(text))).drop("__touched", "__kept")
+
+
+def trimmed_parents(questions: DataFrame) -> DataFrame:
+    """(root, ord, statement) of groups whose statement goes on with their first child: it ends there.
+
+    questions(root, ord, question_id, parent, number, is_group, statement).  The first child is the one of the least
+    number as text; its number has to stand, as a word of its own, more than 20 characters into the statement, and 20
+    characters or more have to be left.
+    """
+    first = questions.filter("parent IS NOT NULL AND number IS NOT NULL").groupBy("root", F.col("parent").alias("question_id")).agg(F.min("number").alias("child"))
+    df = questions.filter("is_group AND coalesce(number, '') <> '' AND coalesce(statement, '') <> ''").join(first.filter("child <> ''"), ["root", "question_id"])
+    # the text before the first such number; the whole text if there is none
+    before = F.get(F.split("statement", F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), _quoted(F.col("child")), F.lit(r"\.?\s")), 2), F.lit(0))
+    df = df.withColumn("before", before).withColumn("kept", strip(F.col("before")))
+    return df.filter((F.length("before") < F.length("statement")) & (F.length("before") > 20) & (F.length("kept") >= 20)).select("root", "ord", F.col("kept").alias("statement"))

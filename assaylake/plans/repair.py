@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import profiles as P
 from ..operators import repair as R
+from ..operators.recovery import MATH
 from ..sources.exams import MODEL_SQL, _cases, _pick, _select, model, numbered
 from ..sources.layout import LAYOUT_SQL, layout
 from .registry import query
 
+#: The marks of formulas, as DuckDB reads them.
+R_MATH = MATH.replace("(?iu)", "(?i)")
+
 #: Texts before and after; of each of these a row has one.
 _TEXTS = {
     "root": "CAST(l_orderkey AS STRING)", "ord": "ord",
@@ -145,3 +150,51 @@ def q_missing_item(spark: SparkSession, d: str) -> DataFrame:
     """Item B of first groups whose points prove that it was lost."""
     ex = model(spark, d)
     return R.missing_item(ex.exams, ex.questions.selectExpr("root", "group_id", "number", f"{_POINTS} AS points"), _asked_pages(spark, d))
+
+
+#: Lines of exams' texts, one for each lineitem row.
+_AXIS = _cases(_pick(3, 7, 1, 9), ["a", "12", "abc", "x", "Figura 3", "um texto corrido", "abcdef", "", "-1"])
+
+
+@query()
+def q_axis_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of lines of ten exams each, without stretches of short ones; tests/test_sources.py holds the operator against a plain version."""
+    lines = numbered(spark, d).selectExpr("CAST(l_orderkey DIV 10 AS STRING) AS root", "l_orderkey", "ord", f"{_AXIS} AS line")
+    texts = lines.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return R.without_axis_lines(texts, ["root"])
+
+
+#: Families of questions: a group (k = 0) and two parts of it for each lineitem row.
+_FAMILY = {
+    "root": "CAST(l_orderkey AS STRING)", "ord": "ord * 3 + k", "question_id": "'q' || CAST(ord AS STRING) || '_' || CAST(k AS STRING)", "parent": "CASE WHEN k > 0 THEN 'q' || CAST(ord AS STRING) || '_0' END", "number": "CAST(ord AS STRING) || CASE WHEN k > 0 THEN '.' || CAST(k AS STRING) ELSE '' END", "is_group": "k = 0",
+    "statement": _cases(_pick(1, 3, 7, 4), ["Considere a figura seguinte, que mostra um mapa. ", "Curto ", "Um texto longo que não diz nada de novo ", ""]) + " || CASE WHEN l_partkey % 5 = 0 THEN '1' ELSE '' END || CAST(ord AS STRING) || " + _cases("l_partkey % 3", [".1. Diga porquê.", ".2. Diga porquê.", ".1 diga"]),
+}
+
+
+@query(f"""WITH {MODEL_SQL}, family AS (SELECT {_select(_FAMILY)} FROM li, (SELECT unnest([0, 1, 2]) AS k)), met AS (SELECT root, ord, statement, regexp_extract(' ' || statement, '^(.*?[^\\p{{L}}\\p{{N}}_])' || number || '\\.1\\.?\\s', 1) AS before FROM family WHERE is_group)
+SELECT root, ord, trim(before) AS statement FROM met WHERE length(before) > 21 AND length(trim(before)) >= 20""")
+def q_trimmed_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of groups up to their first part."""
+    return R.trimmed_parents(numbered(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).selectExpr(*(f"{e} AS {n}" for n, e in _FAMILY.items())))
+
+
+#: Numbers instead of a question's own, and what comes after its statement.
+_OVER = {
+    "root": "CAST(l_orderkey AS STRING)", "ord": "ord", "own_number": f"CASE {_pick(3, 5, 9, 8)} WHEN 0 THEN 'II' WHEN 1 THEN '95' END",
+    "own_text": _cases(_pick(9, 5, 3, 4), ["", " x = 2", "\nFIM\n10", " texto"]).replace("\n", "' || chr(10) || '"),
+}
+
+
+@query(f"""WITH {MODEL_SQL}, over AS (SELECT {_select(_OVER)} FROM li), e AS (SELECT root, CASE WHEN contains(lower(subject), 'matem') THEN 'm' WHEN contains(lower(subject), 'hist') THEN 'h' ELSE 'p' END AS profile FROM exams),
+q AS (SELECT q.root, q.ord, coalesce(own_number, number) AS number, group_id, parent, type, n_options, math_heavy, statement || own_text AS s0, profile FROM questions q JOIN over o ON o.root = q.root AND o.ord = q.ord JOIN e ON e.root = q.root),
+a AS (SELECT *, CASE WHEN contains(s0, chr(10) || 'FIM') THEN trim(split_part(s0, chr(10) || 'FIM', 1)) ELSE s0 END AS s1, number = 'II' AND parent IS NULL AS no_question FROM q),
+b AS (SELECT *, profile = 'm' AND NOT math_heavy AND NOT no_question AND regexp_matches(s1, '{R_MATH}') AS formulas, profile = 'h' AND NOT no_question AND number = '95' AND coalesce(group_id, '') <> '' AS line, regexp_split_to_array(s1, '{_SPLIT}') AS parts FROM a),
+c AS (SELECT *, CASE WHEN profile = 'p' AND NOT no_question AND type IN ('multiple_choice', 'multi_select') AND n_options > 0 AND len(parts) >= 3 THEN trim(parts[1]) ELSE s1 END AS s2 FROM b)
+SELECT root, ord, s2 AS statement, math_heavy OR formulas AS math_heavy, no_question OR line AS gone, array_to_string(list_filter([CASE WHEN s1 <> s0 THEN 'scoring_tail' END, CASE WHEN no_question THEN 'no_question' END, CASE WHEN formulas THEN 'formulas' END, CASE WHEN line THEN 'line_numbers' END, CASE WHEN s2 <> s1 THEN 'inline_options' END], lambda x: x IS NOT NULL), ',') AS steps FROM c WHERE NOT (no_question OR line)""")
+def q_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Questions after the steps of their subject's profile, with the steps that changed them."""
+    ex = model(spark, d)
+    over = _rows(spark, d, _OVER)
+    q = ex.questions.join(over, ["root", "ord"]).withColumn("number", F.coalesce("own_number", "number")).withColumn("statement", F.concat("statement", "own_text"))
+    kept, warned = P.normalise(q, ex.exams)
+    return kept.join(warned, ["root", "ord"], "left").select("root", "ord", "statement", "math_heavy", F.lit(False).alias("gone"), F.array_join(F.coalesce("steps", F.array().cast("array<string>")), ",").alias("steps"))

@@ -2,9 +2,11 @@
 
 import hashlib
 import io
+import random
+import re
 import zipfile
 
-from assaylake.operators import cleanup, documents, repair
+from assaylake.operators import cleanup, documents, profiles, repair
 from assaylake.sources import bundles
 
 
@@ -76,3 +78,51 @@ def test_document_numbers(spark):
     groups = spark.createDataFrame([("r", p, "grupo_i" if p < 5 else "grupo_ii") for p in range(2, 8)], "root string, page long, group_id string")
     asked = spark.createDataFrame([("r", 4)], "root string, page long")
     assert sorted(map(tuple, documents.labelled(pages, groups, asked).collect())) == [("r", "grupo_i", "1", 4), ("r", "grupo_i", "2", 2), ("r", "grupo_ii", "1", 5)]
+
+
+def axis_free(text):
+    """The same by the rules' words: every start of a stretch is tried in turn, without looking for runs first."""
+    lines = text.split("\n")
+    size = [len(x.strip()) for x in lines]
+    out, at = [], 0
+    while at < len(lines):
+        end = next((k for k in range(at, len(lines)) if size[k] > 6), len(lines)) if 1 <= size[at] <= 5 else at
+        figure = re.search(r"[Ff]igura\s*\d+", "\n".join(lines[max(0, at - 2) : end + 3]))
+        torn = end - at >= 6 and max(size[at:end]) <= 3 and any(n > 8 for n in size[max(0, at - 3) : at]) and any(n > 8 for n in size[end : end + 3])
+        if end - at >= 3 and (figure or torn):
+            at = end
+        else:
+            out.append(lines[at])
+            at += 1
+    return "\n".join(out)
+
+
+def test_axis_lines(spark):
+    rng = random.Random(4)
+    parts = ["", "a", "x2", "abc", "abcd", "abcde", "abcdef", "um texto corrido", "Figura 3", "Figura", "7", "  b  ", "médio 7"]
+    texts = ["\n".join(rng.choices(parts, [3, 9, 9, 9, 2, 2, 1, 4, 1, 1, 3, 3, 2], k=rng.randint(1, 40))) for _ in range(400)] + [None, "", "a\n" * 30_000 + "Figura 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.text for r in repair.without_axis_lines(df, ["id"]).collect()}
+    want = {i: None if t is None else axis_free(t) for i, t in enumerate(texts)}
+    assert sum(w != t for w, t in zip(want.values(), texts, strict=True)) > 50
+    assert got == want
+
+
+def test_trimmed_parents(spark):
+    rows = [("r", 1, "g", None, "9", True, "Considere a figura seguinte e responda. 9.1. Diga 9.1 x"), ("r", 2, "a", "g", "9.1", False, "Diga"), ("r", 3, "b", "g", "9.2", False, "x"), ("r", 4, "h", None, "3", True, "Curto 3.1. x"), ("r", 5, "c", "h", "3.1", False, "x"), ("r", 6, "k", None, "4", True, "Um texto que tem 14.1 de altura e mais nada."), ("r", 7, "d", "k", "4.1", False, None)]
+    df = spark.createDataFrame(rows, "root string, ord long, question_id string, parent string, number string, is_group boolean, statement string")
+    assert [tuple(r) for r in repair.trimmed_parents(df).collect()] == [("r", 1, "Considere a figura seguinte e responda.")]
+
+
+def test_profiles(spark):
+    schema = "root string, ord long, number string, group_id string, parent string, type string, statement string, options array<string>, math_heavy boolean"
+    rows = [("m", 1, "1", None, None, "open_answer", "Calcule 3/4 de x\nFIM\n", [], False), ("m", 2, "95", "g", None, "open_answer", "texto", [], False), ("h", 1, "95", "g", None, "open_answer", "x = 2", [], False), ("h", 2, "II", None, None, "open_answer", "texto", [], False), ("p", 1, "1", "g", None, "multiple_choice", "Qual é? (A) um (B) dois", ["um"], False), ("p", 2, "1", "g", None, "open_answer", "Qual é? (A) um (B) dois", ["um"], False), ("z", 1, "1", None, None, None, None, None, None), (None, 1, "1", None, None, "x", "a\nFIM\n", [], True)]
+    exams = spark.createDataFrame([("m", "Matemática A"), ("h", "História A"), ("p", "Português"), ("z", None)], "root string, subject string")
+    q = spark.createDataFrame(rows, schema)
+    kept, warned = profiles.normalise(q, exams)
+    assert kept.columns == q.columns
+    got = {(r.root, r.ord): (r.statement, r.math_heavy) for r in kept.collect()}
+    assert got == {("m", 1): ("Calcule 3/4 de x", True), ("m", 2): ("texto", False), ("p", 1): ("Qual é?", False), ("p", 2): ("Qual é? (A) um (B) dois", False), ("z", 1): (None, None), (None, 1): ("a", True)}
+    assert {(r.root, r.ord): r.steps for r in warned.collect()} == {("m", 1): ["scoring_tail", "formulas"], ("h", 1): ["line_numbers"], ("h", 2): ["no_question"], ("p", 1): ["inline_options"], (None, 1): ["scoring_tail"]}
+    same, none = profiles.normalise(q, exams, steps=[])
+    assert none.isEmpty() and sorted(map(str, same.collect())) == sorted(map(str, q.collect()))
