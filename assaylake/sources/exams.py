@@ -6,7 +6,7 @@ Exams are orders, and questions, assets, sources, files and scoring items come f
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,15 +155,21 @@ def _one(c: str | Column) -> Column:
     return F.array_compact(F.array(c))
 
 
-@dataclass
 class Exams:
-    exams: DataFrame
-    questions: DataFrame
-    assets: DataFrame
-    sources: DataFrame
-    files: DataFrame
-    policy: DataFrame
-    criteria: DataFrame
+    """The tables of exams by name; one that is given as a function is made when it is first asked for."""
+
+    NAMES = ("exams", "questions", "assets", "sources", "files", "policy", "criteria")
+
+    def __init__(self, *tables: DataFrame | Callable[[], DataFrame] | None):
+        self._tables = dict(zip(self.NAMES, tables, strict=True))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise AttributeError(name)
+        found = self._tables[name]
+        if callable(found) and not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
 
 
 def numbered(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +181,7 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
 def model(spark: SparkSession, d: str) -> Exams:
     """The tables with their lists: options, blanks, columns, references, regions, crops.
 
-    Each is written once for an application, so a query that uses a table several times reads it and makes it no more.
+    Each is written once for an application, when a query first asks for it, and read from then on.
     """
     li = numbered(spark, d)
     of = {name: li.selectExpr(*(f"{e} AS {n}" for n, e in columns.items())) for name, columns in _PARTS.items()}
@@ -194,5 +200,6 @@ def model(spark: SparkSession, d: str) -> Exams:
     s = of["sources"].select("root", "ord", "source_id", "group_id", "kind", "page_start", "text", "render", "crop", "method", _one("child_id").alias("children"), _one("child_crop").alias("child_crops"), _one("asset_ref").alias("asset_refs"))
     files = li.selectExpr(*(f"{e} AS {n}" for n, e in FILE.items())).distinct()
     exams = table(spark, d, "orders").selectExpr(*(f"{e} AS {n}" for n, e in EXAM.items()))
+    once = lambda name, df: lambda: saved_once(spark, f"{d}/{name}", lambda: df)
     parts = {"questions": q, "assets": a, "sources": s, "files": files, "policy": of["policy"], "criteria": of["criteria"]}
-    return Exams(exams, **{name: saved_once(spark, f"{d}/{name}", lambda df=df: df) for name, df in parts.items()})
+    return Exams(exams, *(once(name, df) for name, df in parts.items()))
