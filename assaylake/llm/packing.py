@@ -35,7 +35,7 @@ def pack_ids(ids) -> bytes:
 PLAIN = re.compile(r"[ -~\n\u00c0-\u024f]*")
 
 
-def encoder(tokenizer: str, path: str | None = None, ranks: str | None = RANKS, ranks_path: str | None = None) -> UnitCache:
+def encoder(tokenizer: str, path: str | None = None, ranks: str | None = RANKS, ranks_path: str | None = None, most_units: int = 700_000) -> UnitCache:
     """Ids of texts as the `tokenizers` library gives them without added special tokens; special strings by its default.
 
     Units of plain characters are encoded from the same vocabulary's ranks, several times faster; ranks=None
@@ -51,7 +51,7 @@ def encoder(tokenizer: str, path: str | None = None, ranks: str | None = RANKS,
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
     whole = lambda text: pack_ids(t.encode(text, add_special_tokens=False).ids)
     if ranks is None:
-        return UnitCache(whole, lambda unit: whole(" " + unit), b"".join, special)
+        return UnitCache(whole, lambda unit: whole(" " + unit), b"".join, special, most_units)
     import tiktoken
 
     with open(ranks_path or public_tokenizers.path(ranks), "rb") as f:
@@ -61,7 +61,7 @@ def encoder(tokenizer: str, path: str | None = None, ranks: str | None = RANKS,
     def unit(text: str) -> bytes:
         return pack_ids(fast(" " + text)) if PLAIN.fullmatch(text) else whole(" " + text)
 
-    return UnitCache(whole, unit, b"".join, special)
+    return UnitCache(whole, unit, b"".join, special, most_units)
 
 
 def cost_of(length: int, linear: float, quadratic: float) -> float:
@@ -98,12 +98,12 @@ def balance(lengths: list[int], size: int, linear: float, quadratic: float) -> l
     return out
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, tokenizer: str = TOKENIZER, tokenizer_path: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, tokenizer: str = TOKENIZER, tokenizer_path: str | None = None, window_tokens: int = WINDOW_TOKENS, most_units: int = 700_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost.
 
     A document's tokens are its text's ids and then `end_id`; each token lies in exactly one piece.  Every
     task packs the rows that it reads in windows of about `window_tokens` tokens, so nothing is shuffled and
-    no task holds more than a window and one document.  All sequences of a window are full but the last few,
+    no task holds more than a window, one document (a very long one is held whole) and the ids of `most_units` words.  All sequences of a window are full but the last few,
     whose lengths are powers of two: nothing needs padding.  sequence_id is the task's number and a count.
 
     Null text is the empty text (one token).  Repeated rows and null doc_ids are packed as rows of their own.
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, linear: float = 1.0
         raise ValueError("size must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = encoder(tokenizer, tokenizer_path)
+        cache = encoder(tokenizer, tokenizer_path, most_units=most_units)
         end = pack_ids([end_id])
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held: list[tuple[int, bytes]] = []
