@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exam_text as T
+from ..sources.shared import saved
 from . import repair
 from .recovery import MATH
 
@@ -60,4 +61,6 @@ def normalise(questions: DataFrame, exams: DataFrame, steps: list[Step] = STEPS,
         df = df.withColumn("__new", F.when(applies, step.value()).otherwise(F.col(step.column)))
         changed = ~F.col("__new").eqNullSafe(F.col(step.column))
         df = df.withColumn("__done", F.when(changed, F.array_append("__done", F.lit(step.name))).otherwise(F.col("__done"))).withColumn(step.column, F.col("__new")).drop("__new")
+    # used twice, and a filter on what the steps made would be pushed down through all of them
+    df = saved(df, "normalised")
     return df.filter("keep").drop("__families", "__done", "keep"), df.filter(F.size("__done") > 0).select("root", "ord", F.col("__done").alias("steps"))
