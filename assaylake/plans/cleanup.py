@@ -165,15 +165,15 @@ def q_exportable_jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.filter(F.col("status").isin(cleanup.EXPORTABLE))
 
 
-_WARNING = {"type": "CASE ord % 5 WHEN 0 THEN 'suspicious_points' WHEN 1 THEN 'history_points_repaired' WHEN 2 THEN 'broken_ref' WHEN 3 THEN 'grupo_ii_points_rescaled' ELSE 'text_fallback_used' END", "severity": "CASE WHEN number = '2' THEN 'info' WHEN number = '3' THEN 'high' END", "message": "'has unusually low points: ' || CAST(coalesce(points, 0) % 6 AS STRING)"}
+_WARNING = {"type": "CASE (ord + CAST(root AS BIGINT)) % 5 WHEN 0 THEN 'suspicious_points' WHEN 1 THEN 'history_points_repaired' WHEN 2 THEN 'broken_ref' WHEN 3 THEN 'grupo_ii_points_rescaled' ELSE 'text_fallback_used' END", "severity": "CASE WHEN number = '2' THEN 'info' WHEN number = '3' THEN 'high' END", "message": "'has unusually low points: ' || CAST(coalesce(points, 0) % 6 AS STRING)"}
 
 
-@query(f"""WITH {MODEL_SQL}, w AS (SELECT root, ord, {", ".join(f"{e} AS {n}" for n, e in _WARNING.items())}, coalesce(points, 0) % 6 AS low FROM questions WHERE ord < 4 OR CAST(root AS BIGINT) % 2 = 0)
+@query(f"""WITH {MODEL_SQL}, w AS (SELECT root, ord, {", ".join(f"{e} AS {n}" for n, e in _WARNING.items())}, coalesce(points, 0) % 6 AS low FROM questions)
 SELECT root, ord, coalesce(severity = 'info', false) OR type IN ('history_points_repaired', 'text_fallback_used') OR (type = 'suspicious_points' AND (low >= 3 OR bool_or(type = 'grupo_ii_points_rescaled') OVER (PARTITION BY root))) AS info FROM w""")
 def q_info_warnings(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    w = model(spark, d).questions.filter("ord < 4 OR CAST(root AS BIGINT) % 2 = 0").selectExpr("root", "ord", *(f"{e} AS {n}" for n, e in _WARNING.items()))
+    w = model(spark, d).questions.selectExpr("root", "ord", *(f"{e} AS {n}" for n, e in _WARNING.items()))
     rescaled = F.max(F.col("type") == "grupo_ii_points_rescaled").over(Window.partitionBy("root"))
     return w.withColumn("rescaled", rescaled).select("root", "ord", cleanup.is_info(F.col("type"), F.col("severity"), F.col("message"), F.col("rescaled")).alias("info"))
 

@@ -20,10 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _gone_at_exit(spark: SparkSession, path: str):
+    """The path's file system, which deletes the path, if it is there by now, when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    return files
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
+    """df written to the shared folder and read again: its lineage ends there.  The files go when the application ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -33,9 +42,8 @@ def saved_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) ->
     The files go when the application ends.
     """
     path = f"{shared_dir(spark)}/once-{spark.sparkContext.applicationId}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = _gone_at_exit(spark, path)
     if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
-        files.deleteOnExit(at)
+        _gone_at_exit(spark, path)
     return spark.read.parquet(path)
