@@ -14,7 +14,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter go."""
+    """Documents whose language is known; those without a letter, and null texts, go.
+
+    Each row is judged by its own text: repeated rows and rows without a doc_id stay or go like any other.
+    """
     return language_id.keep_identified(docs)
 
 
