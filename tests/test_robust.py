@@ -79,3 +79,15 @@ def test_normal_blanks(spark):
     got = spark.createDataFrame(rows, schema).select(repair.normal_blanks(F.col("blanks")).alias("b"), repair.valid_blanks(F.col("blanks")).alias("v")).collect()
     assert [(b.number, [tuple(o) for o in b.options] if b.options is not None else None) for b in got[0].b] == [("a)", [("1", "um"), ("2", "dois")]), ("b)", [("1", "três")]), ("c)", None)]
     assert [r.v for r in got] == [False, False]
+
+
+@pytest.mark.parametrize("f", [E.choice_options, E.letter_options, E.roman_options], ids=lambda f: f.__name__)
+def test_texts_are_searched_once(hard, f):
+    """A list that is used again is bound: the plan holds no search of a text twice over."""
+    plan = hard.select(f(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 6
+
+
+def test_null_texts_have_null_options(hard):
+    got = hard.filter("root = '0'").select(E.choice_options(F.col("text")).alias("c"), E.letter_options(F.col("text")).alias("l"), E.roman_options(F.col("text")).alias("r"), E.matching_columns(F.col("text")).alias("m")).first()
+    assert got.c is None and got.l is None and got.r is None and got.m is None
