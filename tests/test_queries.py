@@ -46,3 +46,10 @@ def test_query(spark, small, oracle, name):
         assert sorted(names) == sorted(df.columns)
         want = rows(names, found.fetchall())
         assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3])
+
+
+@pytest.mark.parametrize("name", ["q_criteria_verdict", "q_document_sources", "q_labelled_documents", "q_recovered_from_scoring", "q_rules_criteria", "q_rules_validator"])
+def test_files_do_not_plan_broadcasts(spark, tiny, name):
+    """Exam tables are far larger in memory than in files: no broadcast is planned by the size of files."""
+    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
