@@ -7,7 +7,7 @@ import re
 import zipfile
 
 from assaylake.operators import cleanup, documents, profiles, repair
-from assaylake.sources import bundles
+from assaylake.sources import bundles, exams
 
 
 def test_folder_of_bundles(spark, tmp_path):
@@ -126,3 +126,18 @@ def test_profiles(spark):
     assert {(r.root, r.ord): r.steps for r in warned.collect()} == {("m", 1): ["scoring_tail", "formulas"], ("h", 1): ["line_numbers"], ("h", 2): ["no_question"], ("p", 1): ["inline_options"], (None, 1): ["scoring_tail"]}
     same, none = profiles.normalise(q, exams, steps=[])
     assert none.isEmpty() and sorted(map(str, same.collect())) == sorted(map(str, q.collect()))
+
+
+def test_wide_rows_are_compiled(spark, tiny):
+    """No function on lists takes the model's rows out of generated code, and no stage's method is too large for Java to compile."""
+    from assaylake.plans import QUERIES
+
+    QUERIES["q_rules_generic"](spark, tiny)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    wide = exams.model(spark, tiny).questions
+    row = wide.orderBy("root", "ord").first()
+    assert isinstance(row.options, list) and isinstance(row.blanks, list)
+    lists = exams._at([[["a"], []], [["b"]]], "array<string>", "i", "j")
+    told = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1), (None, 0), (-1, 0)], "i long, j long").select(lists.alias("x"))
+    assert [r.x for r in told.collect()] == [[["a"], []][0], [], ["b"], [], [], []]
+    assert "lambdafunction" not in told._jdf.queryExecution().executedPlan().toString()
