@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exam_text import is_scoring_summary
+from ..functions.exam_text import bound, is_scoring_summary
 from ..functions.text import span
 from . import sequences as seq
 
@@ -48,8 +48,10 @@ def document_references(text: Column, allowed: Column) -> Column:
     spans = F.flatten(F.transform(ends, lambda x: within(F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"]))))
     listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("(?iu)" + DOC_LIST), F.lit(1)), lambda t: found(t, r"(\d+)", 1)))
     named = F.array_distinct(F.array_compact(F.concat(spans, listed, found(text, DOC_ONE, 1))))
-    named = F.when((F.size(named) == 0) & text.rlike("(?iu)" + "|".join(DOC_ALL)), allowed).otherwise(named)
-    return F.array_sort(F.when(F.size(allowed) > 0, F.array_intersect(named, allowed)).otherwise(named))
+    named = bound(named, lambda n: F.when((F.size(n) == 0) & text.rlike("(?iu)" + "|".join(DOC_ALL)), allowed).otherwise(n))
+    named = F.array_sort(F.when(F.size(allowed) > 0, F.array_intersect(named, allowed)).otherwise(named))
+    # most texts name none
+    return F.when(F.lower(text).contains("doc"), named).otherwise(F.array().cast("array<int>"))
 
 
 def scoring_columns(lines: DataFrame) -> DataFrame:
