@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..operators import scoring_text
-from ..sources.exams import MODEL_SQL, _cases, _pick, model, numbered
+from ..sources.exams import MODEL_SQL, _cases, _pick, made, model, numbered
 from ..sources.layout import LAYOUT_SQL, layout
 from .registry import query
 
@@ -61,9 +61,9 @@ m AS (SELECT n.root, n.ord, source_id, letters, children FROM n JOIN g ON g.root
 SELECT DISTINCT root, ord, source_id, child AS child_id, CASE WHEN len(letters) = 0 THEN 'full_group' ELSE 'specific_child' END AS mode FROM (SELECT *, unnest(CASE WHEN len(letters) = 0 THEN [NULL] ELSE list_filter(list_transform(letters, lambda x: list_filter(children, lambda c: contains(c, '_' || x || '_') OR suffix(c, '_' || x))[1]), lambda c: c IS NOT NULL) END) AS child FROM m)""")
 def q_late_references(spark: SparkSession, d: str) -> DataFrame:
     """References to page groups, for questions that have none."""
-    more = numbered(spark, d).selectExpr("CAST(l_orderkey AS STRING) AS root", "ord", f"{_MORE} AS more")
+    more = numbered(spark, d).selectExpr("root", "ord", f"{_MORE} AS more")
     q = model(spark, d).questions.join(more, ["root", "ord"]).select("root", "ord", F.concat("statement", "more").alias("text"), (F.size("source_refs") > 0).alias("has_refs"))
-    groups = numbered(spark, d).selectExpr(*(f"{e} AS {n}" for n, e in _LEGACY.items())).withColumn("children", F.array("child1", "child2"))
+    groups = made(numbered(spark, d), _LEGACY).withColumn("children", F.array("child1", "child2"))
     return D.late_references(q, groups)
 
 
@@ -83,7 +83,7 @@ kept AS (SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM doubled x WHERE x.
 UNION ALL SELECT 'reference', root, ord, source_id FROM kept UNION ALL SELECT 'medium', root, ord, source_id FROM media_of m WHERE NOT EXISTS (SELECT 1 FROM doubled x WHERE x.root = m.root AND x.source_id = m.source_id)""")
 def q_superseded(spark: SparkSession, d: str) -> DataFrame:
     """Sources, references and media that are left once sources read from texts supersede numbered documents."""
-    told = numbered(spark, d).selectExpr(*(f"{e} AS {n}" for n, e in _TOLD.items()))
+    told = made(numbered(spark, d), _TOLD)
     refs = told.select("root", "ord", F.explode(F.array("ref1", "ref2")).alias("source_id"))
     sources, refs, media = D.supersede(told.select("root", F.col("source").alias("source_id")).distinct(), refs, told.select("root", "ord", F.col("shown").alias("source_id")))
     rows = lambda df, what: df.select(F.lit(what).alias("what"), "root", (F.col("ord") if "ord" in df.columns else F.lit(None).cast("bigint")).alias("ord"), "source_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import nearness as N
-from ..sources.exams import MODEL_SQL, _cases, _pick, _select, model, numbered
+from ..sources.exams import MODEL_SQL, _cases, _pick, _select, made, model, numbered
 from ..sources.layout import LAYOUT_SQL, layout
 from .registry import query
 
@@ -67,7 +67,7 @@ SELECT l.root, l.page, label_id, first(asset_id ORDER BY pos) AS asset_id FROM l
 def q_images_of_labels(spark: SparkSession, d: str) -> DataFrame:
     """The first image beside or above each label."""
     li = numbered(spark, d)
-    labels, images = (li.selectExpr(*(f"{e} AS {n}" for n, e in c.items())) for c in (_LABELS, _IMAGES))
+    labels, images = made(li, _LABELS), made(li, _IMAGES)
     return N.images_of_labels(labels, images, labels.select("root", "page").distinct().withColumn("width", F.lit(595.0)))
 
 
@@ -81,5 +81,5 @@ walk AS (SELECT root, ord, letter, x, y, i, 1 AS row_, y AS top FROM sorted WHER
 SELECT root, ord, CAST(row_ AS BIGINT) AS row, row_number() OVER (PARTITION BY root, ord, row_ ORDER BY x, y, letter) AS "column", letter FROM walk""")
 def q_label_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows and columns that the labels of options stand in."""
-    marks = numbered(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).selectExpr(*(f"{e} AS {n}" for n, e in _MARKS.items()))
+    marks = made(numbered(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(5))))), _MARKS)
     return N.label_rows(marks.filter("NOT (letter = 'D' AND ord = 2)"))

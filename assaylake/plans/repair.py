@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import profiles as P
 from ..operators import repair as R
 from ..operators.recovery import MATH
-from ..sources.exams import MODEL_SQL, _cases, _pick, _select, model, numbered
+from ..sources.exams import MODEL_SQL, _cases, _pick, _select, made, model, numbered
 from ..sources.layout import LAYOUT_SQL, layout
 from .registry import query
 
@@ -30,7 +30,7 @@ def _told(columns: dict[str, str]) -> str:
 
 
 def _rows(spark: SparkSession, d: str, columns: dict[str, str]) -> DataFrame:
-    return numbered(spark, d).selectExpr(*(f"{e} AS {n}" for n, e in columns.items()))
+    return made(numbered(spark, d), columns)
 
 
 @query(f"""WITH {MODEL_SQL}, {_told(_TEXTS)}, m AS (SELECT *, {_MARKS.format("now")} AS a, {_MARKS.format("native")} AS b, {_NWORDS.format("now")} AS v, {_NWORDS.format("native")} AS w FROM told WHERE now IS NOT NULL AND native IS NOT NULL)
@@ -175,7 +175,7 @@ _FAMILY = {
 SELECT root, ord, trim(before) AS statement FROM met WHERE length(before) > 21 AND length(trim(before)) >= 20""")
 def q_trimmed_parents(spark: SparkSession, d: str) -> DataFrame:
     """Statements of groups up to their first part."""
-    return R.trimmed_parents(numbered(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).selectExpr(*(f"{e} AS {n}" for n, e in _FAMILY.items())))
+    return R.trimmed_parents(made(numbered(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(3))))), _FAMILY))
 
 
 #: Numbers instead of a question's own, and what comes after its statement.

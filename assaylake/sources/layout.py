@@ -11,9 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exams import _cases, _select, numbered
-from .shared import saved_once
-from .tables import table
+from .exams import _cases, _select, made, numbered, rooted
 
 _AT = "((ord - 1) * 3 + k)"
 
@@ -64,7 +62,6 @@ class Layout:
 def layout(spark: SparkSession, d: str) -> Layout:
     """blocks(root, pos, page, type, x0, y0, height, text, ..), pages(root, page, text) and assets(root, asset_id, page, type, x, y)."""
     li = numbered(spark, d)
-    of = lambda df, columns: df.selectExpr(*(f"{e} AS {n}" for n, e in columns.items()))
-    pages = table(spark, d, "orders").withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))))
-    blocks = saved_once(spark, f"{d}/blocks", lambda: of(li.withColumn("k", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(3))))), BLOCK))
-    return Layout(blocks, of(pages, PAGE), of(li, PLACED))
+    pages = rooted(spark, d).withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))))
+    blocks = li.withColumn("k", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(3)))))
+    return Layout(made(blocks, BLOCK), made(pages, PAGE), made(li, PLACED))

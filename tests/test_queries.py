@@ -53,3 +53,10 @@ def test_files_do_not_plan_broadcasts(spark, tiny, name):
     """Exam tables are far larger in memory than in files: no broadcast is planned by the size of files."""
     plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_rules_portuguese", "q_rules_history", "q_segments", "q_criteria_match", "q_document_references", "q_retryable_history", "q_cover_sources", "q_segment_duplicates", "q_audit_summary", "q_warnings_report", "q_cover_source_refs", "q_labelled_documents"])
+def test_exams_stay_in_their_buckets(spark, tiny, name):
+    """What is joined, grouped or ordered within an exam is not dealt out again."""
+    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
