@@ -195,6 +195,6 @@ def q_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Questions after the steps of their subject's profile, with the steps that changed them."""
     ex = model(spark, d)
     over = _rows(spark, d, _OVER)
-    q = ex.questions.join(over, ["root", "ord"]).withColumn("number", F.coalesce("own_number", "number")).withColumn("statement", F.concat("statement", "own_text"))
-    kept, warned = P.normalise(q, ex.exams)
-    return kept.join(warned, ["root", "ord"], "left").select("root", "ord", "statement", "math_heavy", F.lit(False).alias("gone"), F.array_join(F.coalesce("steps", F.array().cast("array<string>")), ",").alias("steps"))
+    read = ex.questions.select("root", "ord", "number", "group_id", "parent", "type", "statement", "options", "math_heavy")
+    q = read.join(over, ["root", "ord"]).withColumn("number", F.coalesce("own_number", "number")).withColumn("statement", F.concat("statement", "own_text")).drop("own_number", "own_text")
+    return P.normalised(q, ex.exams).select("root", "ord", "statement", "math_heavy", F.lit(False).alias("gone"), F.array_join("steps", ",").alias("steps"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from assaylake.operators import matching
+from assaylake.operators import matching, profiles
 from assaylake.plans import QUERIES
 
 
@@ -22,3 +22,20 @@ def test_matching_of_odd_rows(spark):
     got = {(r.root, r.ord): (r.question_id, r.match) for r in out.collect()}
     assert got == {(None, 1): (None, None), ("r", 1): (None, None), ("r", 2): ("b", "exact"), ("r", 3): ("c", "points"), ("r", 4): (None, None), ("s", 1): ("d", "positional"), ("s", 2): ("e", "positional"), ("t", 1): (None, None)}
     assert sorted(map(str, ((r.root, r.question_id) for r in left.collect()))) == sorted(map(str, [(None, "a"), ("r", None), ("t", "f")]))
+
+
+def test_normalised_in_one_pass(spark, tiny):
+    """Nothing is written between, and no row moves."""
+    plan = QUERIES["q_normalised"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "normalised-" not in plan and "Bucketed: true" in plan
+
+
+def test_normalised_as_normalise(spark):
+    """Both forms give the same questions and steps, odd rows included."""
+    schema = "root string, ord long, number string, group_id string, parent string, type string, statement string, options array<string>, math_heavy boolean"
+    rows = [("m", 1, "1", None, None, "open_answer", "Calcule 3/4 de x\nFIM\n", [], False), ("h", 1, "95", "g", None, "open_answer", "x", [], False), ("h", 2, " ii ", None, None, "x", "texto", [], None), ("h", 3, "II", None, "p", "x", "texto", None, None), ("p", 1, "1", "g", None, "multiple_choice", "Qual é? (A) um (B) dois", ["um"], False), ("p", 2, "1", "g", None, "x", "Leia atentamente o texto seguinte.", [], False), ("p", 3, None, None, None, None, "cotação e subtotal", [], True), ("z", 1, None, None, None, None, None, None, None), (None, 1, "31", "g", None, "x", "a\nFIM\n", [], True)]
+    q, exams = spark.createDataFrame(rows, schema), spark.createDataFrame([("m", "Matemática A"), ("h", "História A"), ("p", "Português"), ("z", None)], "root string, subject string")
+    kept, warned = profiles.normalise(q, exams)
+    steps = {(r.root, r.ord): r.steps for r in warned.collect()}
+    want = sorted(str((*r, steps.get((r.root, r.ord), []))) for r in kept.collect())
+    assert len(want) == 5 and sorted(str(tuple(r)) for r in profiles.normalised(q, exams).collect()) == want
