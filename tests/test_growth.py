@@ -2,8 +2,9 @@
 
 import pytest
 
-from assaylake.operators import matching, profiles
+from assaylake.operators import matching, profiles, rules
 from assaylake.plans import QUERIES
+from assaylake.sources.exams import Exams
 
 
 @pytest.mark.parametrize("name", ["q_criteria_match", "q_unmatched_questions"])
@@ -39,3 +40,26 @@ def test_normalised_as_normalise(spark):
     steps = {(r.root, r.ord): r.steps for r in warned.collect()}
     want = sorted(str((*r, steps.get((r.root, r.ord), []))) for r in kept.collect())
     assert len(want) == 5 and sorted(str(tuple(r)) for r in profiles.normalised(q, exams).collect()) == want
+
+
+@pytest.mark.parametrize(("name", "most"), [("q_retryable_history", 16), ("q_rules_history", 16)])
+def test_history_reads_the_model_for_few_passes(spark, tiny, name, most):
+    """Rules on questions are one pass, those on sources another: the model is not read anew for each rule."""
+    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= most
+
+
+def test_references_and_crops_of_odd_rows(spark):
+    """Null names, exams without sources or files, files of one name twice, and crops of one picture."""
+    exams = spark.createDataFrame([("a", 5), ("b", 5)], "root string, total_pages long")
+    sources = spark.createDataFrame([("a", 1, "g_documento_1", "g", 2, None, "/x/assets/1", None, ["k", None], ["assets/9", None]), ("a", 2, "g_documento_x", "g", None, "text", None, None, None, []), ("a", 3, None, "g", 2, None, "assets/1", None, [], None), (None, 1, "z", "g", 2, None, None, None, [], [])],
+        "root string, ord long, source_id string, group_id string, page_start long, render string, crop string, method string, children array<string>, child_crops array<string>")
+    files = spark.createDataFrame([("a", "assets/1", 900, 79, "d"), ("a", "assets/1", 90, 90, "e"), ("a", None, 1, 1, "d")], "root string, rel string, width long, height long, digest string")
+    refs = "array<struct<source_id:string,child_id:string>>"
+    q = spark.createDataFrame([("a", "q1", "g", "1", [("g_documento_1", "k"), ("none", "no"), (None, None)], ["/x/assets/1", "assets/2", None, ""]), ("b", "q2", None, "2", [("g_documento_1", None)], None), ("b", "q3", None, "3", None, ["u"])], f"root string, question_id string, group_id string, number string, source_refs {refs}, media array<string>")
+    ex = Exams(exams, q, None, sources, files, None, None)
+    got = sorted((r.root, r.code, r.question_id, r.actual) for r in rules.row_rules(rules.beside_names(q, ex, exams), [], *rules.reference_rules()).collect())
+    assert got == [("a", "BROKEN_CHILD_REF", "q1", "no"), ("a", "BROKEN_SOURCE_REF", "q1", ""), ("a", "BROKEN_SOURCE_REF", "q1", "none"), ("a", "MISSING_MEDIA_FILE", "q1", "assets/2"), ("b", "BROKEN_SOURCE_REF", "q2", "g_documento_1"), ("b", "MISSING_MEDIA_FILE", "q3", "u")]
+    got = sorted((r.root, r.severity, r.code, r.question_id, r.group, r.actual) for r in rules.crop_rules(ex, exams).collect())
+    small = ("a", "HIGH", "SUSPECT_CROP_TOO_SMALL")
+    assert got == [("a", "BLOCKER", "MISSING_CHILD_CROP_FILE", "", "", "assets/9"), ("a", "HIGH", "DUPLICATE_SOURCE_CROPS", "", "g", "g_documento_1"), ("a", "HIGH", "DUPLICATE_SOURCE_CROPS", "", "g", "g_documento_1"), (*small, "", "g", "assets/1 (900x79)"), (*small, "g_documento_1", "g", "assets/1 (900x79)")]
