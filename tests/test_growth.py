@@ -63,3 +63,9 @@ def test_references_and_crops_of_odd_rows(spark):
     got = sorted((r.root, r.severity, r.code, r.question_id, r.group, r.actual) for r in rules.crop_rules(ex, exams).collect())
     small = ("a", "HIGH", "SUSPECT_CROP_TOO_SMALL")
     assert got == [("a", "BLOCKER", "MISSING_CHILD_CROP_FILE", "", "", "assets/9"), ("a", "HIGH", "DUPLICATE_SOURCE_CROPS", "", "g", "g_documento_1"), ("a", "HIGH", "DUPLICATE_SOURCE_CROPS", "", "g", "g_documento_1"), (*small, "", "g", "assets/1 (900x79)"), (*small, "g_documento_1", "g", "assets/1 (900x79)")]
+
+
+def test_status_reads_reviewed_questions_once(spark, tiny):
+    """What is asked of reviewed questions comes with them, not by a join with the questions again."""
+    plan = QUERIES["q_processing_status"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 32
