@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recovery, rules
 from ..sources import bundles
-from ..sources.exams import MODEL_SQL, model, numbered
+from ..sources.exams import MODEL_SQL, model, numbered, rooted
 from ..sources.shared import shared_dir
 from ..sources.tables import table
 from .cleanup import _WARNING, _quoted, traced
@@ -157,10 +157,10 @@ _BUNDLED = "CASE WHEN o_orderkey % 19 = 0 THEN 'broken zip' WHEN o_orderkey % 13
 
 
 def _bundles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    files = numbered(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.expr("CASE WHEN ord % 4 = 0 THEN 'notes/n' || CAST(ord AS STRING) || '.txt' WHEN ord % 2 = 0 THEN 'x/assets/f' || CAST(ord AS STRING) || '.PNG' ELSE 'assets/f' || CAST(ord AS STRING) || '.jpg' END").alias("rel"), F.expr("'part ' || CAST(l_partkey AS STRING)").alias("text")))).alias("files"))
-    orders = table(spark, d, "orders").withColumn("error", F.expr(_BUNDLED))
+    files = numbered(spark, d).groupBy("root").agg(F.array_sort(F.collect_list(F.struct(F.expr("CASE WHEN ord % 4 = 0 THEN 'notes/n' || CAST(ord AS STRING) || '.txt' WHEN ord % 2 = 0 THEN 'x/assets/f' || CAST(ord AS STRING) || '.PNG' ELSE 'assets/f' || CAST(ord AS STRING) || '.jpg' END").alias("rel"), F.expr("'part ' || CAST(l_partkey AS STRING)").alias("text")))).alias("files"))
+    orders = rooted(spark, d).withColumn("error", F.expr(_BUNDLED))
     document = F.when(F.col("error") == "broken JSON", "{no").when(F.col("error").isNull(), F.to_json(F.struct("o_orderkey", "o_orderstatus")))
-    made = bundles.zipped(orders.join(files, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("root"), document.alias("document"), "files"))
+    made = bundles.zipped(orders.join(files, "root", "left").select("root", document.alias("document"), "files"))
     return bundles.bundles(made.withColumn("content", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 19 == 0, F.lit(b"no zip")).otherwise(F.col("content"))))
 
 

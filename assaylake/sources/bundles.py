@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +18,11 @@ from pyspark.sql import functions as F
 PICTURE = r"(?i)\.(png|jpg|jpeg|webp|gif)$"
 DOCUMENT = "exam.json"
 NOT_FOUND, BROKEN_ZIP, BROKEN_JSON = f"{DOCUMENT} not found", "broken zip", "broken JSON"
-MEMBERS = "root string, rel string, document string, size long, digest string, error string"
+MEMBERS = {"root": pa.string(), "rel": pa.string(), "document": pa.string(), "size": pa.int64(), "digest": pa.string(), "error": pa.string(), "kind": pa.string()}
+#: What a member comes from, and the most rows and letters of documents that leave a task at once.
+ZIP, BARE, OWNED = "zip", "bare", "owned"
+MOST_ROWS, MOST_LETTERS = 2_000, 4_000_000
+_LOCAL, _CENTRAL, _END = struct.Struct("<4s2B4HL2L2H"), struct.Struct("<4s4B4HL2L5H2L"), struct.Struct("<4s4H2LH")
 
 
 def _rel(name: str) -> str:
@@ -25,38 +31,93 @@ def _rel(name: str) -> str:
     return "assets/" + name.split("/assets/", 1)[1] if "/assets/" in name else name.lstrip("/")
 
 
-def zip_members(content: bytes) -> Iterator[tuple[str | None, str | None, int | None, str | None, str | None]]:
-    """(rel, document, size, digest, error) of a zip's document and pictures; one row with an error if it can't be read.
+def _reader(content: bytes, z: zipfile.ZipFile):
+    """z.read for members that are stored plainly; any other, and any that does not check, goes to z.read itself."""
+    starts = sorted([x.header_offset for x in z.infolist()] + [z.start_dir])
+    ends = dict(zip(starts, starts[1:]))
+
+    def read(name: str) -> bytes:
+        x = z.getinfo(name)
+        at = x.header_offset
+        if x.compress_type == zipfile.ZIP_DEFLATED and not x.flag_bits and content[at : at + 4] == b"PK\3\4" and x.orig_filename.isascii():
+            n, extra = struct.unpack_from("<2H", content, at + 26)
+            first = at + 30 + n + extra
+            last = first + x.compress_size
+            if content[at + 30 : at + 30 + n] == x.orig_filename.encode() and last <= ends.get(at, 0) and content[at + 6 : at + 8] == b"\0\0":
+                try:
+                    inflate = zlib.decompressobj(-15)
+                    data = inflate.decompress(content[first:last], x.file_size + 1)
+                    if inflate.eof and len(data) == x.file_size and zlib.crc32(data) == x.CRC:
+                        return data
+                except zlib.error:
+                    pass
+        return z.read(name)
+
+    return read
+
+
+def zip_members(content: bytes, pictures: bool = True) -> Iterator[tuple[str | None, str | None, int | None, str | None, str | None]]:
+    """(rel, document, size, digest, error) of a zip's document and, if asked for, pictures; one row with an error if it can't be read.
 
     A picture that can't be read has neither size nor digest.
     """
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = sorted(z.namelist())
+            names, read = sorted(z.namelist()), _reader(content, z)
             found = DOCUMENT if DOCUMENT in names else next((n for n in names if n.endswith("/" + DOCUMENT)), None)
             if found is None:
                 yield None, None, None, None, NOT_FOUND
                 return
-            yield DOCUMENT, z.read(found).decode("utf-8"), None, None, None
-            for name in names:
+            yield DOCUMENT, read(found).decode("utf-8"), None, None, None
+            for name in names if pictures else []:
                 if re.search(PICTURE, name):
                     try:
-                        data = z.read(name)
+                        data = read(name)
                         yield _rel(name), None, len(data), hashlib.sha256(data).hexdigest(), None
-                    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError):
+                    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, zlib.error):
                         yield _rel(name), None, None, None, None
-    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, UnicodeDecodeError, ValueError):
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, UnicodeDecodeError, ValueError, zlib.error):
         yield None, None, None, None, BROKEN_ZIP
 
 
-def _unzipped(zips: DataFrame) -> DataFrame:
+def _file_members(path: str, content: bytes | None, pictures: bool) -> Iterator[tuple]:
+    """Rows of MEMBERS that a file gives: a zip's members, a bare document, a file below a folder's assets."""
+    name = path.replace("\\", "/").rpartition("/")[2]
+    if re.search(r"(?ai)\.zip$", name):
+        root = re.sub(r"(?ai)\.zip$", "", name)
+        for told in zip_members(content or b"", pictures):
+            yield root, *told, ZIP
+    above, owned, rel = path.partition("/assets/")
+    if owned:
+        data = content if pictures else None
+        yield above.rpartition("/")[2], "assets/" + rel, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, OWNED
+    elif re.search(r"(?ai)\.json$", name):
+        folder = path.rpartition("/")[0].rpartition("/")[2] if "/" in path else None
+        try:
+            document, error = (content or b"").decode("utf-8"), None
+        except UnicodeDecodeError:
+            document, error = None, BROKEN_JSON
+        yield folder if name == DOCUMENT else re.sub(r"(?ai)\.json$", "", name), None, document, None, None, error, BARE
+
+
+def _members(files: DataFrame, pictures: bool) -> DataFrame:
+    """Rows of MEMBERS of all files, each of which is read once; without pictures their sizes and digests are null or their rows left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MEMBERS.values(), strict=True)], list(MEMBERS))
+        rows, letters = [], 0
         for batch in batches:
-            for root, content in zip(batch.column("root").to_pylist(), batch.column("content"), strict=True):
-                rows = [(root, rel, doc, size, digest, error) for rel, doc, size, digest, error in zip_members(content.as_py() or b"")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["root", "rel", "document", "size", "digest", "error"])
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for row in _file_members(path, content.as_py(), pictures) if path is not None else ():
+                    rows.append(row)
+                    letters += len(row[2] or "")
+                    if len(rows) >= MOST_ROWS or letters >= MOST_LETTERS:
+                        yield made(rows)
+                        rows, letters = [], 0
+        if rows:
+            yield made(rows)
 
-    return zips.select("root", "content").mapInArrow(run, MEMBERS)
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string'}" for n, t in MEMBERS.items()))
 
 
 def is_json(text: Column) -> Column:
@@ -71,20 +132,16 @@ def bundles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     folder, or `<root>.json` beside one.  What can't be read is a row with an error (of a broken zip, of a bundle without a document,
     of a document that is no JSON object) and ends no job.  assets(root, rel, size, digest): pictures of a zip and all files
     below a folder's `assets`, by SHA-256.  A root that comes up several times has a row each time.  Null content is
-    empty.  Each file is read by one task; other columns are ignored.
+    empty.  Each table reads each file once, by one task; other columns are ignored.
     """
-    name = F.substring_index(F.replace("path", F.lit("\\"), F.lit("/")), "/", -1)
-    named = files.select("path", "content", name.alias("name"))
-    zips = named.filter(F.col("name").rlike(r"(?i)\.zip$")).withColumn("root", F.regexp_replace("name", r"(?i)\.zip$", ""))
-    inside = _unzipped(zips)
-    above = F.element_at(F.split("path", "/"), -2)
-    bare = named.filter(F.col("name").rlike(r"(?i)\.json$") & ~F.col("path").contains("/assets/")).select(F.when(F.col("name") == DOCUMENT, above).otherwise(F.regexp_replace("name", r"(?i)\.json$", "")).alias("root"), F.decode(F.coalesce("content", F.lit(b"")), "UTF-8").alias("document"))
-    owned = named.filter(F.col("path").contains("/assets/")).select(F.substring_index(F.substring_index("path", "/assets/", 1), "/", -1).alias("root"), F.concat(F.lit("assets/"), F.expr("substring(path, instr(path, '/assets/') + 8)")).alias("rel"), F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"))
-    lost = owned.select("root").distinct().join(bare.select("root").distinct(), "root", "left_anti").select("root", F.lit(None).cast("string").alias("document"), F.lit(NOT_FOUND).alias("error"))
-    told = inside.filter("document IS NOT NULL OR error IS NOT NULL").select("root", "document", "error").unionByName(bare.withColumn("error", F.lit(None).cast("string"))).unionByName(lost)
+    rows = _members(files, pictures=False)
+    told, owned, bare = F.col("document").isNotNull() | F.col("error").isNotNull(), F.col("kind") == OWNED, F.col("kind") == BARE
+    of = rows.groupBy("root").agg(F.collect_list(F.when(told, F.struct("document", "error"))).alias("told"), F.bool_or(owned).alias("owned"), F.bool_or(bare).alias("bare"))
+    lost = F.array(F.struct(F.lit(None).cast("string").alias("document"), F.lit(NOT_FOUND).alias("error")))
+    found = of.select("root", F.inline(F.when(F.col("owned") & ~F.col("bare"), F.concat("told", lost)).otherwise(F.col("told"))))
     broken = F.col("document").isNotNull() & ~is_json(F.col("document"))
-    documents = told.select("root", F.when(~broken, F.col("document")).alias("document"), F.when(broken, BROKEN_JSON).otherwise(F.col("error")).alias("error"))
-    return documents, inside.filter("document IS NULL AND error IS NULL").select("root", "rel", "size", "digest").unionByName(owned)
+    documents = found.select("root", F.when(~broken, F.col("document")).alias("document"), F.when(broken, BROKEN_JSON).otherwise(F.col("error")).alias("error"))
+    return documents, _members(files, pictures=True).filter("document IS NULL AND error IS NULL").select("root", "rel", "size", "digest")
 
 
 def read_bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -97,6 +154,26 @@ def load_failures(documents: DataFrame) -> DataFrame:
     return documents.filter("error IS NOT NULL").select("root", F.lit("BLOCKER").alias("severity"), F.lit("LOAD_FAILED").alias("code"), F.col("error").alias("actual"))
 
 
+def _zip(members: list[tuple[str, str]]) -> bytes:
+    """A zip of (name, text) members, byte for byte as zipfile writes it; plain small members are put together at once."""
+    out, listed, at = [], [], 0
+    for name, text in members:
+        raw, data = name.encode(), text.encode()
+        if not name.isascii() or not name or "\0" in name or name.endswith("/") or len(raw) > 60_000 or len(data) + at > 1 << 30 or len(members) > 60_000:
+            told = io.BytesIO()
+            with zipfile.ZipFile(told, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
+                for n, t in members:
+                    z.writestr(zipfile.ZipInfo(n), t, zipfile.ZIP_DEFLATED)
+            return told.getvalue()
+        packed, crc = zlib.compress(data, 6, -15), zlib.crc32(data)
+        # version 2.0, deflated, 1 January 1980, and in the list: made on Unix, mode 600
+        fields = (0, zipfile.ZIP_DEFLATED, 0, 33, crc, len(packed), len(data), len(raw), 0)
+        out += _LOCAL.pack(b"PK\3\4", 20, 0, *fields), raw, packed
+        listed += _CENTRAL.pack(b"PK\1\2", 20, 3, 20, 0, *fields, 0, 0, 0, 0o600 << 16, at), raw
+        at += _LOCAL.size + len(raw) + len(packed)
+    return b"".join((*out, *listed, _END.pack(b"PK\5\6", 0, 0, len(members), len(members), sum(map(len, listed)), at, 0)))
+
+
 def zipped(bundle: DataFrame) -> DataFrame:
     """(path, content) of bundle(root, document, files array<struct<rel, text>>): a zip for each row, as exports have it.
 
@@ -107,11 +184,7 @@ def zipped(bundle: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for document, files in zip(batch.column("document").to_pylist(), batch.column("files").to_pylist(), strict=True):
-                told = io.BytesIO()
-                with zipfile.ZipFile(told, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-                    for rel, text in [*([(DOCUMENT, document)] if document is not None else []), *((f["rel"], f["text"] or "") for f in files or [])]:
-                        z.writestr(zipfile.ZipInfo(rel), text, zipfile.ZIP_DEFLATED)
-                out.append(told.getvalue())
+                out.append(_zip([*([(DOCUMENT, document)] if document is not None else []), *((f["rel"], f["text"] or "") for f in files or [])]))
             yield pa.RecordBatch.from_arrays([pa.array([f"{r}.zip" for r in batch.column("root").to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
 
     return bundle.select("root", "document", "files").mapInArrow(run, "path string, content binary")
