@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exam_text import first_of_each
+from ..functions.exam_text import bound, first_of_each
 from ..functions.text import count_of, fold_accents, strip
 
 #: Heads of columns and lines of blanks, their options, and what ends an option's text.
@@ -97,17 +97,20 @@ def with_fractions(text: Column, raw: Column) -> Column:
 
 def _options(cells: Column) -> Column:
     """(letter, text) of the cells or lines that are numbered options: the first of each number, in order of number."""
-    told = F.filter(cells, lambda c: c.rlike(BLANK_OPTION))
-    pairs = F.transform(told, lambda c, i: F.struct(F.regexp_extract(c, BLANK_OPTION, 1).cast("int").alias("n"), i.alias("i"), F.regexp_extract(c, BLANK_OPTION, 1).alias("letter"), F.regexp_extract(c, BLANK_OPTION, 2).alias("text")))
-    numbers = F.array_distinct(F.transform(pairs, lambda p: p["letter"]))
-    first = F.transform(numbers, lambda n: F.get(F.filter(pairs, lambda p: p["letter"] == n), F.lit(0)))
-    return F.transform(F.array_sort(first), lambda p: F.struct(p["letter"].alias("letter"), p["text"].alias("text")))
+    read = F.transform(cells, lambda c, i: F.struct(F.regexp_extract(c, BLANK_OPTION, 1).alias("letter"), i.alias("i"), F.regexp_extract(c, BLANK_OPTION, 2).alias("text")))
+    first = first_of_each(F.filter(read, lambda p: p["letter"] != ""), "letter")
+    ranked = F.array_sort(F.transform(first, lambda p: F.struct(p["letter"].cast("int").alias("n"), p["i"].alias("i"), p["letter"].alias("letter"), p["text"].alias("text"))))
+    return F.transform(ranked, lambda p: F.struct(p["letter"].alias("letter"), p["text"].alias("text")))
 
 
 def _by_letter(told: Column) -> Column:
     """Blanks of (letter, cells) in order of letter, the cells of equal letters together."""
-    letters = F.array_sort(F.array_distinct(F.transform(told, lambda t: t["letter"])))
-    return F.transform(letters, lambda x: F.struct(F.concat(x, F.lit(")")).alias("number"), _options(F.flatten(F.transform(F.filter(told, lambda t: t["letter"] == x), lambda t: t["cells"]))).alias("options")))
+
+    def blanks(told: Column) -> Column:
+        letters = F.array_sort(F.array_distinct(F.transform(told, lambda t: t["letter"])))
+        return F.transform(letters, lambda x: F.struct(F.concat(x, F.lit(")")).alias("number"), _options(F.flatten(F.transform(F.filter(told, lambda t: t["letter"] == x), lambda t: t["cells"]))).alias("options")))
+
+    return bound(told, blanks)
 
 
 def table_blanks(tables: Column) -> Column:
@@ -116,27 +119,32 @@ def table_blanks(tables: Column) -> Column:
 
     def columns(t: Column) -> Column:
         body = F.slice(t, 2, F.greatest(F.size(t), F.lit(1)))
-        heads = F.transform(F.get(t, F.lit(0)), lambda h: F.lower(F.regexp_extract(h, BLANK_HEAD, 1)))
-        under = lambda x: F.flatten(F.transform(body, lambda r: F.filter(r, lambda c, i: F.get(heads, i) == x)))
-        return F.transform(F.array_distinct(F.filter(heads, lambda h: h != "")), lambda x: F.struct(x.alias("letter"), under(x).alias("cells")))
+        under = lambda heads, x: F.flatten(F.transform(body, lambda r: F.filter(r, lambda c, i: F.get(heads, i) == x)))
+        of = lambda heads: F.transform(F.array_distinct(F.filter(heads, lambda h: h != "")), lambda x: F.struct(x.alias("letter"), under(heads, x).alias("cells")))
+        return bound(F.transform(F.get(t, F.lit(0)), lambda h: F.lower(F.regexp_extract(h, BLANK_HEAD, 1))), of)
 
     return _by_letter(F.flatten(F.transform(F.filter(clean, lambda t: F.size(t) > 0), columns)))
 
 
 def text_blanks(block: Column) -> Column:
     """Blanks of a text: a line that is a letter a) to f) begins one, and numbered lines up to the next are its options."""
-    letters, parts = F.regexp_extract_all(block, F.lit(BLANK_LINE), F.lit(1)), F.split(block, BLANK_LINE)
-    return _by_letter(F.zip_with(letters, F.slice(parts, 2, F.size(letters) + 1), lambda x, p: F.struct(F.lower(x).alias("letter"), F.transform(F.split(F.coalesce(p, F.lit("")), "\n"), lambda c: F.trim(c)).alias("cells"))))
+    told = lambda letters: F.zip_with(letters, F.slice(F.split(block, BLANK_LINE), 2, F.size(letters) + 1), lambda x, p: F.struct(F.lower(x).alias("letter"), F.transform(F.split(F.coalesce(p, F.lit("")), "\n"), lambda c: F.trim(c)).alias("cells")))
+    return _by_letter(bound(F.regexp_extract_all(block, F.lit(BLANK_LINE), F.lit(1)), told))
 
 
 def page_blanks(tables: Column, block: Column) -> Column:
     """Blanks of a question: from its page's tables, else from its text, else the letters it names (or a to d) without options."""
-    named = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(block, F.lit(BLANK_MARKER), F.lit(1)), F.lower)))
-    named = F.when(F.size(named) > 0, named).otherwise(F.array(*map(F.lit, "abcd")))
     none = F.array().cast("array<struct<letter:string,text:string>>")
-    empty = F.transform(named, lambda x: F.struct(F.concat(x, F.lit(")")).alias("number"), none.alias("options")))
-    a, b = table_blanks(F.coalesce(tables, F.array().cast("array<array<array<string>>>"))), text_blanks(F.coalesce(block, F.lit("")))
-    return F.when(F.size(a) > 0, a).when(F.size(b) > 0, b).otherwise(F.coalesce(empty, F.transform(F.array(*map(F.lit, "abcd")), lambda x: F.struct(F.concat(x, F.lit(")")).alias("number"), none.alias("options")))))
+    letters = F.array(*map(F.lit, "abcd"))
+
+    def named(block: Column) -> Column:
+        found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(block, F.lit(BLANK_MARKER), F.lit(1)), F.lower)))
+        told = bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(letters))
+        return F.transform(F.coalesce(told, letters), lambda x: F.struct(F.concat(x, F.lit(")")).alias("number"), none.alias("options")))
+
+    first = lambda a, other: bound(a, lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+    of = lambda block: first(text_blanks(F.coalesce(block, F.lit(""))), named(block))
+    return first(table_blanks(F.coalesce(tables, F.array().cast("array<array<array<string>>>"))), bound(block, of))
 
 
 def normal_blanks(blanks: Column) -> Column:
