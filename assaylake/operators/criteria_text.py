@@ -206,6 +206,18 @@ def parse(pages: DataFrame) -> DataFrame:
     return both.unionByName(composition(found.filter("group_id = 'grupo_iii'")))
 
 
+def parse_documents(documents: DataFrame) -> DataFrame:
+    """documents(root, pages array<struct<page, text>>), a row for each exam -> the items that `parse` finds, of every exam.
+
+    Exams of one edition have the same criteria: each different list of pages is parsed once, and its items go to all
+    exams that have it, by a digest of the whole list.  Where all differ, each is parsed as before.
+    """
+    document = F.sha2(F.to_json("pages"), 256).alias("document")
+    items = parse(documents.select("pages").distinct().select(document.alias("root"), F.inline("pages")))
+    listed = items.groupBy(F.col("root").alias("document")).agg(F.collect_list(F.struct(*(c for c in items.columns if c != "root"))).alias("items"))
+    return documents.select("root", document).join(listed, "document").select("root", F.inline("items"))
+
+
 def cross_check(pages: DataFrame) -> DataFrame:
     """(root, total, per_item, pool, choose) that a document states about its points."""
     text = flat_lines(pages).groupBy("root").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "line")))["line"], "\n").alias("text"))

@@ -114,22 +114,26 @@ _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinsta
 _TRACED_SQL = f"traced(k, {_SHOWN}) AS (VALUES {_VALUES}), parsed AS (SELECT CAST(o_orderkey AS VARCHAR) AS root, {_SHOWN} FROM orders JOIN traced ON o_orderkey % 3 = k)"
 
 
-def criteria_pages(spark: SparkSession, d: str) -> DataFrame:
+def criteria_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(root, pages) of every exam."""
     docs = F.array(*(F.array(*(F.struct(F.lit(i + 1).cast("bigint").alias("page"), F.lit(t).alias("text")) for i, t in enumerate(pages))) for pages in DOCUMENTS))
-    exams = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("root"), docs[(F.col("o_orderkey") % len(DOCUMENTS)).cast("int")].alias("pages"))
-    return exams.select("root", F.inline("pages"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("root"), docs[(F.col("o_orderkey") % len(DOCUMENTS)).cast("int")].alias("pages"))
+
+
+def criteria_pages(spark: SparkSession, d: str) -> DataFrame:
+    return criteria_documents(spark, d).select("root", F.inline("pages"))
 
 
 @query(f"WITH {_TRACED_SQL} SELECT root, {_SHOWN} FROM parsed")
 def q_criteria_parse(spark: SparkSession, d: str) -> DataFrame:
     """Items of every exam's criteria text; the SQL holds hand-traced values of its three documents."""
-    found = criteria_text.parse(criteria_pages(spark, d))
+    found = criteria_text.parse_documents(criteria_documents(spark, d))
     return found.select("root", "group_id", "number", F.col("points").cast("bigint").alias("points"), "type", "v1", "v2", F.array_join("topics", "|").alias("topics"), "confidence", F.size(F.split("raw_text", "\n")).cast("bigint").alias("n_lines"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query(f"WITH {_TRACED_SQL} SELECT root, '1' AS version, group_id, number, v1 AS answer FROM parsed WHERE v1 IS NOT NULL UNION ALL SELECT root, '2', group_id, number, v2 FROM parsed WHERE v2 IS NOT NULL")
 def q_answer_keys(spark: SparkSession, d: str) -> DataFrame:
-    return criteria_text.answer_keys(criteria_text.parse(criteria_pages(spark, d)))
+    return criteria_text.answer_keys(criteria_text.parse_documents(criteria_documents(spark, d)))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS root, CAST(CASE o_orderkey % 3 WHEN 1 THEN NULL ELSE 200 END AS BIGINT) AS total, CAST(CASE o_orderkey % 3 WHEN 2 THEN 15 END AS BIGINT) AS per_item, CAST(CASE o_orderkey % 3 WHEN 2 THEN 2 END AS BIGINT) AS pool, CAST(CASE o_orderkey % 3 WHEN 2 THEN 3 END AS BIGINT) AS choose FROM orders""")
