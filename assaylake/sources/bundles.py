@@ -182,9 +182,12 @@ def zipped(bundle: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for document, files in zip(batch.column("document").to_pylist(), batch.column("files").to_pylist(), strict=True):
-                out.append(_zip([*([(DOCUMENT, document)] if document is not None else []), *((f["rel"], f["text"] or "") for f in files or [])]))
+            files, out = batch.column("files"), []
+            ends = files.offsets.to_pylist()
+            rels, texts = files.values.field("rel").to_pylist(), files.values.field("text").to_pylist()
+            for document, valid, at, end in zip(batch.column("document").to_pylist(), files.is_valid().to_pylist(), ends, ends[1:]):
+                owned = [(rel, text or "") for rel, text in zip(rels[at:end], texts[at:end], strict=True)] if valid else []
+                out.append(_zip(owned if document is None else [(DOCUMENT, document), *owned]))
             yield pa.RecordBatch.from_arrays([pa.array([f"{r}.zip" for r in batch.column("root").to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
 
     return bundle.select("root", "document", "files").mapInArrow(run, "path string, content binary")
